@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import lengths, packing
+from siltworks.llm import lengths, mixing, packing, rules
 from siltworks.session import table
 
 
@@ -18,10 +18,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_lengths(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
+    "op5_source_mixing": op5_source_mixing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: SQL for those that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_source_mixing": mixing.ORACLE_SQL,
+}
