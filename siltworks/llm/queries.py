@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import lengths, mixing, packing, pulearn, rules
+from siltworks.llm import hilbert, lengths, mixing, packing, phrases, pulearn, rules
 from siltworks.session import table
 
 
@@ -26,6 +26,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.edit_robustness(table(spark, sf_dir, "documents"))
+
+
+def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,6 +43,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_source_mixing": op5_source_mixing,
+    "op6_phrase_fingerprints": op6_phrase_fingerprints,
+    "op7_hilbert_sharding": op7_hilbert_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
 
