@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import hilbert, lengths, mixing, neardup, packing, phrases, pulearn, rules
+from siltworks.llm import hilbert, lengths, mixing, neardup, packing, passages, phrases, pulearn, rules
 from siltworks.session import table
 
 
@@ -22,6 +22,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulearn.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_counts": op2_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_source_mixing": op5_source_mixing,
     "op6_phrase_fingerprints": op6_phrase_fingerprints,
     "op7_hilbert_sharding": op7_hilbert_sharding,
