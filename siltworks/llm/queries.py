@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import hilbert, lengths, mixing, neardup, packing, passages, phrases, pulearn, rules
+from siltworks.llm import hilbert, lengths, mixing, neardup, packing, passages, phrases, pulearn, render, rules
 from siltworks.session import table
 
 
@@ -38,6 +38,10 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_phrase_fingerprints": op6_phrase_fingerprints,
     "op7_hilbert_sharding": op7_hilbert_sharding,
+    "op8_visible_text": op8_visible_text,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }
