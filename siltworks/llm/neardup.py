@@ -1,10 +1,11 @@
 """Near-duplicate documents by MinHash bands, sequential Bayesian verification and exact confirmation.
 
 Rows of equal shingle sets are one class, known by its least doc_id. Class signatures are banded; within a bucket
-classes are compared with a pivot, not with each other. A pair's signatures are compared a batch at a time, and it is
-given up as soon as the posterior chance of reaching the similarity falls below MISS. Survivors are confirmed on the full sets. Links
-join classes into components; a bucket whose classes fall into one component is done. The others get another pivot, and
-after PIVOTS rounds every pair of a bucket across components that is still open is compared, so no link is lost to pivots.
+classes are compared with a pivot, not with each other; the first pivot is the class that shares most buckets with most others. A pair's
+signatures are compared a batch at a time, and it is given up as soon as the posterior chance of reaching the
+similarity falls below MISS. Survivors are confirmed on the full sets. Links join classes into components; a bucket whose classes
+fall into one component is done. After PIVOTS rounds the buckets still split are gone through in blocks of full sets, so that no link
+is lost to pivots: a block or two blocks make one row, and only links that join components leave it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ BANDS, BAND_ROWS = 28, 4
 HASHES = BANDS * BAND_ROWS
 #: Hashes of one comparison step, and the posterior chance of reaching the similarity below which a pair is given up.
 BATCH, MISS = 16, 1e-7
-PIVOTS = 3
+PIVOTS = 2
+#: Classes and shingles of one block of a bucket that pivots have not settled.
+BLOCK_CLASSES, BLOCK_SHINGLES = 200, 150_000
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,7 +153,33 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "bucket", "left_semi")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
+class _Sets:
+    """Full shingle sets of the classes asked for so far, each made once from its text."""
+
+    def __init__(self, docs: DataFrame):
+        self.texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+        self.table: DataFrame | None = None
+
+    def of(self, reps: DataFrame, tag: str) -> DataFrame:
+        """(rep, shingles) for at least the given reps."""
+        new = reps.select("rep").distinct()
+        if self.table is not None:
+            new = new.join(self.table.select("rep"), "rep", "left_anti")
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = shingle_sets(encoded(batch.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
+
+        made = scratch(self.texts.join(new, "rep", "left_semi").mapInArrow(make, "rep long, shingles binary"), f"sets{tag}")
+        self.table = made if self.table is None else self.table.unionByName(made)
+        return self.table
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: _Sets, tag: str) -> DataFrame:
     """Those of pairs (a, b) that reach the similarity: first by their signatures, then by the full sets."""
     sigs = classes.select("rep", "signature")
     with_a = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
@@ -160,71 +189,132 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tag: str)
         for batch in batches:
             n = batch.num_rows
             if n:
-                a, b = (
-                    np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, HASHES) for c in ("sa", "sb")
-                )
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, HASHES) for c in ("sa", "sb"))
                 keep = pa.array(survives(a, b))
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     alive = scratch(with_both.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"), f"alive{tag}")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    left = alive.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    pairs_text = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    full = sets.of(alive.select(F.explode(F.array("a", "b")).alias("rep")), tag)
+    left = alive.join(full.select(F.col("rep").alias("b"), F.col("shingles").alias("tb")), "b")
+    whole = left.join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("ta")), "a")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids_a, ids_b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                texts_a = part.column("ta").to_pylist()
-                sets_b = shingle_sets(encoded(part.column("tb").to_pylist()))
-                keep = []
-                for text, sb in zip(texts_a, sets_b, strict=True):
-                    if last[0] != text:
-                        last = (text, shingle_sets(encoded([text]))[0])
-                    keep.append(similar(last[1], sb))
-                chosen = [i for i, k in enumerate(keep) if k]
-                yield pa.RecordBatch.from_pydict({"a": [ids_a[i] for i in chosen], "b": [ids_b[i] for i in chosen]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return scratch(pairs_text.select("a", "ta", "b", "tb").mapInArrow(confirm, "a long, b long").distinct(), f"links{tag}")
+            keep = [
+                similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)
+            ]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=_LINK)
+
+    return scratch(whole.select("a", "ta", "b", "tb").mapInArrow(confirm, "a long, b long").distinct(), f"links{tag}")
+
+
+def joining_links(reps: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
+    """Links between members of different parts that reach the similarity, one for each two groups that they join. With split above 0 only
+    those between the first split members and the rest are looked at; sizes of intersections are products of incidence tables."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1] if shared.any() else column[shared]
+    rows, others = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+    both = np.zeros((len(sizes[rows]), len(sizes[others])), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = max(1, 4_000_000 // len(sets))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, (at, at + width))
+        table = np.zeros((len(sets), width), np.float32)
+        table[owner[lo:hi], column[lo:hi] - at] = 1
+        both += table[rows] @ table[others].T
+    near = 100 * both >= SIMILAR * (sizes[rows][:, None] + sizes[others][None, :] - both)
+    near &= (both > 0) & (parts[rows][:, None] != parts[others][None, :])
+    root = {p: p for p in parts.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        i, j = int(i), int(j) + split
+        x, y = find(int(parts[i])), find(int(parts[j]))
+        if x != y:
+            root[x] = y
+            out.append((int(min(reps[i], reps[j])), int(max(reps[i], reps[j]))))
+    return out
+
+
+def _block_links(live: DataFrame, classes: DataFrame, sets: _Sets) -> DataFrame:
+    """Links that join parts within buckets of live (bucket, rep, part), found block by block on the full sets."""
+    full = sets.of(live, "rest").groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    sized = live.join(full.select("rep", F.expr("octet_length(shingles) DIV 8").alias("n")), "rep")
+    load = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    cuts = sized.groupBy("bucket").agg(load.alias("blocks"))
+    dealt = live.join(cuts, "bucket").select("bucket", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "blocks", "rep", "part")
+    members = F.collect_list(F.struct("rep", "part", "shingles"))
+    rows = dealt.join(full, "rep").groupBy("bucket", "block", "blocks").agg(members.alias("members"))
+    rows = scratch(rows, "blocks")
+    none = F.array().cast(rows.schema["members"].dataType)
+    alone = rows.select("members", none.alias("others"))
+    several = rows.where("blocks > 1")
+    right = several.select("bucket", F.col("block").alias("other"), F.col("members").alias("others"))
+    across = several.join(right, "bucket").where("block < other").select("members", "others")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for mine, other in zip(batch.column("members"), batch.column("others"), strict=True):
+                mine, other = mine.as_py(), other.as_py()
+                both = mine + other
+                reps, parts = (np.array([m[k] for m in both], np.int64) for k in ("rep", "part"))
+                if len(np.unique(parts)) > 1:
+                    found += joining_links(reps, parts, [np.frombuffer(m["shingles"], np.uint64) for m in both], len(mine) if other else 0)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=_LINK)
+
+    return scratch(alone.unionByName(across).mapInArrow(link, "a long, b long").distinct(), "linksrest")
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of shingled(docs), classes with their set_key and component)."""
     rows = scratch(shingled(docs), "shingles")
     some = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = scratch(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
     # Rows that share a doc_id are one document: their classes have one name, and any of them may be compared.
+    classes = scratch(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
     buckets = scratch(_buckets(classes), "buckets")
+    sets = _Sets(docs)
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    central = scratch(buckets.join(sizes, "bucket").groupBy("rep").agg(F.sum("n").alias("weight")), "central")
+    live = buckets.withColumn("part", F.col("rep"))
     links: DataFrame | None = None
     tested: DataFrame | None = None
-    live = buckets.withColumn("part", F.col("rep"))
-    for turn in range(PIVOTS + 1):
-        if turn < PIVOTS:
-            order = F.col("rep") if turn == 0 else F.struct(F.xxhash64(F.col("rep"), F.lit(turn)).alias("h"), F.col("rep").alias("rep"))
-            pivots = live.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("rep"), F.col("part").alias("part"))).alias("p"))
-            joined = live.join(pivots, "bucket").where("part <> p.part AND rep <> p.rep")
-            pairs = joined.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-        else:
-            other = live.select("bucket", F.col("rep").alias("rep2"), F.col("part").alias("part2"))
-            pairs = live.join(other, "bucket").where("rep < rep2 AND part <> part2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        pairs = pairs.distinct()
+    parts = None
+    for turn in range(PIVOTS):
+        order = F.struct(-F.col("weight"), "rep") if turn == 0 else F.struct(F.xxhash64(F.col("rep"), F.lit(turn)), "rep")
+        ranked = live.join(central, "rep")
+        pivots = ranked.groupBy("bucket").agg(F.min_by(F.struct("rep", "part"), order).alias("p"))
+        joined = live.join(pivots, "bucket").where("part <> p.part AND rep <> p.rep")
+        pairs = joined.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch(pairs, f"pairs{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _confirmed(pairs, classes, docs, str(turn))
+        found = _confirmed(pairs, classes, sets, str(turn))
         links = found if links is None else links.unionByName(found)
         parts = scratch(components(links), f"parts{turn}")
-        if turn == PIVOTS:
-            break
         placed = buckets.join(parts, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
         # Buckets of two classes are settled by their one comparison; so is any bucket within one component.
         mixed = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("n"))
         live = scratch(placed.join(mixed.where("x < y AND n > 2").select("bucket"), "bucket", "left_semi"), f"live{turn}")
         if live.isEmpty():
             break
+    else:
+        rest = _block_links(live, classes, sets)
+        if not rest.isEmpty():
+            parts = scratch(components(links.unionByName(rest)), "parts")
     named = classes.select("set_key", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     return rows, named.select("set_key", F.coalesce("component", "rep").alias("component"))
 
