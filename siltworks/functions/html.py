@@ -1,0 +1,141 @@
+"""HTML helpers: column expressions where a pattern says it all, Arrow-batched functions on html.parser where it does not."""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin, urlsplit
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+_HREF = r'(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"'
+
+
+def hrefs(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(_HREF), F.lit(1))
+
+
+def tags(html: Column) -> Column:
+    return F.transform(F.regexp_extract_all(html, F.lit(r"<([a-zA-Z][\w-]*)"), F.lit(1)), lambda t: F.lower(t))
+
+
+def has_tag(html: Column, tag: str) -> Column:
+    return html.rlike(rf"(?i)<{tag}[\s>]")
+
+
+def tag_texts(html: Column, tag: str) -> Column:
+    return F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), lambda t: F.trim(t))
+
+
+def iframes(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r"(?s)(<iframe.*?</iframe>)"), F.lit(1))
+
+
+def without_iframes(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?s)<iframe.*?</iframe>", "")
+
+
+def without_comments(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+
+
+def without_tag(html: Column, tag: str) -> Column:
+    """The tags go, what is between them stays."""
+    return F.regexp_replace(html, rf"(?i)</?{tag}\b[^>]*>", "")
+
+
+def demote_long_headers(html: Column, tag: str = "h2", most: int = 100) -> Column:
+    """Headers of more than most characters become paragraphs; each header is judged by itself."""
+    parts = F.split(html, f"(?i)(?=<{tag}>)")
+    inner = lambda p: F.regexp_extract(p, rf"(?is)^<{tag}>(.*?)</{tag}>", 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(F.length(inner(p)) > most, F.regexp_replace(p, rf"(?is)^<{tag}>(.*?)</{tag}>", "<p>$1</p>")).otherwise(p)), "")
+
+
+def bad_sections(html: Column, tag: str = "h2") -> Column:
+    """Places (from 1) of sections that hold no paragraph."""
+    parts = F.filter(F.split(html, f"(?=<{tag}>)"), lambda p: p.startswith(f"<{tag}>"))
+    marked = F.transform(parts, lambda p, i: F.when(~p.rlike(r"(?s)<p[ >]"), i + 1))
+    return F.array_compact(marked)
+
+
+def well_formed_draft(html: Column) -> Column:
+    """First a paragraph, last a paragraph or frame, a header between."""
+    return html.rlike(r"(?is)^\s*<p[ >]") & html.rlike(r"(?is)(</p>|</iframe>)\s*$") & html.rlike(r"(?i)<h[1-6][ >]")
+
+
+def same_domain(a: Column, b: Column) -> Column:
+    return F.lower(F.try_parse_url(a, F.lit("AUTHORITY"))) == F.lower(F.try_parse_url(b, F.lit("AUTHORITY")))
+
+
+def normalise_link(base: str | None, link: str | None) -> str | None:
+    """Absolute http(s) address without fragment and closing slash; null for fragments, mail and other schemes."""
+    if not link or not base or link.startswith(("#", "mailto:")):
+        return None
+    try:
+        full = urldefrag(urljoin(base, link)).url
+        if urlsplit(full).scheme not in ("http", "https"):
+            return None
+    except ValueError:
+        return None
+    return full[:-1] if full.endswith("/") else full
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def resolved_links(base: pd.Series, links: pd.Series) -> pd.Series:
+    return pd.Series([[x for x in (normalise_link(b, y) for y in (ls if ls is not None else [])) if x] for b, ls in zip(base, links, strict=True)])
+
+
+class _Text(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.hidden = 0
+        self.parts: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.hidden += tag in ("script", "style", "noscript")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style", "noscript") and self.hidden:
+            self.hidden -= 1
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden and data.strip():
+            self.parts.append(data.strip())
+
+
+def text_of(html: str | None) -> str | None:
+    if html is None:
+        return None
+    parser = _Text()
+    parser.feed(html)
+    parser.close()
+    return "\n".join(parser.parts)
+
+
+@F.pandas_udf(StringType())
+def page_text(html: pd.Series) -> pd.Series:
+    return html.map(text_of)
+
+
+def tidy(html: str) -> str:
+    """Empty paragraphs go, short bold paragraphs become headers, numbered or dashed lines become lists, an article wraps it all."""
+    html = re.sub(r"(?is)<p[^>]*>(\s|&nbsp;|<br\s*/?>)*</p>", "", html)
+    html = re.sub(r"(?is)<p>\s*<(strong|b)>([^<]{1,80})</\1>\s*</p>", lambda m: f"<h2>{m[2].strip()}</h2>", html)
+
+    def listed(m: re.Match) -> str:
+        items = re.findall(r"(?is)<p>\s*(?:\d+[.)]|[-*•])\s+(.*?)</p>", m[0])
+        kind = "ol" if re.match(r"(?is)\s*<p>\s*\d", m[0]) else "ul"
+        return f"<{kind}>" + "".join(f"<li>{x.strip()}</li>" for x in items) + f"</{kind}>"
+
+    html = re.sub(r"(?is)(?:<p>\s*\d+[.)]\s+[^<]*</p>\s*){2,}|(?:<p>\s*[-*•]\s+[^<]*</p>\s*){2,}", listed, html)
+    html = re.sub(r"(?is)<p>\s*([A-Z][\w ]{1,30}:)\s", r"<p><strong>\1</strong> ", html)
+    html = re.sub(r"(?i)</strong>(?=\w)", "</strong> ", html)
+    return html if re.search(r"(?i)<article[\s>]", html) else f"<article>{html}</article>"
+
+
+@F.pandas_udf(StringType())
+def tidied(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: None if h is None else tidy(h))
