@@ -29,7 +29,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = _both(now)
         large = both.join(_least(both), "a").where("b > a AND b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.distinct()
         low = _least(large)
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = small.unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()

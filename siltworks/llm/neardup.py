@@ -1,11 +1,11 @@
 """Near-duplicate documents by MinHash bands, sequential Bayesian verification and exact confirmation.
 
 Rows of equal shingle sets are one class, known by its least doc_id. Class signatures are banded; within a bucket
-classes are compared with a pivot, not with each other; the first pivot is the class that shares most buckets with most others. A pair's
+classes are compared with a pivot, not with each other; the pivot is the class that shares most buckets with most others. A pair's
 signatures are compared a batch at a time, and it is given up as soon as the posterior chance of reaching the
-similarity falls below MISS. Survivors are confirmed on the full sets. Links join classes into components; a bucket whose classes
-fall into one component is done. After PIVOTS rounds the buckets still split are gone through in blocks of full sets, so that no link
-is lost to pivots: a block or two blocks make one row, and only links that join components leave it.
+similarity falls below MISS. Survivors are confirmed on the full sets. A bucket whose classes are all linked to one pivot is
+done. The others are gone through in blocks of full sets, so that no link is lost to pivots: a block or two blocks make one row, and only
+links that join parts leave it. Links make components.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ BANDS, BAND_ROWS = 28, 4
 HASHES = BANDS * BAND_ROWS
 #: Hashes of one comparison step, and the posterior chance of reaching the similarity below which a pair is given up.
 BATCH, MISS = 16, 1e-7
-PIVOTS = 2
 #: Classes and shingles of one block of a bucket that pivots have not settled.
 BLOCK_CLASSES, BLOCK_SHINGLES = 200, 150_000
 
@@ -287,34 +286,22 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = scratch(_buckets(classes), "buckets")
     sets = _Sets(docs)
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    central = scratch(buckets.join(sizes, "bucket").groupBy("rep").agg(F.sum("n").alias("weight")), "central")
-    live = buckets.withColumn("part", F.col("rep"))
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    parts = None
-    for turn in range(PIVOTS):
-        order = F.struct(-F.col("weight"), "rep") if turn == 0 else F.struct(F.xxhash64(F.col("rep"), F.lit(turn)), "rep")
-        ranked = live.join(central, "rep")
-        pivots = ranked.groupBy("bucket").agg(F.min_by(F.struct("rep", "part"), order).alias("p"))
-        joined = live.join(pivots, "bucket").where("part <> p.part AND rep <> p.rep")
-        pairs = joined.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch(pairs, f"pairs{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _confirmed(pairs, classes, sets, str(turn))
-        links = found if links is None else links.unionByName(found)
-        parts = scratch(components(links), f"parts{turn}")
-        placed = buckets.join(parts, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-        # Buckets of two classes are settled by their one comparison; so is any bucket within one component.
-        mixed = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("n"))
-        live = scratch(placed.join(mixed.where("x < y AND n > 2").select("bucket"), "bucket", "left_semi"), f"live{turn}")
-        if live.isEmpty():
-            break
-    else:
-        rest = _block_links(live, classes, sets)
-        if not rest.isEmpty():
-            parts = scratch(components(links.unionByName(rest)), "parts")
+    central = buckets.join(sizes, "bucket").groupBy("rep").agg(F.sum("n").alias("weight"))
+    heavy = F.struct(-F.col("weight"), F.col("rep"))
+    ranked = buckets.join(central, "rep").groupBy("bucket").agg(F.min(heavy).alias("p"), F.count(F.lit(1)).alias("n"))
+    pivots = scratch(ranked.select("bucket", F.col("p.rep").alias("pivot"), F.col("p")["col1"].alias("rank"), "n"), "pivots")
+    paired = buckets.join(pivots, "bucket").where("rep <> pivot")
+    pairs = paired.groupBy(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).agg(F.min(F.struct("rank", "pivot")).alias("by"))
+    pairs = scratch(pairs, "pairs")
+    links = _confirmed(pairs.select("a", "b"), classes, sets, "pivot")
+    # A class linked to a pivot is of that pivot's part, of the heaviest if there are several; so one part is always one component.
+    ends = links.join(pairs, ["a", "b"]).select("by", F.when(F.col("by.pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("rep"))
+    parts = ends.groupBy("rep").agg(F.min("by").alias("by")).select("rep", F.col("by.pivot").alias("part"))
+    placed = buckets.join(parts, "rep", "left").select("bucket", "rep", F.coalesce("part", "rep").alias("part"))
+    # Buckets of two classes are settled by their one comparison; so is any bucket of one part.
+    mixed = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("n"))
+    live = scratch(placed.join(mixed.where("x < y AND n > 2").select("bucket"), "bucket", "left_semi"), "live")
+    parts = scratch(components(links.unionByName(_block_links(live, classes, sets))), "parts")
     named = classes.select("set_key", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     return rows, named.select("set_key", F.coalesce("component", "rep").alias("component"))
 
