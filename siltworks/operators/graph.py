@@ -85,6 +85,8 @@ def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     Forward-backward colouring on the trimmed graph: the least id that reaches a node colours it; nodes of a colour that
     reach the colour's root are that root's component. Found components leave, and the rest goes on.
     """
+    if not hasattr(edges, "_siltworks_path"):
+        edges = scratch(edges.select("src", "dst"), "edges")
     left = trim(edges)
     found: DataFrame | None = None
     for _ in range(most_rounds):
@@ -136,7 +138,8 @@ def _reach_roots(colour: DataFrame, edges: DataFrame, most_rounds: int = 1000) -
 
 def cycle_groups(edges: DataFrame) -> DataFrame:
     """(component, members in order, n_edges): groups of nodes on common cycles with the edges among them."""
-    comps = strong_components(edges)
+    edges = scratch(edges.select("src", "dst"), "edges")
+    comps = scratch(strong_components(edges), "scc")
     ends = edges.join(comps.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(comps.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst")
     counted = ends.where("cs = cd").groupBy(F.col("cs").alias("component")).agg(F.count(F.lit(1)).alias("n_edges"))
     return comps.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members")).join(counted, "component")
