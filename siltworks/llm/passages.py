@@ -2,8 +2,8 @@
 
 1. Every whole text is cut into windows of WINDOW words; each window is stood for by its least hash of ANCHOR words, so that
    equal windows have equal anchors. Anchors of two documents or more mark where passages may recur.
-2. Windows of recurring anchors are grouped by hash. A window found in two documents is a recurring window; its least document is its home,
-   and the groups of documents that hold it are noted.
+2. Windows of recurring anchors are grouped by hash, in segments where all documents agree, else one by one. A window found in two
+   documents is a recurring window; its least document is its home, and the groups of documents that hold it are noted.
 3. In its home, each run of recurring windows is a passage. It is cut into pieces of PIECE words, so that any window of it
    holds a whole piece, and sent to the groups of documents that hold some of its windows.
 4. Each group compiles its passages' pieces into one Aho-Corasick automaton over word numbers and streams its documents through
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.wordhash import Words, blocks, encoded, mix, windows
+from siltworks.llm.wordhash import Words, blocks, encoded, mix, spans, windows
 from siltworks.session import scratch, ship_package
 
 WINDOW = 50
@@ -81,49 +81,72 @@ def group_of(doc_id: Column, groups: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(groups)).cast("int")
 
 
-def recurring_windows(texts: DataFrame, groups: int, width: int = WINDOW) -> DataFrame:
-    """From (doc_id, text, anchors that recur): (home, place in home, groups that hold it) per distinct recurring window."""
+def segments(texts: DataFrame, groups: int, width: int = WINDOW) -> DataFrame:
+    """From (doc_id, text, anchors that recur): distinct segments (anchor, segment, home, place, n, windows, latest, groups).
+
+    A segment is a run of windows with one anchor. Documents that share a passage share the segments inside it, so most windows need no row
+    of their own. windows holds 12 bytes of hash for each window of the segment; home and place are its least document and where it starts there."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column("doc_id").to_pylist(), batch.column("anchors").to_pylist()
-            out: list[tuple[np.ndarray, ...]] = []
             for first, block in blocks(_texts(batch.column("text"))):
                 words = Words(block)
                 found = anchors_of(words.hashes, width)
                 whole, other = windows(words.hashes, width), windows(mix(words.hashes ^ _SALT), width)
+                packed = np.empty((len(whole), 3), np.uint32)
+                packed[:, 0], packed[:, 1], packed[:, 2] = whole & np.uint64(0xFFFFFFFF), whole >> np.uint64(32), other >> np.uint64(32)
+                out: list[tuple] = []
                 bounds = words.bounds.tolist()
                 for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                     if b - a < width:
                         continue
-                    places = np.flatnonzero(np.isin(found[a : b - width + 1], np.array(marks[first + i], np.int64).view(np.uint64)))
-                    if len(places):
-                        out.append((whole[a + places], other[a + places], np.full(len(places), ids[first + i], np.int64), places))
-                if sum(len(x[0]) for x in out) > 100_000:
-                    yield _window_batch(out)
-                    out = []
-            if out:
-                yield _window_batch(out)
-
-    rows = texts.select("doc_id", "text", "anchors").mapInArrow(cut, "h long, h2 int, doc_id long, place int")
-    held = rows.groupBy("h", "h2").agg(
+                    own = found[a : b - width + 1]
+                    hit = np.isin(own, np.array(marks[first + i], np.int64).view(np.uint64))
+                    edge = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]), [True])))
+                    starts, ends = edge[:-1], edge[1:]
+                    keep = hit[starts]
+                    starts, ends = starts[keep], ends[keep]
+                    keys = spans(words.hashes, a + starts, a + ends + width - 1).view(np.int64)
+                    for s, e, key in zip(starts.tolist(), ends.tolist(), keys.tolist(), strict=True):
+                        out.append((int(own[s].view(np.int64)), key, ids[first + i], s, e - s, packed[a + s : a + e].tobytes()))
+                columns = zip(*out, strict=True) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    kinds = {"anchor": pa.int64(), "segment": pa.int64(), "doc_id": pa.int64(), "place": pa.int32(), "n": pa.int32(), "windows": pa.binary()}
+    rows = texts.select("doc_id", "text", "anchors").mapInArrow(cut, "anchor long, segment long, doc_id long, place int, n int, windows binary")
+    return rows.groupBy("anchor", "segment", "n").agg(
         F.min(F.struct("doc_id", "place")).alias("home"),
+        F.first("windows").alias("windows"),
         F.max("doc_id").alias("latest"),
         F.collect_set(group_of(F.col("doc_id"), groups)).alias("groups"),
     )
-    return held.where("home.doc_id < latest").select(F.col("home.doc_id").alias("home"), F.col("home.place").alias("place"), "groups")
 
 
-def _window_batch(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    h, h2, ids, places = (np.concatenate(c) for c in zip(*parts, strict=True))
-    arrays = [pa.array(h.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids), pa.array(places.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(arrays, ["h", "h2", "doc_id", "place"])
+def recurring_windows(found: DataFrame) -> DataFrame:
+    """(home, place, n, groups): runs of n windows from place in home that two documents or more hold, with the groups of those documents.
+
+    Where an anchor has one segment only, that segment's documents are all that hold its windows. Where it has several, their windows are
+    compared one by one."""
+    several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
+    alone = found.join(several, "anchor", "left_anti").where("home.doc_id < latest")
+    rows = found.join(several, "anchor").select("home", "latest", "groups", "n", "windows")
+    one = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.substring("windows", i * 12 + 1, F.lit(12)).alias("h")))
+    flat = rows.select("home", "latest", "groups", F.explode(one).alias("w"))
+    held = flat.groupBy("w.h").agg(
+        F.min(F.struct(F.col("home.doc_id").alias("doc_id"), (F.col("home.place") + F.col("w.i")).alias("place"))).alias("home"),
+        F.max("latest").alias("latest"),
+        F.array_distinct(F.flatten(F.collect_set("groups"))).alias("groups"),
+    )
+    held = held.where("home.doc_id < latest").withColumn("n", F.lit(1))
+    columns = [F.col("home.doc_id").alias("home"), F.col("home.place").alias("place"), "n", "groups"]
+    return alone.select(*columns).unionByName(held.select(*columns))
 
 
 def passages(windows_at: DataFrame, texts: DataFrame, width: int = WINDOW) -> DataFrame:
     """(group, home, passage): each run of recurring windows of a home document, cut to what the group holds."""
-    wanted = windows_at.select("home", "place", F.explode("groups").alias("group"))
-    runs = wanted.groupBy("home", "group").agg(F.collect_list("place").alias("places"))
+    wanted = windows_at.select("home", F.struct("place", "n").alias("run"), F.explode("groups").alias("group"))
+    runs = wanted.groupBy("home", "group").agg(F.collect_list("run").alias("places"))
     per_home = runs.groupBy("home").agg(F.collect_list(F.struct("group", "places")).alias("wanted"))
     joined = per_home.join(texts.select(F.col("doc_id").alias("home"), "text"), "home")
 
@@ -134,7 +157,7 @@ def passages(windows_at: DataFrame, texts: DataFrame, width: int = WINDOW) -> Da
             for home, text, wants in zip(homes_in.to_pylist(), _texts(texts_in), wanted_in.to_pylist(), strict=True):
                 words = text.split()
                 for want in wants:
-                    places = np.unique(np.array(want["places"], np.int64))
+                    places = np.unique(np.concatenate([np.arange(r["place"], r["place"] + r["n"]) for r in want["places"]]))
                     for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
                         last = int(run[-1]) + width
                         if last <= len(words):
@@ -244,18 +267,21 @@ def _streamed(docs: DataFrame, found: DataFrame, groups: int, width: int, emit,
     return both.mapInArrow(stream, schema)
 
 
-def locate(docs: DataFrame, width: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """The survey of docs, the ids of documents that may hold a repeat, the passages by group, and the number of groups."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    surveyed = scratch(survey(rows, width), "survey")
-    groups = max(1, -(-surveyed.count() // DOCS_PER_GROUP))
+def suspects_of(surveyed: DataFrame) -> DataFrame:
+    """(doc_id, anchors): documents that share an anchor with another one, and which."""
     marks = surveyed.where("doc_id IS NOT NULL").select("doc_id", F.explode("anchors").alias("anchor"))
     twice = marks.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor")
-    suspects = scratch(marks.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "suspects")
-    texts = rows.join(suspects, "doc_id")
-    at = scratch(recurring_windows(texts, groups, width), "windows")
-    found = scratch(passages(at, rows, width), "passages")
-    return surveyed, suspects.select("doc_id"), found, groups
+    return marks.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+
+
+def located_passages(texts: DataFrame, groups: int, width: int = WINDOW) -> DataFrame:
+    """Passages by group from (doc_id, text, anchors)."""
+    at = scratch(recurring_windows(scratch(segments(texts, groups, width), "segments")), "windows")
+    return scratch(passages(at, texts, width), "passages")
+
+
+def groups_for(n_docs: int) -> int:
+    return max(1, -(-n_docs // DOCS_PER_GROUP))
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -267,16 +293,21 @@ def repeated_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     A word goes if a window of width words over it also starts in a document of smaller doc_id; windows are judged on the input. Null and empty
     texts have no words. Rows with a null doc_id lose nothing and are no evidence. Rows of equal doc_id are no evidence against each other.
     """
-    surveyed, suspects, found, groups = locate(docs, width)
-    plain = surveyed.join(suspects, "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(suspects, "doc_id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    surveyed = scratch(survey(rows, width), "survey")
+    suspects = scratch(suspects_of(surveyed), "suspects")
+    texts = scratch(rows.join(suspects, "doc_id"), "texts")
+    groups = groups_for(surveyed.count())
+    found = located_passages(texts, groups, width)
+    plain = surveyed.join(suspects.select("doc_id"), "doc_id", "left_anti")
+    plain = plain.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
 
     def emit(row: dict, text: bytes, words: list[bytes], covered: np.ndarray) -> dict:
         kept = [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone]
         digest = hashlib.sha256(b" ".join(kept)).hexdigest()
         return {"doc_id": row["doc_id"], "n_words": len(words), "n_removed": len(words) - len(kept), "kept_sha256": digest}
 
-    return plain.unionByName(_streamed(rows, found, groups, width, emit, _RESULT, []))
+    return plain.unionByName(_streamed(texts, found, groups, width, emit, _RESULT, []))
 
 
 def without_words(text: bytes, words: list[bytes], covered: np.ndarray) -> str:
@@ -296,10 +327,13 @@ def without_words(text: bytes, words: list[bytes], covered: np.ndarray) -> str:
 def cut_documents(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs with repeated passages cut out of text and n_chars counted anew. A document all of whose words go is dropped; one that loses nothing
     is unchanged."""
-    _, suspects, found, groups = locate(docs, width)
     names = docs.columns
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(n).alias(f"d_{n}") for n in names if n != "text"])
-    plain = held.join(suspects, "doc_id", "left_anti")
+    surveyed = scratch(survey(held, width), "survey")
+    groups = groups_for(surveyed.count())
+    marked = scratch(held.join(suspects_of(surveyed), "doc_id", "left"), "texts")
+    plain, texts = marked.where("anchors IS NULL"), marked.where("anchors IS NOT NULL")
+    found = located_passages(texts, groups, width)
     columns = [f"d_{n}" for n in names if n != "text"]
 
     def emit(row: dict, text: bytes, words: list[bytes], covered: np.ndarray) -> dict | None:
@@ -311,7 +345,7 @@ def cut_documents(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     kinds = dict(held.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("text", *columns))
-    cut = _streamed(held.join(suspects, "doc_id", "left_semi"), found, groups, width, emit, schema, columns)
+    cut = _streamed(texts, found, groups, width, emit, schema, columns)
     rows = plain.select("text", *columns).unionByName(cut)
     made = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNull(), F.col("d_n_chars")).otherwise(F.length("text").cast("long"))} if "n_chars" in names else {"text": F.col("text")}
     return rows.select(*[made[n].alias(n) if n in made else F.col(f"d_{n}").alias(n) for n in names])

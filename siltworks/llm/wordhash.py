@@ -89,6 +89,15 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * down[: n - width + 1] + np.uint64(width))
 
 
+def spans(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the words from each start to each end."""
+    up, down = powers(_WORD_BASE, len(hashes) + 1)
+    sums = np.empty(len(hashes) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def blocks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """Cut a list of texts into runs of about BLOCK_BYTES: (index of the first, texts)."""
     run: list[bytes] = []
