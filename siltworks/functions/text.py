@@ -87,15 +87,17 @@ def boost_keywords(text: Column, keywords: Sequence[str], times: int = 5) -> Col
     return out
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def inject_headers(text: Column) -> Column:
     """Paragraphs apart by blank lines become a heading (first line) and a paragraph (the rest)."""
-    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
-    made = F.transform(
-        parts,
-        lambda p: F.concat(
-            F.lit("<h2>"), F.trim(F.substring_index(p, "\n", 1)), F.lit("</h2><p>"), F.trim(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 1, F.length(p))), F.lit("</p>")
-        ),
-    )
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda p: F.length(p) > 0)
+    head = lambda p: F.substring_index(p, "\n", 1)
+    rest = lambda p: F.substring(p, F.length(head(p)) + 1, F.length(p))
+    made = F.transform(parts, lambda p: F.concat(F.lit("<h2>"), strip(head(p)), F.lit("</h2><p>"), strip(rest(p)), F.lit("</p>")))
     return F.array_join(made, "\n")
 
 

@@ -117,7 +117,7 @@ def boosted_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x)), lambda x: length(x) > 0))::INT AS n_sections, length(text) > 0 AS some FROM documents""")
+SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0))::INT AS n_sections, length(text) > 0 AS some FROM documents""")
 def header_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = T.inject_headers(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(made, F.lit("<h2>")).alias("n_sections"), (F.length("text") > 0).alias("some"))

@@ -60,7 +60,7 @@ def scratch(df: DataFrame, tag: str = "step") -> DataFrame:
     so a lost executor costs a reread, not a recomputation. Removed at exit or by drop_scratch()."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/siltworks-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._siltworks_path = path

@@ -24,7 +24,7 @@ def read_logs(spark: SparkSession, path: str, adapter: str) -> DataFrame:
     """(doc_id, adapter, raw), a row per file with an allowed suffix; blank files are left out."""
     globs = ",".join(s.lstrip(".") for s in LOG_SUFFIXES)
     rows = spark.read.option("pathGlobFilter", "*.{" + globs + "}").text(path, wholetext=True)
-    return rows.where(F.length(F.trim("value")) > 0).select(F.col("_metadata.file_path").alias("doc_id"), F.lit(adapter).alias("adapter"), F.col("value").alias("raw"))
+    return rows.where(F.col("value").rlike(r"\S")).select(F.col("_metadata.file_path").alias("doc_id"), F.lit(adapter).alias("adapter"), F.col("value").alias("raw"))
 
 
 def select_source(command: Sequence[str] | None, path: str | None, stdin: str | None) -> tuple[str, object]:
