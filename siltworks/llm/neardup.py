@@ -170,7 +170,8 @@ class _Sets:
                 sets = shingle_sets(encoded(batch.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
-        made = scratch(self.texts.join(new, "rep", "left_semi").mapInArrow(make, "rep long, shingles binary"), f"sets{tag}")
+        # Always a merge join: the ids grow with the table, and the plan should be the same at every size.
+        made = scratch(self.texts.join(new.hint("merge"), "rep", "left_semi").mapInArrow(make, "rep long, shingles binary"), f"sets{tag}")
         self.table = made if self.table is None else self.table.unionByName(made)
         return self.table
 
