@@ -15,6 +15,7 @@ A passage goes to a group once however many of its documents hold it, so a passa
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ WINDOW = 50
 ANCHOR = 16
 #: Any run of WINDOW words holds a whole piece, as pieces start every WINDOW - PIECE + 1 words.
 PIECE = 25
-#: Documents of one group, which is one task of the last step and one automaton.
-DOCS_PER_GROUP = 4000
+#: Documents of one group, which shares one automaton: what an automaton holds is bounded by what so few documents hold.
+DOCS_PER_GROUP = 1000
+#: Tasks of the last step at most; beyond that a task goes through several groups in turn.
+MOST_TASKS = 20_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -185,23 +188,24 @@ class PassageAutomaton:
 
         self.width = width
         self.numbers: dict[bytes, int] = {}
-        self.passages: list[tuple[int, tuple[int, ...]]] = []
+        self.passages: list[tuple[int, array]] = []
         self.pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
 
     def add(self, home: int, passage: bytes) -> None:
         numbers = self.numbers
-        words = tuple(numbers.setdefault(w, len(numbers) + 1) for w in passage.split())
+        words = array("I", [numbers.setdefault(w, len(numbers) + 1) for w in passage.split()])
         number = len(self.passages)
         self.passages.append((home, words))
         for at in range(0, len(words) - PIECE + 1, self.width - PIECE + 1):
-            self.pieces.setdefault(words[at : at + PIECE], []).append((number, at))
+            self.pieces.setdefault(tuple(words[at : at + PIECE]), []).append((number, at))
 
     def compile(self) -> None:
         for piece, at in self.pieces.items():
             self.automaton.add_word(piece, at)
         if self.pieces:
             self.automaton.make_automaton()
+        self.pieces = dict.fromkeys(list(self.pieces)[:1])  # the automaton holds them now
 
     def covered(self, doc_id: int, words: list[bytes]) -> np.ndarray:
         """Which words lie in a window of an earlier home's passage."""
@@ -237,7 +241,7 @@ def _streamed(docs: DataFrame, found: DataFrame, groups: int, width: int, emit,
     shape = [F.col("group"), F.lit(0).alias("kind"), F.col("home").alias("doc_id"), F.col("passage").alias("text")]
     shape += [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in columns]
     mine = docs.select(group_of(F.col("doc_id"), groups).alias("group"), F.lit(1).alias("kind"), "doc_id", "text", *columns)
-    both = found.select(*shape).unionByName(mine).repartition(groups, "group").sortWithinPartitions("group", "kind")
+    both = found.select(*shape).unionByName(mine).repartition(min(groups, MOST_TASKS), "group").sortWithinPartitions("group", "kind")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, automaton, ready = None, PassageAutomaton(width), False
