@@ -1,6 +1,6 @@
 """Property-graph operators: containment, degrees, components, cycles, depth, bounded neighbourhoods, crawls and rollups.
 
-Iterations are DataFrame loops; each round ends in a table in the shared checkpoint folder, so lineage stays short and a lost
+Small graphs (LOCAL_EDGES, counted first) are solved in one pass. Beyond that iterations are DataFrame loops; each round ends in a table in the shared checkpoint folder, so lineage stays short and a lost
 executor costs one reread.
 """
 
@@ -13,6 +13,10 @@ from siltworks.functions.text import package_prefixes
 from siltworks.session import drop_scratch, scratch
 
 
+#: A graph of at most so many edges is counted, then solved in one pass on the driver; larger ones go through the distributed loops.
+LOCAL_EDGES = 50_000
+
+
 def package_nodes(modules: DataFrame, module: str) -> DataFrame:
     """Every package on the way to a module, and the modules: (node_id, node_type)."""
     prefixes = F.explode(F.slice(package_prefixes(F.col(module)), 1, F.size(F.split(module, r"\.")) - 1))
@@ -87,6 +91,10 @@ def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """
     if not hasattr(edges, "_siltworks_path"):
         edges = scratch(edges.select("src", "dst"), "edges")
+    kind = dict(edges.dtypes)["src"]
+    if edges.count() <= LOCAL_EDGES:
+        pairs = [(r[0], r[1]) for r in edges.select("src", "dst").collect() if r[0] is not None and r[1] is not None]
+        return edges.sparkSession.createDataFrame(local_components(pairs), f"node {kind}, component {kind}")
     left = trim(edges)
     found: DataFrame | None = None
     for _ in range(most_rounds):
@@ -102,13 +110,81 @@ def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         rest = rest.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
         left = trim(rest.where("cs = cd").select("src", "dst"))
     if found is None:
-        return edges.sparkSession.createDataFrame([], f"node {dict(edges.dtypes)['src']}, component {dict(edges.dtypes)['src']}")
+        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     kept = found.join(sizes, "component").join(loops.withColumn("loop", F.lit(True)), "node", "left").where("n > 1 OR loop")
     return kept.select("node", "component")
 
 
+def local_components(pairs: list[tuple]) -> list[tuple]:
+    """(node, least node of its cycle group) by Tarjan's single pass, without recursion; nodes on no cycle are left out."""
+    after: dict = {}
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+        after.setdefault(b, [])
+    order: dict = {}
+    low: dict = {}
+    path: list = []
+    on_path: set = set()
+    out: list[tuple] = []
+    for start in after:
+        if start in order:
+            continue
+        work = [(start, iter(after[start]))]
+        order[start] = low[start] = len(order)
+        path.append(start)
+        on_path.add(start)
+        while work:
+            node, rest = work[-1]
+            for b in rest:
+                if b not in order:
+                    order[b] = low[b] = len(order)
+                    path.append(b)
+                    on_path.add(b)
+                    work.append((b, iter(after[b])))
+                    break
+                if b in on_path:
+                    low[node] = min(low[node], order[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    at = len(path) - 1
+                    while path[at] != node:
+                        at -= 1
+                    group = path[at:]
+                    del path[at:]
+                    on_path.difference_update(group)
+                    if len(group) > 1 or node in after[node]:
+                        least = min(group)
+                        out += [(x, least) for x in group]
+    return out
+
+
+def local_depths(pairs: list[tuple]) -> list[tuple]:
+    """(child, longest way up) for every child, None where a cycle can be reached."""
+    up: dict = {}
+    for child, parent in pairs:
+        up.setdefault(child, set()).add(parent)
+    waiting = {c: len(ps) for c, ps in up.items()}
+    below: dict = {}
+    for c, ps in up.items():
+        for p in ps:
+            below.setdefault(p, []).append(c)
+    depth = {p: 0 for p in below if p not in up}
+    todo = list(depth)
+    while todo:
+        p = todo.pop()
+        for c in below.get(p, []):
+            depth[c] = max(depth.get(c, 0), depth[p] + 1)
+            waiting[c] -= 1
+            if not waiting[c]:
+                todo.append(c)
+    return [(c, None if waiting[c] else depth[c]) for c in up]
+
+
 def _spread_least(labels: DataFrame, edges: DataFrame, src: str, dst: str, most_rounds: int = 1000) -> DataFrame:
     now = scratch(labels, "colour")
     for _ in range(most_rounds):
@@ -148,6 +224,9 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
 def longest_depth(edges: DataFrame, child: str = "child", parent: str = "parent", most_rounds: int = 1000) -> DataFrame:
     """(node, depth): longest way up to a root for nodes with a parent; null where a cycle can be reached."""
     links = scratch(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("parent IS NOT NULL").distinct(), "depth")
+    if links.count() <= LOCAL_EDGES:
+        pairs = [(r["child"], r["parent"]) for r in links.collect() if r["child"] is not None]
+        return edges.sparkSession.createDataFrame(local_depths(pairs), f"node {dict(links.dtypes)['child']}, depth int")
     settled = scratch(
         links.select(F.col("parent").alias("node")).distinct().join(links.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)), "depth"
     )

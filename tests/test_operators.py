@@ -43,7 +43,9 @@ def test_log_edges(spark):
         logs.report(parsed(spark, LOG), "xml")
 
 
-def test_graph_fixtures(spark):
+@pytest.mark.parametrize("local_edges", [0, 50_000])
+def test_graph_fixtures(spark, monkeypatch, local_edges):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local_edges)
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("self", "self"), ("d", "e")], "src string, dst string")
     groups = {tuple(r["members"]) for r in graph.cycle_groups(e).collect()}
     assert groups == {("a", "b"), ("c", "d"), ("self",)}
