@@ -3,7 +3,8 @@
 A tolerant tree builder supplies the tags that HTML implies (a paragraph ends where a block starts, list items, table rows and cells and options
 end where the next starts) and ignores end tags without a start. Rendering leaves out what is not shown (scripts, styles, the head, hidden
 elements), collapses white space outside preformatted text, sets blocks apart, marks and indents list items and aligns
-the cells of tables.
+the cells of tables. Of drawings and formulas it gives the text in reading order, without its places; what <use> repeats is given
+only where it stands itself.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from siltworks.session import ship_package
 # Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER_SHOWN = frozenset("script style head title template noscript noembed noframes iframe object datalist meta link audio video canvas svg math".split())
+NEVER_SHOWN = frozenset("script style head title template noscript noembed noframes iframe object datalist meta link audio video canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split()
@@ -37,16 +38,31 @@ IMPLIED_ENDS = {
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
+    "td": ({"td", "th", "caption"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
+    "colgroup": ({"caption"}, {"table"}),
+    "col": ({"caption"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
 SCOPES = frozenset("table td th button object html".split())
+SECTIONS = frozenset("tbody thead tfoot".split())
+ROW_PARENTS = SECTIONS | {"table"}
+#: Start tags that end an open drawing or formula, and elements inside one whose content is HTML again.
+BREAKOUTS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small "
+    "span strong strike sub sup table tt u ul var".split()
+)
+HTML_AGAIN = frozenset("foreignobject desc mi mo mn ms mtext".split())
+#: What drawings and formulas do not show, and the parts of formulas that stand above, below or beside each other.
+NOT_DRAWN = frozenset(
+    "defs symbol desc metadata clippath mask marker pattern filter lineargradient radialgradient annotation annotation-xml mphantom".split()
+)
+MATH_SPLIT = frozenset("mfrac msub msup msubsup munder mover munderover mmultiscripts mroot mtable mtr mlabeledtr".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([A-Za-z][^\s/>]*)[^>]*>"
@@ -61,17 +77,25 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "foreign", "tag")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes = tag, attributes
+    def __init__(self, tag: str, attributes: dict[str, str], foreign: bool = False):
+        self.tag, self.attributes, self.foreign = tag, attributes, foreign
         self.children: list[Node | str] = []
 
+    def holds_foreign(self) -> bool:
+        """Children belong to the drawing or formula, not to HTML."""
+        if not self.foreign or self.tag in HTML_AGAIN:
+            return False
+        return self.tag != "annotation-xml" or self.attributes.get("encoding", "").lower() not in ("text/html", "application/xhtml+xml")
+
     def shown(self) -> bool:
         if self.tag in NEVER_SHOWN or "hidden" in self.attributes:
             return False
         if self.tag == "input" and self.attributes.get("type", "").lower() == "hidden":
             return False
+        if self.foreign and (self.tag in NOT_DRAWN or self.attributes.get("display") == "none" or self.attributes.get("visibility") in ("hidden", "collapse")):
+            return False
         return not _HIDING_STYLE.search(self.attributes.get("style", ""))
 
 
@@ -82,6 +106,20 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _self_closing(raw: str) -> bool:
+    """The tag ends in a slash that is not part of a value without quotes."""
+    if not raw.endswith("/"):
+        return False
+    before = raw[:-1]
+    return not before or before[-1] in " \t\n\r\f\"'/" or not ("=" in before.split()[-1] or before.rpartition(before.split()[-1])[0].rstrip().endswith("="))
+
+
+def _text(stack: list[Node], text: str) -> None:
+    if stack[-1].tag == "colgroup" and _SPACE.sub("", text):
+        stack.pop()
+    stack[-1].children.append(text)
+
+
 def parse(html: str) -> Node:
     """The tree of a page; every page gives one, whatever is wrong with it."""
     root = Node("html", {})
@@ -90,20 +128,33 @@ def parse(html: str) -> Node:
     while at < n:
         token = _TOKEN.search(html, at) if html.find(">", at) >= 0 else None
         if token is None:
-            stack[-1].children.append(unescape(html[at:]))
+            _text(stack, unescape(html[at:]))
             break
         if token.start() > at:
-            stack[-1].children.append(unescape(html[at : token.start()]))
+            _text(stack, unescape(html[at : token.start()]))
         at = token.end()
+        if stack[-1].foreign and html.startswith("<![CDATA[", token.start()) and stack[-1].holds_foreign():
+            end = html.find("]]>", token.start())
+            _text(stack, html[token.start() + 9 : end if end >= 0 else n])
+            at = end + 3 if end >= 0 else n
+            continue
         if token[2]:
             tag = token[2].lower()
             if tag == "html" or (tag == "body" and any(x.tag == "body" for x in stack)):
                 root.attributes |= _attributes(token[3] or token[4] or "") if tag == "html" else {}
                 continue
+            if stack[-1].foreign and tag in BREAKOUTS:
+                while stack[-1].holds_foreign():
+                    stack.pop()
             _imply(stack, tag)
             raw = token[3] if token[3] is not None else token[4]
-            node = Node(tag, _attributes(raw) if raw.strip(" /") else {})
+            foreign = tag in ("svg", "math") or stack[-1].holds_foreign()
+            node = Node(tag, _attributes(raw) if raw.strip(" /") else {}, foreign)
             stack[-1].children.append(node)
+            if foreign and _self_closing(raw):
+                continue
+            if tag == "form" and stack[-1].tag in (*ROW_PARENTS, "tr"):
+                continue  # as in browsers, such a form holds nothing and what follows stays in the table
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.IGNORECASE).search(html, at)
                 end = close.start() if close else n
@@ -135,6 +186,12 @@ def _imply(stack: list[Node], tag: str) -> None:
                 cut = i
         if cut is not None:
             del stack[cut:]
+    if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+        stack.pop()
+    if tag in ("td", "th") and stack[-1].tag in ROW_PARENTS and len(stack) < MOST_OPEN:
+        row = Node("tr", {})
+        stack[-1].children.append(row)
+        stack.append(row)
     if stack[-1].tag == "head" and tag not in NEVER_SHOWN and tag not in ("base", "basefont", "bgsound"):
         stack.pop()
 
@@ -214,10 +271,32 @@ def _cells(table: Node) -> Iterator[Node]:
         if isinstance(child, Node) and child.shown():
             if child.tag == "tr":
                 yield child
-            elif child.tag in ("tbody", "thead", "tfoot"):
+            elif child.tag in SECTIONS:
                 yield from _cells(child)
 
 
+def _strays(table: Node) -> Iterator[Node | str]:
+    """What lies in a table or its sections without being a row."""
+    for child in table.children:
+        if isinstance(child, str):
+            yield child
+        elif child.shown():
+            if child.tag in SECTIONS:
+                yield from _strays(child)
+            elif child.tag not in ("tr", "colgroup", "col"):
+                yield child
+
+
+def _drawn(node: Node) -> Iterator[Node]:
+    """The elements of a drawing that show text; text elsewhere in it is not painted."""
+    for child in node.children:
+        if isinstance(child, Node) and child.shown():
+            if child.tag in ("text", "foreignobject"):
+                yield child
+            else:
+                yield from _drawn(child)
+
+
 def _span(cell: Node) -> int:
     raw = cell.attributes.get("colspan", "1")
     return min(max(int(raw), 1), 1000) if raw.isascii() and raw.isdigit() else 1
@@ -226,9 +305,8 @@ def _span(cell: Node) -> int:
 def _table(table: Node, depth: int) -> list[str]:
     """Cells side by side in columns of equal width, lines of a cell under each other; captions and stray content come first."""
     before = _Lines()
-    for child in table.children:
-        if isinstance(child, str) or (child.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col") and child.shown()):
-            _walk([child], before, depth, False)
+    for child in _strays(table):
+        _walk([child], before, depth, False)
     out = before.done()
     rows: list[list[tuple[list[str], int]]] = []
     for row in _cells(table):
@@ -310,7 +388,17 @@ def _walk(nodes: list, out: _Lines, depth: int, pre: bool) -> None:
             out.block(tag in SPACED)
             _walk(node.children, out, depth + 1, pre)
             out.block(tag in SPACED)
-        elif tag in ("td", "th", "option", "button"):
+        elif tag == "svg" and node.foreign:
+            for part in _drawn(node):
+                out.inline(" ")
+                _walk(part.children, out, depth + 1, False)
+                out.inline(" ")
+        elif tag in MATH_SPLIT and node.foreign:
+            for part in node.children:
+                out.inline(" ")
+                _walk([part], out, depth + 1, False)
+                out.inline(" ")
+        elif tag in ("td", "th", "option", "button", "mtd") or (tag == "tspan" and not {"x", "y", "dy"}.isdisjoint(node.attributes)):
             out.inline(" ")
             _walk(node.children, out, depth + 1, pre)
             out.inline(" ")

@@ -175,6 +175,29 @@ def test_rendering():
     assert v("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_rendering_loses_no_table_text():
+    v = render.visible_text
+    assert v("<table><tbody><td>x</td><td>y</td></table>") == "x  y"
+    assert v("<table><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert v("<table><tbody><form><tr><td>x<td>y</tr></form></tbody></table>") == "x  y"
+    assert v("<table><tbody>stray<tr><td>x</table>") == "stray\nx"
+    assert v("<table><thead><div>stray</div></thead><tbody hidden>no<tr><td>no</table>") == "stray"
+    assert v("<table><colgroup><col><tbody><tr><td>x<td>y</table>") == "x  y"
+    assert v("<table><colgroup><col><tr><td>x</table>") == v("<table><colgroup><col><td>x</table>") == "x"
+    assert v("<table><colgroup> text<tr><td>x</table>") == "text\nx"
+    assert v("<table><caption>c<td>x</table>") == "c\nx"
+
+
+def test_rendering_shows_drawings_and_formulas():
+    v = render.visible_text
+    assert v("a <svg><title>no</title><rect/><defs/><text>up <tspan>on</tspan></text> no <text>two</text></svg> b") == "a up on two b"
+    assert v("<svg><defs><text>no</text></defs><title/><style/><text><![CDATA[1 < 2]]></text></svg>after") == "1 < 2 after"
+    assert v("<svg><g><path d='M0'><p>out") == "out"
+    assert v("<svg><foreignObject><p>in<p>side</foreignObject><text display=none>no</text></svg>") == "in\n\nside"
+    assert v("<math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>") == "x= 1 2"
+    assert v("<a href=x/>kept</a> <desc>kept</desc>") == "kept kept"
+
+
 def test_rendering_rows(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (2, "v", "<" * 500)]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, text string")
