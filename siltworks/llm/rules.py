@@ -3,9 +3,12 @@
 Each rule rejects a document whose score lies above a cutoff of its stratum (its language). On labelled documents
 known to be good, cutoffs are tried from lenient to strict; a cutoff is certified when the exact binomial test refutes a
 false-rejection rate above RISK at the corrected level. Testing in a fixed order needs no correction along the cutoffs (the
-first failure ends it); the level is divided by the number of rules times strata (Bonferroni). So with probability
-1 - ERROR no rule rejects more than RISK of the good documents of any stratum. Where labels are too few, nothing is certified and the
-rule rejects nothing.
+first failure ends it); the level is divided by the number of rules times tests (Bonferroni), one test for each stratum and one for all
+strata pooled. So with probability 1 - ERROR no rule rejects more than RISK of the good documents of any stratum large enough to be tested.
+
+A stratum whose good labels are too few to certify any cutoff, even without a false rejection, takes the cutoffs certified on the pool, as far as
+its own labels do not refute them. Their bound is RISK over the good documents of all strata together; for a stratum with a share w of the good
+labels that is RISK / w at most. Where the pool too has too few labels (about 1,280 with four strata), the rule rejects nothing.
 """
 
 from __future__ import annotations
@@ -77,6 +80,10 @@ def tail_probability(n: int, failures: int, risk: float) -> float:
     """P(Bin(n, risk) <= failures), exactly summed; 1 where failures reach the mean."""
     if n == 0 or failures >= n * risk:
         return 1.0
+    return _at_most(n, failures, risk)
+
+
+def _at_most(n: int, failures: int, risk: float) -> float:
     k = np.arange(failures + 1, dtype=float)
     steps = np.log(np.maximum(n - k[:-1], 1)) - np.log(k[:-1] + 1) + math.log(risk) - math.log1p(-risk)
     logs = n * math.log1p(-risk) + np.concatenate(([0.0], np.cumsum(steps)))
@@ -94,9 +101,19 @@ def certified(n: int, failures: list[int], cutoffs: tuple[float, ...], risk: flo
     return best
 
 
+def pooled_cutoff(n: int, failures: list[int], cutoffs: tuple[float, ...], pooled: float | None, risk: float, level: float) -> float | None:
+    """The strictest cutoff up to the pooled one reached before the first at which the stratum's own labels show more than risk."""
+    best = None
+    for cutoff, failed in zip(cutoffs, failures, strict=True):
+        if pooled is None or cutoff < pooled or (failed and 1 - _at_most(n, failed - 1, risk) <= level):
+            break
+        best = cutoff
+    return best
+
+
 def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, one cutoff column per rule, null where none is certified). Counts over all labelled rows; labels that repeat or
-    contradict each other count as good only if all say so. One row per stratum is all that reaches the tests."""
+    """(stratum, one cutoff column per rule, null where none is certified on the stratum or, if that is too small, on all strata). Counts over
+    all labelled rows; labels that repeat or contradict each other count as good only if all say so. One row per stratum is all that reaches the tests."""
     scores = rule_scores()
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     rows = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
@@ -106,17 +123,24 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", ri
     )
     counts = scratch(counts, "strata")
     strata = max(1, counts.count())
-    level = error / (len(CUTOFFS) * strata)
+    level = error / (len(CUTOFFS) * (strata + (strata > 1)))
+    pool = counts.agg(F.sum("n").alias("n_pool"), *[F.array(*[F.sum(F.col(r)[i]) for i in range(len(cuts))]).alias(f"{r}_pool") for r, cuts in CUTOFFS.items()])
+
+    def cutoff(row: dict, rule: str, cuts: tuple[float, ...]) -> float | None:
+        if tail_probability(row["n"], 0, risk) <= level:
+            return certified(row["n"], row[rule], cuts, risk, level)
+        pooled = certified(row["n_pool"], row[f"{rule}_pool"], cuts, risk, level)
+        return pooled_cutoff(row["n"], row[rule], cuts, pooled, risk, level)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             yield pa.RecordBatch.from_pylist(
-                [{"stratum": r["stratum"]} | {k: certified(r["n"], r[k], cuts, risk, level) for k, cuts in CUTOFFS.items()} for r in rows],
+                [{"stratum": r["stratum"]} | {k: cutoff(r, k, cuts) for k, cuts in CUTOFFS.items()} for r in rows],
                 pa.schema([("stratum", pa.string()), *((k, pa.float64()) for k in CUTOFFS)]),
             )
 
-    return counts.mapInArrow(test, "stratum string" + "".join(f", {k} double" for k in CUTOFFS))
+    return counts.crossJoin(F.broadcast(pool)).mapInArrow(test, "stratum string" + "".join(f", {k} double" for k in CUTOFFS))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:

@@ -42,6 +42,24 @@ def test_certified_cutoffs_bound_false_rejections(spark):
     assert {r["kept"]: r["count"] for r in got} == {True: 8100, False: 900}
 
 
+def test_small_strata_take_pooled_cutoffs(spark):
+    good = " ".join(f"good{i}" for i in range(40))
+    bad = " ".join(f"bad{i}***" for i in range(40))
+    lang = lambda i: "en" if i % 50 < 44 else "de" if i % 50 < 49 else "xx"
+    docs = spark.createDataFrame([(i, bad if i // 50 % 5 == 0 or lang(i) == "xx" else good, lang(i)) for i in range(4000)], "doc_id long, text string, lang string")
+    quality = (F.expr("doc_id div 50 % 5 <> 0") | (F.col("lang") == "xx")).cast("int").alias("quality")
+    labels = docs.where("lang <> 'xx' OR doc_id < 100").select("doc_id", quality)
+    rows = rules.verdicts(docs, labels).join(docs, "doc_id").groupBy("lang", "kept").count().collect()
+    # German has 320 good labels, too few alone; both labelled documents of xx are good and look bad.
+    assert {(r["lang"], r["kept"]): r["count"] for r in rows} == {("en", True): 2816, ("en", False): 704, ("de", True): 320, ("de", False): 80, ("xx", True): 80}
+
+
+def test_pooled_cutoff_heeds_own_labels():
+    assert rules.pooled_cutoff(300, [0, 0, 0], (0.9, 0.5, 0.1), 0.5, 0.005, 0.001) == 0.5
+    assert rules.pooled_cutoff(300, [0, 40, 40], (0.9, 0.5, 0.1), 0.1, 0.005, 0.001) == 0.9
+    assert rules.pooled_cutoff(300, [0, 0, 0], (0.9, 0.5, 0.1), None, 0.005, 0.001) is None
+
+
 def test_mixing(odd_docs, no_docs, corpus_docs):
     assert mixing.mix(no_docs).collect() == []
     for docs in (odd_docs, corpus_docs):
