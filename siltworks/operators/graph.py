@@ -6,6 +6,9 @@ executor costs one reread.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,11 +86,16 @@ def trim(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     return now
 
 
-def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def _rounds(most_rounds: int | None) -> Iterable[int]:
+    return count() if most_rounds is None else range(most_rounds)
+
+
+def strong_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(node, component) for nodes on a cycle; component is the least node of it. Edges are (src, dst).
 
-    Forward-backward colouring on the trimmed graph: the least id that reaches a node colours it; nodes of a colour that
-    reach the colour's root are that root's component. Found components leave, and the rest goes on.
+    Forward-backward colouring on the trimmed graph: the id of least hash that reaches a node colours it; nodes of a colour that
+    reach the colour's root are that root's component. Found components leave, and the rest goes on until nothing is left; by hash, a chain
+    of components takes about the logarithm of its length in rounds, in whatever order its ids are. With most_rounds it raises when they run out.
     """
     if not hasattr(edges, "_siltworks_path"):
         edges = scratch(edges.select("src", "dst"), "edges")
@@ -97,18 +105,21 @@ def strong_components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         return edges.sparkSession.createDataFrame(local_components(pairs), f"node {kind}, component {kind}")
     left = trim(edges)
     found: DataFrame | None = None
-    for _ in range(most_rounds):
+    for _ in _rounds(most_rounds):
         if left.isEmpty():
             break
         nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        colour = _spread_least(nodes.withColumn("c", F.col("node")), left, "src", "dst")
+        colour = _spread_least(nodes.withColumn("c", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root"))), left, "src", "dst")
         backward = _reach_roots(colour, left)
-        here = scratch(backward.select("node", F.col("c").alias("component")), "scc")
+        here = scratch(backward.join(backward.groupBy("c").agg(F.min("node").alias("component")), "c").select("node", "component"), "scc")
         found = here if found is None else found.unionByName(here)
         gone = here.select(F.col("node").alias("g"))
         rest = left.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti")
         rest = rest.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
         left = trim(rest.where("cs = cd").select("src", "dst"))
+    else:
+        if not left.isEmpty():
+            raise RuntimeError("components did not settle")
     if found is None:
         return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
@@ -185,31 +196,29 @@ def local_depths(pairs: list[tuple]) -> list[tuple]:
     return [(c, None if waiting[c] else depth[c]) for c in up]
 
 
-def _spread_least(labels: DataFrame, edges: DataFrame, src: str, dst: str, most_rounds: int = 1000) -> DataFrame:
+def _spread_least(labels: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
     now = scratch(labels, "colour")
-    for _ in range(most_rounds):
+    while True:
         given = edges.join(now.select(F.col("node").alias(src), F.col("c").alias("given")), src).groupBy(F.col(dst).alias("node")).agg(F.min("given").alias("given"))
         after = scratch(now.join(given, "node", "left").select("node", F.least("c", F.coalesce("given", "c")).alias("c")), "colour")
         changed = after.join(now.select("node", F.col("c").alias("was")), "node").where("c <> was").isEmpty()
         now = after
         if changed:
             return now
-    raise RuntimeError("labels did not settle")
 
 
-def _reach_roots(colour: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def _reach_roots(colour: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that reach the root of their own colour without leaving the colour."""
     inside = edges.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
     inside = scratch(inside.where("cs = cd").select("src", "dst", F.col("cs").alias("c")), "inside")
-    reached = scratch(colour.where("node = c").select("node", "c"), "back")
+    reached = scratch(colour.where("node = c.root").select("node", "c"), "back")
     front = reached
-    for _ in range(most_rounds):
+    while True:
         new = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "c").distinct().join(reached.select("node"), "node", "left_anti")
         front = scratch(new, "front")
         if front.isEmpty():
             return reached
         reached = scratch(reached.unionByName(front), "back")
-    raise RuntimeError("search did not settle")
 
 
 def cycle_groups(edges: DataFrame) -> DataFrame:
@@ -221,8 +230,9 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     return comps.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members")).join(counted, "component")
 
 
-def longest_depth(edges: DataFrame, child: str = "child", parent: str = "parent", most_rounds: int = 1000) -> DataFrame:
-    """(node, depth): longest way up to a root for nodes with a parent; null where a cycle can be reached."""
+def longest_depth(edges: DataFrame, child: str = "child", parent: str = "parent", most_rounds: int | None = None) -> DataFrame:
+    """(node, depth): longest way up to a root for nodes with a parent; null where a cycle can be reached. It goes on until no node can settle;
+    with most_rounds it raises when they run out before."""
     links = scratch(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("parent IS NOT NULL").distinct(), "depth")
     if links.count() <= LOCAL_EDGES:
         pairs = [(r["child"], r["parent"]) for r in links.collect() if r["child"] is not None]
@@ -231,7 +241,7 @@ def longest_depth(edges: DataFrame, child: str = "child", parent: str = "parent"
         links.select(F.col("parent").alias("node")).distinct().join(links.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)), "depth"
     )
     waiting = links
-    for _ in range(most_rounds):
+    for _ in _rounds(most_rounds):
         # A child settles once all its parents have.
         parents = settled.select(F.col("node").alias("parent"), "depth")
         ready = waiting.join(parents, "parent", "left").groupBy("child").agg(F.max("depth").alias("d"), (F.count("depth") == F.count(F.lit(1))).alias("all"))
@@ -240,6 +250,8 @@ def longest_depth(edges: DataFrame, child: str = "child", parent: str = "parent"
             break
         settled = scratch(settled.unionByName(new), "depth")
         waiting = scratch(waiting.join(new.select(F.col("node").alias("child")), "child", "left_anti"), "depth")
+    else:
+        raise RuntimeError("depths did not settle")
     stuck = waiting.select(F.col("child").alias("node")).distinct().withColumn("depth", F.lit(None).cast("int"))
     return settled.where("depth > 0").unionByName(stuck)
 

@@ -43,6 +43,22 @@ def test_log_edges(spark):
         logs.report(parsed(spark, LOG), "xml")
 
 
+def test_graph_loops_end_with_the_whole_answer(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    pairs = [e for k in range(0, 16, 2) for e in ((k, k + 1), (k + 1, k), (k + 1, k + 2))]
+    chain = spark.createDataFrame(pairs, "src long, dst long")
+    want = {(k, k - k % 2) for k in range(16)}
+    assert set(graph.local_components(pairs)) == want
+    # Of eight cycles in a row, rising ids gave one a round.
+    assert {tuple(r) for r in graph.strong_components(chain, most_rounds=6).collect()} == want
+    with pytest.raises(RuntimeError):
+        graph.strong_components(chain, most_rounds=1)
+    up = spark.createDataFrame([(k + 1, k) for k in range(5)] + [(9, 9)], "child long, parent long")
+    assert {tuple(r) for r in graph.longest_depth(up).collect()} == {(k, k) for k in range(1, 6)} | {(9, None)}
+    with pytest.raises(RuntimeError):
+        graph.longest_depth(up, most_rounds=3)
+
+
 @pytest.mark.parametrize("local_edges", [0, 50_000])
 def test_graph_fixtures(spark, monkeypatch, local_edges):
     monkeypatch.setattr(graph, "LOCAL_EDGES", local_edges)
