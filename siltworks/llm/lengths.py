@@ -80,13 +80,17 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def truncated_totals(sums: DataFrame, limits: DataFrame) -> DataFrame:
-    """(context_limit, truncated_total) for each limit of a table of limits: the nearest length at or above answers it."""
+    """(context_limit, truncated_total) for each limit of a table of limits: the nearest length at or above answers it. A limit above the longest
+    document cuts nothing, so all tokens remain; without documents there are none. A null limit has no answer."""
     nearest = limits.select("context_limit").distinct().join(sums, F.col("n_tokens") >= F.col("context_limit"), "left")
-    return nearest.groupBy("context_limit").agg(
+    cut = nearest.groupBy("context_limit").agg(
         F.min_by(
             F.col("tokens_total") - F.col("tokens_at_least") + F.col("context_limit") * F.col("docs_at_least"), F.col("n_tokens")
-        ).alias("truncated_total")
+        ).alias("cut")
     )
+    uncut = sums.agg(F.coalesce(F.max("tokens_total"), F.lit(0)).alias("uncut"))
+    total = F.when(F.col("context_limit").isNotNull(), F.coalesce("cut", "uncut"))
+    return cut.crossJoin(F.broadcast(uncut)).select("context_limit", total.alias("truncated_total"))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:

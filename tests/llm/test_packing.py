@@ -96,3 +96,10 @@ def test_token_lengths(spark, odd_docs):
     assert got == {x: sum(min(n, x) for n in sizes) for x in limits}
     half = lengths.quantiles(sums, [0.5]).first()["n_tokens"]
     assert half == sorted(sizes)[-(-len(sizes) // 2) - 1]
+
+
+def test_truncated_totals_above_the_longest(spark):
+    sums = lengths.suffix_sums(spark.createDataFrame([(0, 1), (3, 2), (10, 1)], "n_tokens long, n_docs long"))
+    limits = spark.createDataFrame([(2,), (10,), (11,), (10**12,), (None,)], "context_limit long")
+    assert {r[0]: r[1] for r in lengths.truncated_totals(sums, limits).collect()} == {2: 6, 10: 16, 11: 16, 10**12: 16, None: None}
+    assert lengths.truncated_totals(sums.limit(0), limits.where("context_limit = 2")).first()[1] == 0
