@@ -66,12 +66,15 @@ MATH_SPLIT = frozenset("mfrac msub msup msubsup munder mover munderover mmultisc
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([A-Za-z][^\s/>]*)[^>]*>"
-    r"|<([A-Za-z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]{0,20000}\"|'[^']{0,20000}'){0,2000}+)>|([^>]*)>)",
+    r"|<([A-Za-z][^\s/>]*)(?=[\s/>])",
     re.DOTALL,
 )
 #: Open elements at most; what is nested deeper hangs on the last of them, as in browsers.
 MOST_OPEN = 512
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: White space and slashes before an attribute; its name, with what leads to a value; a value without quotes.
+_GAP = re.compile(r"[\s/]*+")
+_NAME = re.compile(r"([^\s/>][^\s/>=]*+)(\s*+=\s*+)?+")
+_BARE = re.compile(r"[^\s>]*+")
 _HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -99,19 +102,40 @@ class Node:
         return not _HIDING_STYLE.search(self.attributes.get("style", ""))
 
 
-def _attributes(raw: str) -> dict[str, str]:
+def _tag_end(html: str, at: int, doomed: set[int]) -> tuple[int, dict[str, str], bool]:
+    """Where a start tag ends whose name ends at at, its attributes, and whether a slash closes it. Only quotes around values hide a '>', over any
+    length. A tag whose quotes do not end ends at its first '>'; doomed keeps the places from which no end was found, so that none is read twice."""
     out: dict[str, str] = {}
-    for name, *values in _ATTRIBUTE.findall(raw):
-        out.setdefault(name.lower(), unescape(next((v for v in values if v), "")))
-    return out
-
-
-def _self_closing(raw: str) -> bool:
-    """The tag ends in a slash that is not part of a value without quotes."""
-    if not raw.endswith("/"):
-        return False
-    before = raw[:-1]
-    return not before or before[-1] in " \t\n\r\f\"'/" or not ("=" in before.split()[-1] or before.rpartition(before.split()[-1])[0].rstrip().endswith("="))
+    ends: dict[str, int] = {}
+    seen: list[int] = []
+    start, n, closed = at, len(html), False
+    while at < n and at not in doomed:
+        seen.append(at)
+        gap = _GAP.match(html, at).end()
+        closed = gap > at and html[gap - 1] == "/"
+        at = gap
+        if at >= n:
+            break
+        if html[at] == ">":
+            return at + 1, out, closed
+        name = _NAME.match(html, at)
+        at, value = name.end(), ""
+        if name[2] and at < n:
+            quote = html[at]
+            if quote in "\"'":
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    break
+                value, at = html[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(html, at)
+                value, at = bare[0], bare.end()
+        key = name[1].lower()
+        if key not in out:
+            out[key], ends[key] = unescape(value) if value else "", at
+    doomed.update(seen)
+    end = html.find(">", start)
+    return (end + 1 if end >= 0 else n), {k: v for k, v in out.items() if ends[k] <= end}, end > start and html[end - 1] == "/"
 
 
 def _text(stack: list[Node], text: str) -> None:
@@ -124,9 +148,12 @@ def parse(html: str) -> Node:
     """The tree of a page; every page gives one, whatever is wrong with it."""
     root = Node("html", {})
     stack = [root]
-    at, n = 0, len(html)
+    at, n, last = 0, len(html), html.rfind(">")
+    doomed: set[int] = set()
     while at < n:
-        token = _TOKEN.search(html, at) if html.find(">", at) >= 0 else None
+        token = _TOKEN.search(html, at) if at <= last else None
+        if token is not None and token[2] and token.start() > last:
+            token = None
         if token is None:
             _text(stack, unescape(html[at:]))
             break
@@ -140,18 +167,18 @@ def parse(html: str) -> Node:
             continue
         if token[2]:
             tag = token[2].lower()
+            at, attributes, closed = _tag_end(html, at, doomed)
             if tag == "html" or (tag == "body" and any(x.tag == "body" for x in stack)):
-                root.attributes |= _attributes(token[3] or token[4] or "") if tag == "html" else {}
+                root.attributes |= attributes if tag == "html" else {}
                 continue
             if stack[-1].foreign and tag in BREAKOUTS:
                 while stack[-1].holds_foreign():
                     stack.pop()
             _imply(stack, tag)
-            raw = token[3] if token[3] is not None else token[4]
             foreign = tag in ("svg", "math") or stack[-1].holds_foreign()
-            node = Node(tag, _attributes(raw) if raw.strip(" /") else {}, foreign)
+            node = Node(tag, attributes, foreign)
             stack[-1].children.append(node)
-            if foreign and _self_closing(raw):
+            if foreign and closed:
                 continue
             if tag == "form" and stack[-1].tag in (*ROW_PARENTS, "tr"):
                 continue  # as in browsers, such a form holds nothing and what follows stays in the table

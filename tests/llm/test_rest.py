@@ -216,6 +216,17 @@ def test_rendering_shows_drawings_and_formulas():
     assert v("<a href=x/>kept</a> <desc>kept</desc>") == "kept kept"
 
 
+def test_rendering_reads_tags_of_any_length():
+    v = render.visible_text
+    assert v('a<b data-x="' + "<i>no</i> " * 5000 + '">c</b>') == "ac"
+    assert v("<b " + " ".join(f'a{i}="x > y"' for i in range(3000)) + ">c") == "c"
+    assert v("<b " + "x" * 5000 + " title='1 > 2'>c") == "c"
+    assert v("<p don't>a<p title=it's>b") == "a\n\nb"
+    assert v("<b title='>a</b> b") == "a b"
+    assert v("<b t='>a</b> <i hidden u=\"'\" v='>b</i>") == "a"
+    assert v("x > y <!-- no") == "x > y"
+
+
 def test_rendering_rows(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (2, "v", "<" * 500)]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, text string")
