@@ -4,11 +4,13 @@ Each rule rejects a document whose score lies above a cutoff of its stratum (its
 known to be good, cutoffs are tried from lenient to strict; a cutoff is certified when the exact binomial test refutes a
 false-rejection rate above RISK at the corrected level. Testing in a fixed order needs no correction along the cutoffs (the
 first failure ends it); the level is divided by the number of rules times tests (Bonferroni), one test for each stratum and one for all
-strata pooled. So with probability 1 - ERROR no rule rejects more than RISK of the good documents of any stratum large enough to be tested.
+strata pooled. So with probability 1 - ERROR no certified cutoff rejects more than RISK of the good documents of its stratum, whichever of
+them is taken. Taken is the one that rejects the most labelled low documents less good ones, the most lenient if several do; a rule that
+gains nothing rejects nothing.
 
-A stratum whose good labels are too few to certify any cutoff, even without a false rejection, takes the cutoffs certified on the pool, as far as
-its own labels do not refute them. Their bound is RISK over the good documents of all strata together; for a stratum with a share w of the good
-labels that is RISK / w at most. Where the pool too has too few labels (about 1,280 with four strata), the rule rejects nothing.
+A stratum whose good labels are too few to certify any cutoff, even without a false rejection (fewer than about 320 with four strata), takes the
+cutoffs certified on the pool, as far as its own labels do not refute them. Their bound is RISK over the good documents of all strata together; for
+a stratum with a share w of the good labels that is RISK / w at most. Where the pool too has too few labels, the rules reject nothing.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from siltworks.llm.wordhash import encoded
 from siltworks.session import scratch, ship_package
 
 #: Most false rejections of good documents by one rule in one stratum, and the chance that any bound fails.
-RISK = 0.005
+RISK = 0.02
 ERROR = 0.05
 MIN_WORDS = 20
 
@@ -91,52 +93,64 @@ def _at_most(n: int, failures: int, risk: float) -> float:
     return float(math.exp(top) * np.exp(logs - top).sum())
 
 
-def certified(n: int, failures: list[int], cutoffs: tuple[float, ...], risk: float, level: float) -> float | None:
-    """The strictest cutoff reached before the first that the test cannot certify."""
-    best = None
-    for cutoff, failed in zip(cutoffs, failures, strict=True):
+def certified(n: int, failures: list[int], risk: float, level: float) -> int:
+    """How many cutoffs, lenient to strict, come before the first that the test cannot certify."""
+    for k, failed in enumerate(failures):
         if tail_probability(n, failed, risk) > level:
-            break
-        best = cutoff
-    return best
+            return k
+    return len(failures)
 
 
-def pooled_cutoff(n: int, failures: list[int], cutoffs: tuple[float, ...], pooled: float | None, risk: float, level: float) -> float | None:
-    """The strictest cutoff up to the pooled one reached before the first at which the stratum's own labels show more than risk."""
-    best = None
-    for cutoff, failed in zip(cutoffs, failures, strict=True):
-        if pooled is None or cutoff < pooled or (failed and 1 - _at_most(n, failed - 1, risk) <= level):
-            break
-        best = cutoff
-    return best
+def unrefuted(n: int, failures: list[int], risk: float, level: float) -> int:
+    """How many cutoffs come before the first at which these labels show more than risk."""
+    for k, failed in enumerate(failures):
+        if failed and 1 - _at_most(n, failed - 1, risk) <= level:
+            return k
+    return len(failures)
+
+
+def best_cutoff(cutoffs: tuple[float, ...], good: list[int], low: list[int]) -> float | None:
+    """The cutoff that rejects the most low documents less good ones, the first of several; None where none gains anything."""
+    gains = [b - g for g, b in zip(good, low, strict=True)]
+    top = max(gains, default=0)
+    return cutoffs[gains.index(top)] if top > 0 else None
+
+
+def cutoff_of(row: dict, rule: str, risk: float, level: float) -> float | None:
+    """The cutoff of a rule in a stratum: by its own labels where they are enough to certify any, else by the pool's. row holds n and n_pool good
+    labels and, per rule, how many good and low ones each cutoff rejects (rule_good, rule_low, rule_good_pool, rule_low_pool)."""
+    own, cuts = row[f"{rule}_good"], CUTOFFS[rule]
+    if tail_probability(row["n"], 0, risk) <= level:
+        k = certified(row["n"], own, risk, level)
+        return best_cutoff(cuts, own[:k], row[f"{rule}_low"][:k])
+    pool = row[f"{rule}_good_pool"]
+    k = min(certified(row["n_pool"], pool, risk, level), unrefuted(row["n"], own, risk, level))
+    return best_cutoff(cuts, pool[:k], row[f"{rule}_low_pool"][:k])
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, one cutoff column per rule, null where none is certified on the stratum or, if that is too small, on all strata). Counts over
-    all labelled rows; labels that repeat or contradict each other count as good only if all say so. One row per stratum is all that reaches the tests."""
+    """(stratum, one cutoff column per rule, null where the rule rejects nothing). Counts over all labelled rows that the base leaves; labels that
+    repeat or contradict each other count as good only if all say so, and null labels as none. One row per stratum is all that reaches the tests."""
     scores = rule_scores()
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    rows = measured.where(~base_failed()).join(good, "doc_id", "left_semi")
+    known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q IN (0, 1)")
+    rows = measured.where(~base_failed()).join(known, "doc_id")
+    good, low = F.col("q") == 1, F.col("q") == 0
+    kinds = {f"{r}_{kind}": [(scores[r] > c) & is_kind for c in cuts] for r, cuts in CUTOFFS.items() for kind, is_kind in (("good", good), ("low", low))}
     counts = rows.groupBy(F.coalesce(F.col(stratum), F.lit("")).alias("stratum")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.array(*[F.count_if(scores[r] > c) for c in cuts]).alias(r) for r, cuts in CUTOFFS.items()],
+        F.count_if(good).alias("n"), *[F.array(*map(F.count_if, tests)).alias(k) for k, tests in kinds.items()]
     )
     counts = scratch(counts, "strata")
     strata = max(1, counts.count())
     level = error / (len(CUTOFFS) * (strata + (strata > 1)))
-    pool = counts.agg(F.sum("n").alias("n_pool"), *[F.array(*[F.sum(F.col(r)[i]) for i in range(len(cuts))]).alias(f"{r}_pool") for r, cuts in CUTOFFS.items()])
-
-    def cutoff(row: dict, rule: str, cuts: tuple[float, ...]) -> float | None:
-        if tail_probability(row["n"], 0, risk) <= level:
-            return certified(row["n"], row[rule], cuts, risk, level)
-        pooled = certified(row["n_pool"], row[f"{rule}_pool"], cuts, risk, level)
-        return pooled_cutoff(row["n"], row[rule], cuts, pooled, risk, level)
+    pool = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_pool"),
+        *[F.array(*[F.coalesce(F.sum(F.col(k)[i]), F.lit(0)) for i in range(len(tests))]).alias(f"{k}_pool") for k, tests in kinds.items()],
+    )
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
             yield pa.RecordBatch.from_pylist(
-                [{"stratum": r["stratum"]} | {k: cutoff(r, k, cuts) for k, cuts in CUTOFFS.items()} for r in rows],
+                [{"stratum": r["stratum"]} | {k: cutoff_of(r, k, risk, level) for k in CUTOFFS} for r in batch.to_pylist()],
                 pa.schema([("stratum", pa.string()), *((k, pa.float64()) for k in CUTOFFS)]),
             )
 
@@ -146,41 +160,43 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", ri
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by.
 
-    rejected_by lists the rules that reject, "base" among them. Null or empty texts have no words and fail the base. A null
-    stratum is a stratum of its own, and one without labels rejects by the base alone. Rows that repeat are judged each by itself.
+    rejected_by lists the rules that reject, "base" among them. Null or empty texts have no words and fail the base. Texts are counted whole, however
+    long. A null stratum is a stratum of its own (that of the empty string), and in one without labels the base alone rejects. A score equal to its
+    cutoff is kept. Rows that repeat are judged, and counted for the cutoffs, each by itself; an empty table gives no rows, and without labels
+    the base alone rejects. Other columns of docs are ignored, whatever their names.
     """
     measured = scratch(measure(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum_"), "text"), ("stratum_",)), "measured")
-    cuts = thresholds(measured, labels, "stratum_")
-    rejects = [F.when(score > F.col(f"c.{rule}"), F.lit(rule)) for rule, score in rule_scores().items()]
-    joined = measured.alias("m").join(cuts.alias("c"), F.coalesce(F.col("m.stratum_"), F.lit("")) == F.col("c.stratum"), "left")
-    failed = base_failed()
-    reasons = F.array_compact(F.array(F.when(failed, F.lit("base")), *rejects))
-    return joined.select(
+    return _judged(measured, thresholds(measured, labels, "stratum_")).select(
         "doc_id",
         *COUNTS[:5],
-        failed.alias("base_failed"),
-        (F.size(reasons) == 0).alias("kept"),
-        F.concat_ws(",", reasons).alias("rejected_by"),
+        base_failed().alias("base_failed"),
+        (F.size("reasons") == 0).alias("kept"),
+        F.concat_ws(",", "reasons").alias("rejected_by"),
     )
 
 
+def _judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
+    """measured with reasons, the rules that reject."""
+    own = cuts.select(F.col("stratum").alias("own_stratum"), *[F.col(k).alias(f"cut_{k}") for k in CUTOFFS])
+    rejects = [F.when(score > F.col(f"cut_{rule}"), F.lit(rule)) for rule, score in rule_scores().items()]
+    joined = measured.join(own, F.coalesce(F.col("stratum_"), F.lit("")) == F.col("own_stratum"), "left")
+    return joined.withColumn("reasons", F.array_compact(F.array(F.when(base_failed(), F.lit("base")), *rejects)))
+
+
 def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
-    """The rows of docs that no rule rejects, with all their columns. The verdict is taken where the row is, so repeated rows and ids are no matter."""
-    measured = scratch(measure(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum_"), "text"), ("stratum_",)), "measured")
-    cuts = scratch(thresholds(measured, labels, "stratum_"), "cutoffs")
+    """The rows of docs that no rule rejects, with all their columns; verdicts() states the cases. Rows are counted once, where they are scanned,
+    and wait for the cutoffs in a table, so repeated rows and ids are no matter."""
     names = docs.columns
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = text_counts(encoded(batch.column("text").to_pylist()))
-            columns = [batch.column(i) for i in range(batch.num_columns)] + [pa.array(counts[:, i]) for i in range(len(COUNTS))]
-            yield pa.RecordBatch.from_arrays(columns, [*(f"d_{n}" for n in names), *COUNTS])
+            counts = text_counts(encoded(batch.column("d_text").to_pylist()))
+            columns = [*batch.columns, *(pa.array(counts[:, i]) for i in range(len(COUNTS)))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *COUNTS])
 
     ship_package(docs.sparkSession)
-    schema = ", ".join(f"`d_{n}` {t}" for n, t in docs.dtypes) + "".join(f", {c} long" for c in COUNTS)
-    rows = docs.mapInArrow(judge, schema)
-    joined = rows.join(cuts, F.coalesce(F.col(f"d_{stratum}").cast("string"), F.lit("")) == F.col("stratum"), "left")
-    bad = base_failed()
-    for rule, score in rule_scores().items():
-        bad = bad | F.coalesce(score > F.col(rule), F.lit(False))
-    return joined.where(~bad).select(*[F.col(f"d_{n}").alias(n) for n in names])
+    held = docs.select(*[F.col(f"`{n}`").alias(f"d_{n}") for n in names], F.col("doc_id"), F.col(stratum).cast("string").alias("stratum_"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in held.dtypes) + "".join(f", {c} long" for c in COUNTS)
+    measured = scratch(held.mapInArrow(count, schema), "measured")
+    cuts = thresholds(measured, labels, "stratum_")
+    return _judged(measured, cuts).where(F.size("reasons") == 0).select(*[F.col(f"`d_{n}`").alias(n) for n in names])

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from siltworks.llm import hilbert, mixing, phrases, pulearn, render, rules
 
@@ -28,8 +29,37 @@ def test_binomial_tail_is_exact():
     for n, k, p in ((50, 0, 0.1), (200, 3, 0.05), (1000, 2, 0.01)):
         want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert abs(rules.tail_probability(n, k, p) - want) < 1e-12
-    assert rules.certified(10_000, [0, 0, 200], (0.9, 0.5, 0.1), 0.005, 0.001) == 0.5
-    assert rules.certified(100, [0], (0.9,), 0.005, 0.001) is None
+    assert rules.certified(10_000, [0, 0, 200], 0.005, 0.001) == 2
+    assert rules.certified(100, [0], 0.005, 0.001) == 0
+
+
+def test_cutoffs_are_taken_for_what_they_gain():
+    cuts = (0.9, 0.5, 0.1)
+    assert rules.best_cutoff(cuts, [0, 0, 0], [3, 7, 7]) == 0.5
+    assert rules.best_cutoff(cuts, [0, 1, 9], [3, 7, 12]) == 0.5
+    assert rules.best_cutoff(cuts, [0, 4], [0, 4]) is None and rules.best_cutoff(cuts, [], []) is None
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_verdicts_match_a_plain_version(spark, odd_docs, extra):
+    """The whole table of sf0.01 with its labels, and again with odd rows and labels of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    if extra:
+        odd = odd_docs.select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text", "lang")
+        docs = docs.unionByName(odd).unionByName(odd.where("doc_id = 10000009"))
+        more = [(10_000_001, 1), (10_000_001, None), (10_000_003, 0), (10_000_009, 0), (10_000_010, 1), (10_000_010, 0), (None, 1), (77_777_777, 1), (10_000_012, 1)]
+        labels = labels.unionByName(spark.createDataFrame(more, "doc_id long, quality int"))
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    known = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            known[r["doc_id"]] = min(known.get(r["doc_id"], 1), r["quality"])
+    want = brute.quality_verdicts(rows, known, rules.CUTOFFS, rules.RISK, rules.ERROR)
+    got = sorted(((r["doc_id"], r["kept"], r["rejected_by"]) for r in rules.verdicts(docs, labels).collect()), key=str)
+    assert got == sorted(want, key=str)
+    beyond = [by for _, kept, by in got if not kept and not by.startswith("base")]
+    assert len(beyond) >= 10
 
 
 def test_certified_cutoffs_bound_false_rejections(spark):
@@ -55,9 +85,12 @@ def test_small_strata_take_pooled_cutoffs(spark):
 
 
 def test_pooled_cutoff_heeds_own_labels():
-    assert rules.pooled_cutoff(300, [0, 0, 0], (0.9, 0.5, 0.1), 0.5, 0.005, 0.001) == 0.5
-    assert rules.pooled_cutoff(300, [0, 40, 40], (0.9, 0.5, 0.1), 0.1, 0.005, 0.001) == 0.9
-    assert rules.pooled_cutoff(300, [0, 0, 0], (0.9, 0.5, 0.1), None, 0.005, 0.001) is None
+    assert rules.unrefuted(300, [0, 0, 0], 0.005, 0.001) == 3
+    assert rules.unrefuted(300, [0, 40, 40], 0.005, 0.001) == 1
+    row = {"n": 50, "n_pool": 5000, "top_word_share_good": [0] * 8, "top_word_share_low": [0] * 8, "top_word_share_good_pool": [0, 0, 0, 5, 5, 500, 500, 500], "top_word_share_low_pool": [1, 2, 3, 9, 9, 10, 10, 10]}
+    assert rules.cutoff_of(row, "top_word_share", 0.005, 0.001) == 0.6
+    assert rules.cutoff_of(row | {"top_word_share_good": [0, 9] + [9] * 6}, "top_word_share", 0.005, 0.001) == 0.9
+    assert rules.cutoff_of(row | {"n_pool": 60}, "top_word_share", 0.005, 0.001) is None
 
 
 def test_mixing(odd_docs, no_docs, corpus_docs):
