@@ -1,10 +1,10 @@
 """Best-fit packing of documents into sequences of bounded length.
 
-Documents are tokenised where they are scanned; only one small row per piece moves on. Pieces are dealt over
-packers of a fixed number of documents each. A packer keeps a bounded number of open bins, found by a bitset
-keyed by free space: the piece goes to the open bin with the least free space that holds it; when too many are open the
-fullest closes. Bins still open at the end are emptied and refilled in descending order of length by the same
-packer, which needs fewer of them.
+Documents are tokenised where they are scanned; only one small row per piece moves on. Pieces are dealt over packers at random. A packer streams
+its pieces past a bounded number of open bins, found by a bitset keyed by free space: a piece goes to the open bin with the least free space that
+holds it; when too many are open the fullest closes. No bin is opened again and nothing is packed twice. Pieces come in the order of their
+checksums: in random order a few hundred open bins hold nearly as well as any number of them (see the figures in the README), while by length
+the bound would close bins long before the short pieces that fit them.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from siltworks.session import scratch, ship_package
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
-#: Open bins of a packer. More bins than free-space values let nearly every piece find an exact fit.
-OPEN_BINS = 4096
-#: Documents whose pieces one packer takes.
-DOCS_PER_PACKER = 100_000
+#: Open bins of a packer.
+OPEN_BINS = 128
+#: Pieces of one packer, and packers at most (they take more pieces beyond that: a packer's memory is its open bins).
+PIECES_PER_PACKER, MOST_PACKERS = 250_000, 20_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_TYPES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
@@ -68,27 +68,6 @@ class BestFit:
             self.open -= 1
         return home, self.capacity - free
 
-    def open_ids(self) -> list[int]:
-        return [b for stack in self.stacks for b in stack]
-
-
-def fill(lengths: list[int], capacity: int, open_bins: int = OPEN_BINS) -> tuple[np.ndarray, np.ndarray]:
-    """Bins and offsets of pieces given in order; bins still open at the end are refilled in descending order."""
-    packer = BestFit(capacity, open_bins)
-    placed = [packer.put(n) for n in lengths]
-    bins = np.fromiter((b for b, _ in placed), np.int64, len(placed))
-    offsets = np.fromiter((o for _, o in placed), np.int64, len(placed))
-    still = np.flatnonzero(np.isin(bins, packer.open_ids()))
-    if len(still):
-        sizes = np.asarray(lengths, np.int64)
-        order = still[np.argsort(-sizes[still], kind="stable")]
-        again = BestFit(capacity, len(order) + 1, packer.next_bin)
-        redone = [again.put(int(n)) for n in sizes[order]]
-        if again.next_bin - packer.next_bin <= len(np.unique(bins[still])):
-            bins[order] = [b for b, _ in redone]
-            offsets[order] = [o for _, o in redone]
-    return bins, offsets
-
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and end_id, cut only where longer than capacity."""
@@ -110,25 +89,22 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS, end_
 
 
 def place(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, packers: int = 1) -> DataFrame:
-    """Adds sequence_id and offset to rows that have a length. packers tasks work side by side, each on its own
+    """Adds sequence_id and offset to rows of (length, ids_crc32, doc_id, piece, ...). packers tasks work side by side, each on its own
     sequences; rows are dealt round robin, never by a key."""
-    names = [f"`{n}` {t}" for n, t in pieces.dtypes if n not in ("sequence_id", "offset")]
+    names = [n for n in pieces.columns if n not in ("sequence_id", "offset")]
+    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes if n in names) + ", sequence_id long, offset long"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        frame = pa.Table.from_batches(rows)
-        bins, offsets = fill(frame.column("length").to_pylist(), capacity, open_bins)
+        packer = BestFit(capacity, open_bins)
         base = np.int64(TaskContext.get().partitionId()) << 40
-        frame = frame.append_column("sequence_id", pa.array(base + bins)).append_column("offset", pa.array(offsets))
-        yield from frame.to_batches(20_000)
+        for batch in batches:
+            placed = np.array([packer.put(n) for n in batch.column("length").to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + placed[:, 0]), pa.array(placed[:, 1])], [*names, "sequence_id", "offset"])
 
-    keep = pieces.select(*[n for n, _ in pieces.dtypes if n not in ("sequence_id", "offset")])
-    ordered = keep.repartition(packers).sortWithinPartitions("ids_crc32", "doc_id", "piece")
-    return ordered.mapInArrow(pack, ", ".join(names) + ", sequence_id long, offset long")
+    ordered = pieces.select(*names).repartition(packers).sortWithinPartitions("ids_crc32", "doc_id", "piece")
+    return ordered.mapInArrow(pack, schema)
 
 
 def pack_documents(
@@ -136,10 +112,10 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece with its sequence and place.
 
-    Null and empty texts are a document of the end id alone. A null doc_id stays null. Repeated rows are packed as often as
-    they come. An empty table gives no rows. Other columns of docs are ignored.
-    A packer reads about DOCS_PER_PACKER pieces of 36 bytes, so its memory does not grow with the table.
+    Null and empty texts are a document of the end id alone. A null doc_id stays null. Repeated rows and rows of equal doc_id are packed as often as
+    they come. Of bins with equal free space the last one used is taken. A text is tokenised whole, however long, and only cut at
+    capacity. An empty table gives no rows. Other columns of docs are ignored, whatever their names.
     """
     pieces = scratch(cut_pieces(docs, path or tokenizer_path(), capacity, end_id), "pieces")
-    packers = max(1, -(-pieces.count() // DOCS_PER_PACKER))
+    packers = min(MOST_PACKERS, max(1, -(-pieces.count() // PIECES_PER_PACKER)))
     return place(pieces, capacity, open_bins, packers)

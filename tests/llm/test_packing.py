@@ -63,13 +63,30 @@ def test_empty_table(no_docs):
     assert lengths.token_lengths(no_docs).collect() == []
 
 
-def test_fill_is_close_to_the_bound():
+def test_online_packing_is_close_to_the_bound():
     r = random.Random(3)
     sizes = [min(2048, int(r.lognormvariate(5, 1.2)) + 1) for _ in range(20000)]
-    for open_bins in (32, 4096):
-        bins, offsets = packing.fill(sizes, 2048, open_bins)
-        used = check_sequences([{"sequence_id": int(b), "offset": int(o), "length": n} for b, o, n in zip(bins, offsets, sizes, strict=True)], 2048)
-        assert used <= 1.02 * sum(sizes) / 2048 + 1
+    bound = -(-sum(sizes) // 2048)
+    used = {}
+    for open_bins in (1, 8, 64, packing.OPEN_BINS):
+        packer = packing.BestFit(2048, open_bins)
+        rows = []
+        for n in sizes:
+            home, offset = packer.put(n)
+            rows.append({"sequence_id": home, "offset": offset, "length": n})
+            assert packer.open == sum(map(len, packer.stacks)) <= open_bins
+        used[open_bins] = check_sequences(rows, 2048)
+    assert used[1] > used[8] > used[64] >= used[packing.OPEN_BINS]
+    assert used[packing.OPEN_BINS] <= 1.01 * bound
+
+
+def test_packers_stream_side_by_side(spark, no_docs):
+    r = random.Random(4)
+    rows = [(i % 50 or None, i, 0, r.randint(1, 2048), r.getrandbits(32), "x") for i in range(5000)]
+    pieces = spark.createDataFrame(rows, packing.PIECE_SCHEMA + ", offset string")
+    out = packing.place(pieces, packers=7).collect()
+    assert sorted((x["length"], x["ids_crc32"]) for x in out) == sorted((x[3], x[4]) for x in rows)
+    assert check_sequences(out, 2048) <= 1.1 * sum(x[3] for x in rows) / 2048
 
 
 def test_fullest_bin_closes_first():
