@@ -1,8 +1,9 @@
 """Sharding along a Hilbert curve, so that files can be pruned by several metadata columns at once.
 
 Each column is quantised to BITS bits (numbers on a logarithmic scale, strings by their place among the distinct ones), the
-cells are numbered along the curve, rows are sorted by that number, and runs of equal row counts are cut off as shards. Only
-metadata moves; texts stay where they are until write_clustered deals them out.
+cells are numbered along the curve, rows are sorted by that number, and runs of equal row counts are cut off as shards. Rows of equal
+text take the least place of them all, so copies from several sources stand together. Only metadata moves; texts stay where they are
+until write_clustered deals them out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from siltworks.session import scratch, ship_package
 SHARDS = 40
 BITS = 10
 ROW_BYTES = 16
-ROWS_PER_TASK = 25_000
+#: Rows of one range of the order, and ranges at most (they grow beyond that).
+ROWS_PER_TASK, MOST_TASKS = 250_000, 20_000
+#: Parts into which the rows of one text are dealt when their common place is looked up.
+SALTS = 32
 #: Steps of the logarithmic scale for each doubling.
 STEPS_PER_DOUBLING = 40
 
@@ -84,7 +88,7 @@ def with_curve(df: DataFrame, cells: list[str], out: str = "curve", bits: int =
 def ranked(df: DataFrame, keys: list[str], n: int, out: str = "rank") -> DataFrame:
     """Adds the exact place (from 0) in the order of keys without a global window: ranges are sorted by themselves, and the counts of the ranges
     before (one number each) are added."""
-    tasks = max(1, -(-n // ROWS_PER_TASK))
+    tasks = min(MOST_TASKS, max(1, -(-n // ROWS_PER_TASK)))
     local = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).withColumn("rk_id", F.monotonically_increasing_id())
     local = scratch(local, "ranked")
     part, place = F.shiftright("rk_id", 33), F.col("rk_id").bitwiseAND(F.lit((1 << 33) - 1))
@@ -96,12 +100,14 @@ def ranked(df: DataFrame, keys: list[str], n: int, out: str = "rank") -> DataFra
 
 
 def curve_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, curve) over lang, source and size, for every row of docs."""
+    """(doc_id, size, text_crc32, text_key, curve) over lang, source and size, for every row of docs."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     meta = scratch(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
-            (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
-            F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+            (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.xxhash64(text).alias("text_key"),
             F.col("lang").cast("string").alias("m_lang"),
             F.col("source").cast("string").alias("m_source"),
         ),
@@ -109,18 +115,31 @@ def curve_order(docs: DataFrame) -> DataFrame:
     )
     cells = with_string_cell(with_string_cell(meta, "m_lang", "c_lang"), "m_source", "c_source")
     cells = cells.withColumn("c_size", number_cell(F.col("size")))
-    return with_curve(cells.select("doc_id", "size", "text_crc32", "c_lang", "c_source", "c_size"), ["c_lang", "c_source", "c_size"])
+    kept = ["doc_id", "size", "text_crc32", "text_key"]
+    return with_curve(cells.select(*kept, "c_lang", "c_source", "c_size"), ["c_lang", "c_source", "c_size"]).select(*kept, "curve")
+
+
+def one_place(rows: DataFrame, key: str = "text_key", place: str = "curve") -> DataFrame:
+    """rows with place lowered to the least of all rows of the same key. Only keys with several places are looked up, their rows dealt over
+    SALTS parts, so that a text that a third of all rows hold is no single group."""
+    several = rows.groupBy(key).agg(F.min(place).alias("op_low"), F.max(place).alias("op_high")).where("op_low < op_high")
+    salted = several.select(F.col(key).alias("op_key"), "op_low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("op_salt"))
+    dealt = rows.withColumn("op_part", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(salted, (F.col(key) == F.col("op_key")) & (F.col("op_part") == F.col("op_salt")), "left")
+    return joined.select(*[c for c in rows.columns if c != place], F.coalesce("op_low", place).alias(place))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve): runs of the curve whose row counts differ by one at most.
 
-    Equal texts with equal metadata are neighbours (the order goes on by text_crc32, then doc_id), so only a cut parts them. Null texts have
-    ROW_BYTES and the checksum of the empty text; null lang or source are before all others; repeated rows are separate. With fewer rows than
-    shards some shards stay empty.
+    Equal texts are neighbours whatever their metadata (the order goes on by text, then doc_id), so only the shards - 1 cuts part any. Null texts
+    have ROW_BYTES and the checksum of the empty text; null lang or source are before all others; repeated rows and rows of equal or null doc_id are
+    separate, nulls first among their text. With fewer rows than shards some shards stay empty; an empty table gives no rows. Texts are read
+    whole, however long. Other columns of docs are ignored, whatever their names.
     """
     n = docs.count()
-    rows = ranked(curve_order(docs).select("doc_id", "size", "text_crc32", "curve"), ["curve", "text_crc32", "doc_id", "size"], n)
+    rows = scratch(curve_order(docs), "curve")
+    rows = ranked(one_place(rows), ["curve", "text_crc32", "text_key", "doc_id", "size"], n)
     home = F.expr(f"CAST(rank * {shards}L DIV {max(n, 1)}L AS INT)")
     return rows.withColumn("shard", home).select(
         "doc_id",

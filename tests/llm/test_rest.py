@@ -178,6 +178,44 @@ def test_hilbert_curve_steps_by_one():
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+def test_shards_match_a_plain_version(spark, odd_docs):
+    import math
+    import zlib
+
+    for docs in (spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd_docs):
+        rows = [(r["doc_id"], r["text"] or "", r["lang"], r["source"]) for r in docs.collect()]
+        cells = []
+        for column in (2, 3):
+            names = sorted({r[column] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+            cells.append({x: i * 1024 // len(names) for i, x in enumerate(names)})
+        grid = [(cells[0][r[2]], cells[1][r[3]], min(1023, math.floor(math.log2(len(r[1].encode()) + 16) * 40))) for r in rows]
+        curve = hilbert.curve_index(np.array(grid)).tolist()
+        least = {}
+        for r, c in zip(rows, curve, strict=True):
+            least[r[1]] = min(c, least.get(r[1], c))
+        got = hilbert.shard(docs).collect()
+        facts = lambda r: (r[0] is not None, r[0], len(r[1].encode()) + 16, zlib.crc32(r[1].encode()), least[r[1]])
+        assert sorted(map(facts, rows)) == sorted((r["doc_id"] is not None, r["doc_id"], r["size"], r["text_crc32"], r["curve"]) for r in got)
+        ordered = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+        assert [r["curve"] for r in ordered] == sorted(least[r[1]] for r in rows)
+        # Rows of a text stand in one run, so no more texts than there are cuts are parted.
+        runs = [(r["text_crc32"], r["size"]) for r in ordered]
+        assert sum(a != b for a, b in zip(runs[:-1], runs[1:], strict=True)) == len(set(runs)) - 1
+        homes = defaultdict(set)
+        for r in got:
+            homes[r["text_crc32"], r["size"]].add(r["shard"])
+        assert sum(len(x) - 1 for x in homes.values()) <= 39
+        n = len(rows)
+        starts = [-(-s * n // 40) for s in range(41)]
+        assert [(r["shard"], r["slot"]) for r in ordered] == [(s, i) for s in range(40) for i in range(starts[s + 1] - starts[s])]
+
+
+def test_places_of_a_hot_text(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("text_key"), F.when(F.col("id") % 3 == 2, 5).otherwise(F.col("id") % 700 + 9).alias("curve"), "id")
+    got = hilbert.one_place(rows).groupBy("text_key").agg(F.collect_set("curve").alias("c"), F.count("*").alias("n")).collect()
+    assert {r["text_key"]: (r["c"], r["n"]) for r in got} == {0: ([9], 1000), 1: ([9], 1000), 2: ([5], 1000)}
+
+
 def test_sharding(odd_docs, no_docs, corpus_docs, tmp_path, monkeypatch):
     monkeypatch.setattr(hilbert, "ROWS_PER_TASK", 20)
     assert hilbert.shard(no_docs).collect() == []
