@@ -25,7 +25,6 @@ SEED = 7
 BLOCK_WORDS = 64
 BLOCKS_PER_GROUP = 256
 DOCS_PER_SHARD = 1024
-MOST_SHARDS = 32_768
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -92,8 +91,13 @@ def mix_plan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken, the carried columns, and the line of its shard: mx_start, mx_block, mx_quota,
     mx_blocks and mx_begin (see selected()).
 
-    Null texts have size 0 and take nothing. Null sources are one source, last in order. Equal doc_ids are separate rows. A table without
-    rows or words takes nothing. Columns other than doc_id, text, source and the carried ones are ignored.
+    Null texts have size 0 and take nothing. Null sources are one source, last in order. Equal doc_ids are separate rows; equal rows stand next to
+    each other on the line, and which of them gives which words is all the same. Equal quotients go to the source, then the shard, that comes
+    first. Texts are counted whole, however long. A table without rows or words takes nothing. Columns other than doc_id, text, source and the
+    carried ones are ignored, whatever their names.
+
+    The number of shards grows with the table, so windows over a shard's documents do not; windows over one source's shards hold a
+    row for every DOCS_PER_SHARD documents, and those over sources one row each.
     """
     rows = docs.select(
         F.col("doc_id").alias("mx_doc"),
@@ -104,7 +108,7 @@ def mix_plan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
     if not carry:
         rows = scratch(rows, "sizes")
-    shards = min(MOST_SHARDS, max(1, -(-docs.count() // DOCS_PER_SHARD)))
+    shards = max(1, -(-docs.count() // DOCS_PER_SHARD))
     rows = rows.withColumn("mx_shard", F.col("mx_hash") % shards)
     groups = rows.groupBy("mx_key", "mx_shard").agg(F.sum("mx_size").alias("mx_group_size"))
     groups = scratch(groups, "groups")
@@ -200,7 +204,7 @@ WITH d AS (
     COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5('{SEED}:' || COALESCE(doc_id::VARCHAR, '-')), 1, 15))::BIGINT AS h
   FROM documents),
-n AS (SELECT least({MOST_SHARDS}, greatest(1, (count(*) + {DOCS_PER_SHARD - 1}) // {DOCS_PER_SHARD})) AS shards FROM d),
+n AS (SELECT greatest(1, (count(*) + {DOCS_PER_SHARD - 1}) // {DOCS_PER_SHARD}) AS shards FROM d),
 r AS (SELECT d.*, h % shards AS sh FROM d, n),
 g AS (SELECT k, sh, sum(size)::BIGINT AS gs FROM r GROUP BY ALL),
 s0 AS (SELECT k, sum(gs)::BIGINT AS ss FROM g GROUP BY k),

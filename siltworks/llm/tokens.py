@@ -1,21 +1,40 @@
 """Token ids by a public tokenizer file, with a cache of words.
 
-The tokenizer (word_bpe_49k.json) never joins text across white space and treats every piece between
-white space by itself, so ids of a text are the ids of its pieces in order. Pieces repeat; each distinct one
+A file of the kind of word_bpe_49k.json (lower-casing, one split pattern, byte-level BPE) never joins text across white space and treats every
+piece between white space by itself, so ids of a text are the ids of its pieces in order. Pieces repeat; each distinct one
 is encoded once per worker while the cache holds it. In texts of ASCII and Latin-1, pieces are cut by the
-tokenizer's own pattern and go to its BPE model directly; pieces of other texts go through the tokenizer whole.
+tokenizer's own pattern and go to its BPE model directly; pieces of other texts go through the tokenizer whole. A file that is set up in any
+other way encodes whole texts without these short cuts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 
 import numpy as np
 import regex
 
-#: Fixed values of the tokenizer file: its split pattern, applied to lower-cased text.
-_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The set-up of the files whose texts may be cut at white space.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KNOWN = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+_PATTERN = regex.compile(_SPLIT)
 #: What str.split() would split on beside ASCII white space, and the opening of special strings.
 _SPLITS = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "<|")
 #: Control bytes and the soft hyphen, which go through the tokenizer whole.
@@ -52,11 +71,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_pieces = self._knows(path)
         self.cache_words = cache_words
         self.alphabet = _byte_alphabet()
         self.pieces = _Pieces(self._piece)
         self.odd_pieces = _Pieces(self.whole)
 
+    @staticmethod
+    def _knows(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        special = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in told.get("added_tokens") or [])
+        return special and told["model"]["type"] == "BPE" and all(told.get(k) == v for k, v in _KNOWN.items())
+
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -79,6 +106,8 @@ class Encoder:
         return self._part(piece) if parts == [piece] else b"".join(map(self.pieces.__getitem__, parts))
 
     def ids(self, text: str) -> bytes:
+        if not self.by_pieces:
+            return self.whole(text)
         for cache in (self.pieces, self.odd_pieces):
             if len(cache) > self.cache_words:
                 cache.clear()

@@ -26,6 +26,13 @@ def test_encoder_equals_tokenizer():
         assert coder.array(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizer_files_encode_whole_texts():
+    coder = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    assert Encoder(tokenizer_path()).by_pieces and not coder.by_pieces
+    for text in ("Hello  World, it's 3 o'clock", " a  b\n\nc", "日本語 ß"):
+        assert coder.array(text).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def check_sequences(rows, capacity):
     by = defaultdict(list)
     for r in rows:
