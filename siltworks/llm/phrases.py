@@ -21,8 +21,8 @@ from siltworks.session import scratch, ship_package
 BINS = 128
 _EMPTY = 0xFFFF
 _BASE = 0xA24BAED4963EE407
-#: Documents of one task of the pass over neighbours.
-DOCS_PER_TASK = 4000
+#: Documents of one task of the pass over neighbours, and tasks at most (they take more documents beyond that: two texts at a time are held).
+DOCS_PER_TASK, MOST_TASKS = 4000, 20_000
 
 
 class Parser:
@@ -155,13 +155,15 @@ def edit_robustness(docs: DataFrame) -> DataFrame:
     """Per row of docs: its fingerprint, that of its edited text (see edited_text; the following document is the next by descending doc_id, after
     the last the first), and the likeness of its fingerprint to the edited text's and to the following document's.
 
-    Null text is empty. Null doc_ids come last in order; rows of equal doc_id follow by text. A single row follows itself. Rows are dealt by
-    ranges of doc_id and streamed in order, two texts at a time; only the first and last text of each range meet in a second step.
+    Null text is empty. Null doc_ids come last in order; rows of equal doc_id, null or not, follow by a hash of the text and then by the text. Repeated
+    rows follow each other. A single row follows itself; an empty table gives no rows. Texts are parsed whole, however long. Other columns of
+    docs are ignored, whatever their names. Rows are dealt by ranges of that order and streamed, two texts at a time; only the first and last
+    text of each range meet in a second step.
     """
     n = docs.count()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    ranged = rows.repartitionByRange(max(1, -(-n // DOCS_PER_TASK)), order[0]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    ranged = rows.repartitionByRange(min(MOST_TASKS, max(1, -(-n // DOCS_PER_TASK))), *order[:2]).sortWithinPartitions(*order)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

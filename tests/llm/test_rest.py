@@ -149,11 +149,32 @@ def test_phrases_are_a_greedy_parse():
         assert {text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)} == lz_phrases(text)
 
 
+def test_likeness_estimates_the_overlap_of_phrase_sets():
+    import random
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    misses = []
+    for k in range(60):
+        a = [r.choice(words) for _ in range(400)]
+        b = list(a)
+        for _ in range(7 * k):
+            b[r.randrange(len(b))] = r.choice(words)
+        a, b = " ".join(a), " ".join(b)
+        x, y = lz_phrases(a), lz_phrases(b)
+        got = phrases.likeness(phrases.phrase_signature(a), phrases.phrase_signature(b))
+        misses.append(abs(got - len(x & y) / len(x | y)))
+    assert sum(misses) / len(misses) < 0.04 and max(misses) < 0.15
+    assert phrases.likeness(phrases.phrase_signature(""), phrases.phrase_signature("")) == 1.0
+    assert phrases.likeness(phrases.phrase_signature("abc"), phrases.phrase_signature("")) == 0.0
+
+
 def test_edit_robustness(odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(phrases, "DOCS_PER_TASK", 4)
     assert phrases.edit_robustness(no_docs).collect() == []
     rows = phrases.edit_robustness(odd_docs).collect()
-    docs = sorted(((r["doc_id"], r["text"] or "") for r in odd_docs.collect()), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    hashed = odd_docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    docs = [(r["doc_id"], r["text"]) for r in sorted(hashed, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"], r["text"]))]
     assert len(rows) == len(docs)
     want = defaultdict(list)
     for i, (doc, text) in enumerate(docs):
