@@ -1,9 +1,18 @@
 """Quality classifier from trusted positives and unlabelled text (positive-unlabelled learning).
 
-A linear model over text statistics minimises the non-negative unbiased risk: with class prior p, loss l and scores f,
+A linear model over text statistics minimises the non-negative unbiased risk: with class prior p, logistic loss l and margins f,
 p * mean l(f) over positives + max(0, mean l(-f) over unlabelled - p * mean l(-f) over positives). Whenever the bracket turns negative, its
-gradient is followed back instead. Features of every whole text are made in one scan; fitting reads a bounded sample of
-them, and scoring reads the features only.
+gradient is followed back instead. Steps are damped Newton steps, and the later half of them is averaged.
+
+The positives are halved. Each half trains a model, and the other half, with the unlabelled texts, puts that model's margins to scale by the same
+risk with two unknowns, slope and shift: logistic loss is proper, so the sigmoid of a scaled margin is the chance of the positive class. The
+classifier is the mean of both. Labelled negatives are used nowhere.
+
+The prior is estimated from positives and unlabelled texts too: a first model tells the two kinds apart; among the texts that look most like
+positives the negatives run out, so the ratio of the shares of unlabelled and of positive texts above a cutoff comes down to the prior there.
+
+Features of every whole text are made in one scan. All unlabelled texts of the training fold take part: each step is one pass of sums over their
+features. Positives are a bounded sample.
 """
 
 from __future__ import annotations
@@ -17,15 +26,19 @@ from pyspark.sql import functions as F
 
 from siltworks.llm.textstats import COUNTS, text_counts
 from siltworks.llm.wordhash import blocks, encoded
-from siltworks.session import scratch, ship_package
+from siltworks.session import drop_scratch, scratch, ship_package
 
-#: Most rows of each kind that fitting reads: trusted positives, unlabelled texts, and labelled rows that place the scores.
+#: Most trusted positives that fitting reads.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 FOLDS = 5
-STEPS = 600
-RATE = 0.05
-WEIGHT_DECAY = 1e-4
+#: Steps of fitting, of telling positives apart, their rate, and the longest one.
+STEPS, FIRST_STEPS, RATE, LONGEST = 24, 8, 0.4, 2.0
+WEIGHT_DECAY, DAMPING = 1e-2, 1e-2
+#: Margins are counted in bins of this width up to this size.
+BIN_WIDTH, MOST_MARGIN = 0.02, 60
+#: Cutoffs tried for the prior, and the chance that a bound used in choosing among them fails.
+CUTOFFS, CONFIDENCE = 200, 0.1
 
 #: Bytes that get a share of their own.
 _BYTES = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()] + [0x0A, 0x20]
@@ -79,92 +92,188 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class PUModel:
-    """Scores are probabilities of the positive class."""
+    """Scores are probabilities of the positive class. weights holds one weight per feature and the bias last."""
 
-    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
-        self.mean, self.scale, self.weights, self.bias, self.slope, self.shift = mean, scale, weights, bias, slope, shift
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray | None = None):
+        self.mean, self.scale = mean, scale
+        self.weights = np.zeros(len(mean) + 1) if weights is None else weights
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.clip((x.astype(np.float64) - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))], 1)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
+        return self.inputs(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.margin(x) + self.shift)
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE) -> PUModel:
-    """Minimise the non-negative risk with the logistic loss by full passes of Adam."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((m - mean) / scale, -8, 8) for m in (positive, unlabelled))
-    w, b = np.zeros(p.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        fp, fu = p @ w + b, u @ w + b
-        down_p, up_p, up_u = -_sigmoid(-fp), _sigmoid(fp), _sigmoid(fu)
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        g_neg = np.append(u.T @ up_u / len(u) - prior * (p.T @ up_p) / len(p), up_u.mean() - prior * up_p.mean())
-        g_pos = prior * np.append(p.T @ down_p / len(p), down_p.mean())
-        grad = -g_neg if negative < 0 else g_pos + g_neg
-        grad[:-1] += WEIGHT_DECAY * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return PUModel(mean, scale, w, b)
-
-
-def place_scores(model: PUModel, x: np.ndarray, y: np.ndarray) -> PUModel:
-    """Logistic slope and shift on labelled training rows (Platt's scaling with his smoothed targets), so that a score is a chance."""
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    if min(n0, n1) < 5:
-        return model
-    f = model.margin(x)
-    spread = f.std() + 1e-6
-    z = f / spread
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, c = 1.0, 0.0
-    for _ in range(50):
-        q = _sigmoid(a * z + c)
-        r, s = q - target, q * (1 - q) + 1e-9
-        h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-3]])
-        move = np.linalg.solve(h, [(r * z).sum(), r.sum()])
-        a, c = a - move[0], c - move[1]
-    if a > 0:
-        model.slope, model.shift = a / spread, c
-    return model
+        return _sigmoid(self.margin(x))
+
+
+def softplus_sums(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Over rows of inputs: their count, the sum of log(1 + exp(margin)), its gradient, and its second derivatives row by row."""
+    f = z @ weights
+    chance = _sigmoid(f)
+    curve = (z * (chance * (1 - chance))[:, None]).T @ z
+    return np.concatenate([[len(z), np.logaddexp(0, f).sum()], z.T @ chance, curve.ravel()])
+
+
+def sums_over(rows: DataFrame, of) -> np.ndarray:
+    """The sum over all rows of of(features matrix), a vector. Tasks add up their own rows, the rest is one aggregate per place of the vector."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = of(np.frombuffer(b"".join(batch.column("features").to_pylist()), "<f4").reshape(batch.num_rows, -1))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total, pa.float64())], ["k", "v"])
+
+    got = rows.select("features").mapInArrow(add, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(len(got))
+    for r in got:
+        out[r["k"]] = r["v"]
+    return out
+
+
+def _decay(size: int) -> np.ndarray:
+    """Weight decay for all but the bias."""
+    return np.append(np.full(size - 1, WEIGHT_DECAY), 1e-9)
+
+
+def nonnegative_risk(weights: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk, bracket, gradient to go down) from inputs of the positives and the softplus_sums of the unlabelled. While the bracket is negative, the
+    gradient is that of minus the bracket."""
+    f, size = positive @ weights, len(weights)
+    bracket = unlabelled[1] / unlabelled[0] - prior * np.logaddexp(0, f).mean()
+    of_bracket = unlabelled[2 : 2 + size] / unlabelled[0] - prior * (positive.T @ _sigmoid(f)) / len(f)
+    of_positives = -prior * (positive.T @ _sigmoid(-f)) / len(f)
+    decay = _decay(size) * weights
+    risk = prior * np.logaddexp(0, -f).mean() + max(0.0, bracket) + float(decay @ weights) / 2
+    return risk, bracket, (of_positives + of_bracket if bracket >= 0 else -of_bracket) + decay
+
+
+def _step(gradient: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """The damped Newton step, LONGEST at most."""
+    step = -np.linalg.solve(curve + np.diag(_decay(len(gradient)) + DAMPING), gradient)
+    return step * min(1.0, LONGEST / max(float(np.sqrt(step @ step)), 1e-12))
+
+
+def fit(model: PUModel, samples: list[np.ndarray], unlabelled: DataFrame, prior: float, steps: int = STEPS, rate: float = RATE) -> list[PUModel]:
+    """One model for each sample of positives, by passes that they share. Unlabelled texts enter by sums over their features alone."""
+    inputs, size = [model.inputs(x) for x in samples], len(model.weights)
+    now = [model.weights for _ in samples]
+    late = [np.zeros(size) for _ in samples]
+    for t in range(steps):
+        got = sums_over(unlabelled, lambda x: np.concatenate([softplus_sums(model.inputs(x), w) for w in now])).reshape(len(samples), -1)
+        for i, sums in enumerate(got):
+            _, _, gradient = nonnegative_risk(now[i], inputs[i], sums, prior)
+            now[i] = now[i] + rate * _step(gradient, sums[2 + size :].reshape(size, size) / sums[0])
+            if t >= steps // 2:
+                late[i] += now[i] / (steps - steps // 2)
+    return [PUModel(model.mean, model.scale, w) for w in late]
+
+
+def _binned(margins: np.ndarray) -> np.ndarray:
+    half = int(MOST_MARGIN / BIN_WIDTH)
+    places = np.clip(np.floor(margins / BIN_WIDTH) + half, 0, 2 * half - 1).astype(np.int64)
+    return np.bincount(places, minlength=2 * half).astype(np.float64)
+
+
+def to_scale(margins: np.ndarray, bins: np.ndarray, prior: float) -> tuple[float, float]:
+    """(slope, shift) of least unbiased risk, from margins of positives that the model has not seen and the binned margins of the unlabelled."""
+    centres = (np.arange(len(bins)) + 0.5) * BIN_WIDTH - MOST_MARGIN
+    share = bins / bins.sum()
+    mean = float(share @ centres)
+    spread = float(np.sqrt(share @ (centres - mean) ** 2)) + 1e-9
+    u = np.stack([centres / spread, np.ones(len(bins))], 1)
+    p = np.array([margins.mean() / spread, 1.0])
+    a, decay = np.array([1.0, 0.0]), np.array([1e-3, 1e-6])
+    for _ in range(100):
+        chance = _sigmoid(u @ a)
+        gradient = u.T @ (share * chance) - prior * p + decay * a
+        curve = (u * (share * chance * (1 - chance))[:, None]).T @ u + np.diag(decay + 1e-6)
+        step = -np.linalg.solve(curve, gradient)
+        a = a + step * min(1.0, LONGEST / max(float(np.sqrt(step @ step)), 1e-12))
+    return (float(a[0]) / spread, float(a[1])) if a[0] > 0 else (1.0, 0.0)
+
+
+def telling_apart(model: PUModel, positive: np.ndarray, unlabelled: DataFrame) -> PUModel:
+    """A logistic model that tells positives from unlabelled texts, both kinds of equal weight."""
+    z = model.inputs(positive)
+    w, size = model.weights, len(model.weights)
+    for _ in range(FIRST_STEPS):
+        got, own = sums_over(unlabelled, lambda x, w=w: softplus_sums(model.inputs(x), w)), softplus_sums(z, w)
+        both = got / got[0] / 2 + own / own[0] / 2
+        w = w + _step(both[2 : 2 + size] - z.mean(0) / 2 + _decay(size) * w, both[2 + size :].reshape(size, size))
+    return PUModel(model.mean, model.scale, w)
+
+
+def mixture_prior(positive: np.ndarray, above: np.ndarray, cutoffs: np.ndarray, n: float) -> float:
+    """The share of positives among n unlabelled texts, of which above[i] have margins of cutoffs[i] or more, from margins of positives that the
+    model has not seen. The cutoff is the one of least ratio plus its bound of error (best bin estimation)."""
+    q_p = (positive[:, None] >= cutoffs[None, :]).mean(0)
+    some = q_p > 0
+    q_p, q_u = q_p[some], (above / n)[some]
+    error = np.sqrt(np.log(4 / CONFIDENCE) / (2 * n)) + np.sqrt(np.log(4 / CONFIDENCE) / (2 * len(positive)))
+    best = int(np.argmin((q_u + error) / q_p))
+    return float(np.clip(q_u[best] / q_p[best], 0.02, 0.98))
+
+
+def estimated_prior(model: PUModel, halves: list[np.ndarray], unlabelled: DataFrame) -> float:
+    """Learns to tell one half of the positives from the unlabelled texts and estimates with the other."""
+    teller = telling_apart(model, halves[0], unlabelled)
+    margins = teller.margin(halves[1])
+    cutoffs = np.unique(np.quantile(margins, np.linspace(0, 1, CUTOFFS, endpoint=False)))
+    above = sums_over(unlabelled, lambda x: np.append((teller.margin(x)[:, None] >= cutoffs[None, :]).sum(0), len(x)).astype(np.float64))
+    return mixture_prior(margins, above[:-1], cutoffs, above[-1])
 
 
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
 
 
-def train(table: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> PUModel | None:
-    """Fit on the training fold. Samples are the rows of least md5(doc_id), at most sample_rows of each kind. The class prior of the unlabelled
-    texts is estimated as the share of positives among labelled training rows. None where there are no positives or no unlabelled texts."""
-    known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out())
-    order = F.md5(F.col("doc_id").cast("string"))
-    rows = table.where(F.col("doc_id").isNotNull())
-    mine = known.join(rows, "doc_id")
-    good = mine.where("quality = 1").orderBy(order).limit(sample_rows).select("features").collect()
-    labelled = mine.orderBy(order).limit(sample_rows).select("features", "quality").collect()
-    unlabelled = rows.where(~held_out()).join(known, "doc_id", "left_anti").orderBy(order).limit(sample_rows).select("features").collect()
-    if not good or not unlabelled:
+def train(table: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[PUModel, float] | None:
+    """(model, estimated prior), learnt on the training fold: positives are the labelled rows of quality 1 with the least md5(doc_id), at most
+    sample_rows; unlabelled are all rows without a label. None where there are no positives or no unlabelled texts."""
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality").isin(0, 1))
+    rows = table.where(F.col("doc_id").isNotNull() & ~held_out())
+    good = rows.join(known.where("quality = 1"), "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "features").limit(sample_rows)
+    positive = _matrix(good.select("features").collect())
+    unlabelled = scratch(rows.join(known, "doc_id", "left_anti").select("features"), "unlabelled")
+    if not len(positive) or unlabelled.isEmpty():
         return None
-    y = np.array([r["quality"] for r in labelled])
-    prior = float(np.clip((y == 1).mean(), 0.05, 0.95))
-    return place_scores(fit(_matrix(good), _matrix(unlabelled), prior), _matrix(labelled), y)
+    sums = sums_over(unlabelled, lambda x: np.concatenate([[len(x)], x.astype(np.float64).sum(0), (x.astype(np.float64) ** 2).sum(0)]))
+    mean, square = np.split(sums[1:] / sums[0], 2)
+    start = PUModel(mean, np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-3)
+    halves = [positive[0::2], positive[1::2]] if len(positive) > 1 else [positive, positive]
+    prior = estimated_prior(start, halves, unlabelled)
+    models = fit(start, halves, unlabelled, prior)
+    bins = sums_over(unlabelled, lambda x: np.concatenate([_binned(m.margin(x)) for m in models])).reshape(2, -1)
+    drop_scratch(unlabelled)
+    weights = np.zeros(len(start.weights))
+    for model, others, counts in zip(models, reversed(halves), bins, strict=True):
+        slope, shift = to_scale(model.margin(others), counts, prior)
+        weights += (slope * model.weights + np.append(np.zeros(len(weights) - 1), shift)) / 2
+    return PUModel(start.mean, start.scale, weights), prior
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of docs. Null and empty texts are scored as empty ones. Without labels to learn from
-    every score is 0.5. A null doc_id is never learnt from and counts as not held out. Repeated rows get equal scores."""
+    """(doc_id, held_out, score, predicted) per row of docs.
+
+    Null and empty texts are scored as empty ones, and any text whole, however long. A label is positive only if all labels of its document say 1;
+    null labels say nothing. Without labels of quality 1, or without unlabelled texts to learn from, every score is 0.5. A null doc_id is never
+    learnt from and counts as not held out. Repeated rows get equal scores; among positives with equal order, features decide. A score equal to
+    the threshold predicts 1. An empty table gives no rows. Other columns of docs, labels among them, are ignored, whatever their names.
+    """
     table = scratch(feature_table(docs), "features")
-    model = train(table, labels, sample_rows)
+    trained = train(table, labels, sample_rows)
+    model = trained[0] if trained else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             x = np.frombuffer(b"".join(batch.column("features").to_pylist()), "<f4").reshape(n, -1) if n else None
-            got = model.score(x.astype(np.float64)) if n and model is not None else np.full(n, 0.5)
+            got = model.score(x) if n and model is not None else np.full(n, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], ["doc_id", "score"])
 
     scored = table.mapInArrow(score, "doc_id long, score double")

@@ -254,12 +254,16 @@ def test_sharding(odd_docs, no_docs, corpus_docs, tmp_path, monkeypatch):
     assert odd_docs.sparkSession.read.parquet(f"{tmp_path}/out").count() == odd_docs.count()
 
 
-def test_classifier(spark, odd_docs, no_docs):
+def labelled_kinds(spark):
     good = "the quick brown fox number%d jumps over the lazy dog and runs home to eat some food with friends"
     junk = "%%%d### buy!! NOW!! $$$ click*** here*** &&& win!! CASH!! ### %%%"
     rows = [(i, (good % i) if i % 3 else junk.replace("%d", str(i))) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = docs.where("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+    return docs, docs.where("doc_id % 2 = 0").select("doc_id", (F.col("doc_id") % 3 != 0).cast("int").alias("quality"))
+
+
+def test_classifier(spark, odd_docs, no_docs):
+    docs, labels = labelled_kinds(spark)
     out = {r["doc_id"]: r for r in pulearn.score_documents(docs, labels).collect()}
     import zlib
 
@@ -268,11 +272,75 @@ def test_classifier(spark, odd_docs, no_docs):
         assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
         wrong += r["held_out"] and r["predicted"] != int(i % 3 != 0)
     assert wrong == 0
+    # Labelled negatives are used nowhere, but they are no unlabelled texts either.
+    silent = labels.withColumn("quality", F.when(F.col("quality") == 1, 1).otherwise(0))
+    assert {r["doc_id"]: round(r["score"], 6) for r in pulearn.score_documents(docs, silent).collect()} == {i: round(r["score"], 6) for i, r in out.items()}
     odd = pulearn.score_documents(odd_docs, labels.limit(0)).collect()
     assert len(odd) == odd_docs.count() and all(r["score"] == 0.5 for r in odd)
     assert pulearn.score_documents(no_docs, labels).collect() == []
 
 
+def test_classifier_scores_odd_rows_by_a_fitted_model(spark, odd_docs):
+    docs, labels = labelled_kinds(spark)
+    odd = odd_docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "text")
+    labels = labels.unionByName(spark.createDataFrame([(100_001, None), (100_002, 1), (100_002, 0), (None, 1), (100_004, 1), (100_004, 1), (5_000_000, 1)], "doc_id long, quality int"))
+    rows = pulearn.score_documents(docs.unionByName(odd).withColumn("score", F.lit("clash")).withColumn("features", F.lit(1)), labels).collect()
+    assert len(rows) == 900 + odd.count()
+    by = defaultdict(set)
+    for r in rows:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+        by[r["doc_id"]].add((r["score"], r["held_out"]))
+    assert all(len(x) == 1 for x in by.values())
+    score = {k: next(iter(v))[0] for k, v in by.items()}
+    assert score[100_004] == score[100_005] != 0.5
+    assert next(iter(by[None]))[1] is False
+    kinds = [next(iter(by[i]))[0] >= 0.3 for i in range(900)]
+    assert sum(k != bool(i % 3) for i, k in enumerate(kinds)) <= 5
+
+
+def softplus(x):
+    return math.log1p(math.exp(-abs(x))) + max(x, 0.0)
+
+
+def test_risk_and_gradient_match_a_plain_version():
+    r = np.random.default_rng(3)
+    positive, unlabelled = r.normal(0.5, 1, (40, 5)), r.normal(0, 1, (70, 5))
+    positive[:, 4] = unlabelled[:, 4] = 1
+
+    def plain(w, prior):
+        f = lambda rows: [sum(a * b for a, b in zip(x, w, strict=True)) for x in rows]
+        fp, fu = f(positive.tolist()), f(unlabelled.tolist())
+        bracket = sum(map(softplus, fu)) / 70 - prior * sum(map(softplus, fp)) / 40
+        decay = sum(v * v for v in w[:-1]) * pulearn.WEIGHT_DECAY / 2
+        return prior * sum(softplus(-x) for x in fp) / 40 + max(0, bracket) + decay, bracket, decay
+
+    for prior, w in ((0.4, np.array([0.3, -0.2, 0.1, 0.5, 0.2])), (0.95, np.array([1.5, 1.2, 1.1, 1.5, 0.2]))):
+        sums = pulearn.softplus_sums(unlabelled[:30], w) + pulearn.softplus_sums(unlabelled[30:], w)
+        risk, bracket, gradient = pulearn.nonnegative_risk(w, positive, sums, prior)
+        want = plain(w.tolist(), prior)
+        assert abs(risk - want[0]) < 1e-6 and abs(bracket - want[1]) < 1e-9
+        assert (bracket < 0) == (prior == 0.95)
+        goal = (lambda v: plain(v, prior)[0]) if bracket >= 0 else (lambda v: plain(v, prior)[2] - plain(v, prior)[1])
+        for i in range(5):
+            up, down = w.copy(), w.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert abs((goal(up.tolist()) - goal(down.tolist())) / 2e-5 - gradient[i]) < 1e-6
+
+
+def test_prior_is_that_of_the_mixture(spark):
+    r = np.random.default_rng(8)
+    width = pulearn.n_features()
+    draw = lambda n, at: np.concatenate([r.normal(at, 1, (n, 4)), r.normal(0, 1, (n, width - 4))], 1).astype("<f4")
+    positive = draw(1500, 1.5)
+    for share in (0.2, 0.7):
+        n = 8000
+        rows = np.concatenate([draw(int(n * share), 1.5), draw(n - int(n * share), -1.5)])
+        table = spark.createDataFrame([(bytearray(x.tobytes()),) for x in rows], "features binary")
+        start = pulearn.PUModel(rows.mean(0).astype(float), rows.std(0).astype(float))
+        assert abs(pulearn.estimated_prior(start, [positive[0::2], positive[1::2]], table) - share) < 0.06
+
+
 def test_rendering():
     v = render.visible_text
     assert v(None) == v("") == ""
