@@ -1,11 +1,18 @@
 """Near-duplicate documents by MinHash bands, sequential Bayesian verification and exact confirmation.
 
-Rows of equal shingle sets are one class, known by its least doc_id. Class signatures are banded; within a bucket
-classes are compared with a pivot, not with each other; the pivot is the class that shares most buckets with most others. A pair's
-signatures are compared a batch at a time, and it is given up as soon as the posterior chance of reaching the
-similarity falls below MISS. Survivors are confirmed on the full sets. A bucket whose classes are all linked to one pivot is
-done. The others are gone through in blocks of full sets, so that no link is lost to pivots: a block or two blocks make one row, and only
-links that join parts leave it. Links make components.
+Rows of equal shingle sets are one class, known by its least doc_id. Class signatures are banded, and buckets give pairs of classes to compare. A
+pair's signatures are compared a batch at a time, and it is given up as soon as the posterior chance of reaching the similarity falls below MISS;
+survivors are confirmed on the full sets. Links make components, which are all that is asked for, so a bucket need not give all its pairs:
+
+1. Its classes are compared with a pivot, the class that shares most buckets with most others.
+2. What the links so far leave in several components is open. If few classes lie outside the largest of them, those are compared with all open
+   classes of other components.
+3. Classes of buckets with many such classes (unlike texts around one common passage, say) get finer buckets, which lose no pair: the shingles
+   that come first in each set, rarest first. A set of n shingles that reaches the similarity with a larger one has one of its first
+   n - ceil(2s / (1 + s) n) + 1 among the first m - ceil(s m) + 1 of the other's m (the prefixes of PPJoin). Buckets of shingles are settled by a
+   pivot too; then their open pairs that the prefixes and the sizes allow are compared.
+
+Every pair goes through the signatures first, then the full sets.
 """
 
 from __future__ import annotations
@@ -16,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.llm.components import components
@@ -31,8 +38,8 @@ BANDS, BAND_ROWS = 28, 4
 HASHES = BANDS * BAND_ROWS
 #: Hashes of one comparison step, and the posterior chance of reaching the similarity below which a pair is given up.
 BATCH, MISS = 16, 1e-7
-#: Classes and shingles of one block of a bucket that pivots have not settled.
-BLOCK_CLASSES, BLOCK_SHINGLES = 200, 150_000
+#: Most classes outside the largest component of a bucket that are compared with all others there; buckets with more are cut finer.
+FEW = 32
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,6 +116,11 @@ def survives(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def hash_of(held: bytes) -> int:
+    """64 bits of a set, the same on every machine."""
+    return int.from_bytes(hashlib.blake2b(held, digest_size=8).digest(), "little", signed=True)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= SIMILAR * (len(a) + len(b) - both) and both > 0
@@ -210,72 +222,81 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: _Sets, tag: str) -> D
     return scratch(whole.select("a", "ta", "b", "tb").mapInArrow(confirm, "a long, b long").distinct(), f"links{tag}")
 
 
-def joining_links(reps: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
-    """Links between members of different parts that reach the similarity, one for each two groups that they join. With split above 0 only
-    those between the first split members and the rest are looked at; sizes of intersections are products of incidence tables."""
-    sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1] if shared.any() else column[shared]
-    rows, others = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
-    both = np.zeros((len(sizes[rows]), len(sizes[others])), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    width = max(1, 4_000_000 // len(sets))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, (at, at + width))
-        table = np.zeros((len(sets), width), np.float32)
-        table[owner[lo:hi], column[lo:hi] - at] = 1
-        both += table[rows] @ table[others].T
-    near = 100 * both >= SIMILAR * (sizes[rows][:, None] + sizes[others][None, :] - both)
-    near &= (both > 0) & (parts[rows][:, None] != parts[others][None, :])
-    root = {p: p for p in parts.tolist()}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def _pivot_pairs(buckets: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """((bucket, pivot), distinct pairs of each class with its buckets' pivots)."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    central = buckets.join(sizes, "bucket").groupBy("rep").agg(F.sum("n").alias("weight"))
+    best = F.min(F.struct(-F.col("weight"), F.col("rep")))["rep"]
+    pivots = scratch(buckets.join(central, "rep").groupBy("bucket").agg(best.alias("pivot")), f"pivots{tag}")
+    paired = buckets.join(pivots, "bucket").where("rep <> pivot")
+    pairs = paired.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    return pivots, pairs
+
+
+def _open(buckets: DataFrame, pivots: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """buckets without their pivots, with the part (component so far) of each class, the largest part of its bucket and how many classes lie outside
+    that; only buckets with several parts."""
+    parts = components(links)
+    rest = buckets.join(pivots, "bucket").where("rep <> pivot").drop("pivot")
+    placed = scratch(rest.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component"), f"open{tag}")
+    counts = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k"))
+    whole = counts.groupBy("bucket").agg(F.max(F.struct("k", "part")).alias("top"), F.sum("k").alias("n"), F.count(F.lit(1)).alias("parts"))
+    several = whole.where("parts > 1").select("bucket", F.col("top.part").alias("largest"), (F.col("n") - F.col("top.k")).alias("outside"))
+    return placed.join(several, "bucket")
+
+
+def _open_pairs(opened: DataFrame, allowed: Column | None = None) -> DataFrame:
+    """Distinct pairs of open classes of one bucket and of different parts, as far as allowed(x, y)."""
+    x, y = opened.where("part <> largest").alias("x"), opened.alias("y")
+    met = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
+        (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("x.largest")) | (F.col("x.rep") < F.col("y.rep")))
+    )
+    if allowed is not None:
+        met = met.where(allowed)
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).where("a < b").distinct()
 
-    out = []
-    for i, j in zip(*np.nonzero(near), strict=True):
-        i, j = int(i), int(j) + split
-        x, y = find(int(parts[i])), find(int(parts[j]))
-        if x != y:
-            root[x] = y
-            out.append((int(min(reps[i], reps[j])), int(max(reps[i], reps[j]))))
-    return out
 
+def _first_shingles(reps: DataFrame, sets: _Sets) -> DataFrame:
+    """(bucket, rep, n, first): the shingles that may be the first common one of a class and a similar one, rarest first among these classes. first
+    marks those that count when the class is the smaller of the two."""
 
-def _block_links(live: DataFrame, classes: DataFrame, sets: _Sets) -> DataFrame:
-    """Links that join parts within buckets of live (bucket, rep, part), found block by block on the full sets."""
-    full = sets.of(live, "rest").groupBy("rep").agg(F.first("shingles").alias("shingles"))
-    sized = live.join(full.select("rep", F.expr("octet_length(shingles) DIV 8").alias("n")), "rep")
-    load = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    cuts = sized.groupBy("bucket").agg(load.alias("blocks"))
-    dealt = live.join(cuts, "bucket").select("bucket", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "blocks", "rep", "part")
-    members = F.collect_list(F.struct("rep", "part", "shingles"))
-    rows = dealt.join(full, "rep").groupBy("bucket", "block", "blocks").agg(members.alias("members"))
-    rows = scratch(rows, "blocks")
-    none = F.array().cast(rows.schema["members"].dataType)
-    alone = rows.select("members", none.alias("others"))
-    several = rows.where("blocks > 1")
-    right = several.select("bucket", F.col("block").alias("other"), F.col("members").alias("others"))
-    across = several.join(right, "bucket").where("block < other").select("members", "others")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for mine, other in zip(batch.column("members"), batch.column("others"), strict=True):
-                mine, other = mine.as_py(), other.as_py()
-                both = mine + other
-                reps, parts = (np.array([m[k] for m in both], np.int64) for k in ("rep", "part"))
-                if len(np.unique(parts)) > 1:
-                    found += joining_links(reps, parts, [np.frombuffer(m["shingles"], np.uint64) for m in both], len(mine) if other else 0)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=_LINK)
-
-    return scratch(alone.unionByName(across).mapInArrow(link, "a long, b long").distinct(), "linksrest")
+            for rep, held in zip(batch.column("rep").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                own = np.frombuffer(held, np.int64)
+                for at in range(0, len(own), 50_000):
+                    part = own[at : at + 50_000]
+                    same = lambda v, k=len(part): pa.array(np.full(k, v, np.int64))
+                    yield pa.RecordBatch.from_arrays([same(rep), same(hash_of(held)), same(len(own)), pa.array(part)], ["rep", "whole", "n", "bucket"])
+
+    full = sets.of(reps, "hot").join(reps.select("rep").distinct(), "rep", "left_semi")
+    rows = scratch(full.select("rep", "shingles").mapInArrow(spread, "rep long, whole long, n long, bucket long"), "spread")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    one = Window.partitionBy("rep", "whole", "n")
+    met = rows.join(shared, "bucket").withColumn("place", F.row_number().over(one.orderBy("df", "bucket")) + F.col("n") - F.count(F.lit(1)).over(one))
+    most, fewest = F.expr(f"n - ({SIMILAR} * n + 99) DIV 100 + 1"), F.expr(f"n - ({2 * SIMILAR} * n + {99 + SIMILAR}) DIV {100 + SIMILAR} + 1")
+    kept = met.where(F.col("place") <= most).groupBy("bucket", "rep", "n").agg(F.max(F.col("place") <= fewest).alias("first"))
+    useful = kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max("first").alias("some")).where("k > 1 AND some").select("bucket")
+    return kept.join(useful, "bucket", "left_semi")
+
+
+def _links_of(buckets: DataFrame, classes: DataFrame, sets: _Sets) -> DataFrame:
+    """Links that join all classes which similar pairs of any bucket join."""
+    pivots, pairs = _pivot_pairs(buckets, "")
+    links = _confirmed(scratch(pairs, "pairs"), classes, sets, "pivot")
+    opened = scratch(_open(buckets, pivots, links, ""), "several")
+    pairs = _open_pairs(opened.where(F.col("outside") <= FEW))
+    crowded = opened.where(F.col("outside") > FEW).select("rep").distinct()
+    if crowded.isEmpty():
+        return links.unionByName(_confirmed(scratch(pairs, "pairs"), classes, sets, "few"))
+    finer = scratch(_first_shingles(crowded, sets), "finer")
+    pivots, more = _pivot_pairs(finer.select("bucket", "rep").distinct(), "finer")
+    links = links.unionByName(_confirmed(scratch(pairs.unionByName(more).distinct(), "pairs"), classes, sets, "few"))
+    # The smaller set of a pair has one of its first shingles in common with the larger; equal sizes may be taken either way.
+    fits = (F.col("x.first") & (F.col("x.n") <= F.col("y.n"))) | (F.col("y.first") & (F.col("y.n") <= F.col("x.n")))
+    fits &= 100 * F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n")
+    pairs = _open_pairs(scratch(_open(finer, pivots, links, "finer"), "several"), fits)
+    return links.unionByName(_confirmed(scratch(pairs, "pairs"), classes, sets, "rest"))
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -285,24 +306,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Rows that share a doc_id are one document: their classes have one name, and any of them may be compared.
     classes = scratch(some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
     buckets = scratch(_buckets(classes), "buckets")
-    sets = _Sets(docs)
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    central = buckets.join(sizes, "bucket").groupBy("rep").agg(F.sum("n").alias("weight"))
-    heavy = F.struct(-F.col("weight"), F.col("rep"))
-    ranked = buckets.join(central, "rep").groupBy("bucket").agg(F.min(heavy).alias("p"), F.count(F.lit(1)).alias("n"))
-    pivots = scratch(ranked.select("bucket", F.col("p.rep").alias("pivot"), F.col("p")["col1"].alias("rank"), "n"), "pivots")
-    paired = buckets.join(pivots, "bucket").where("rep <> pivot")
-    pairs = paired.groupBy(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).agg(F.min(F.struct("rank", "pivot")).alias("by"))
-    pairs = scratch(pairs, "pairs")
-    links = _confirmed(pairs.select("a", "b"), classes, sets, "pivot")
-    # A class linked to a pivot is of that pivot's part, of the heaviest if there are several; so one part is always one component.
-    ends = links.join(pairs, ["a", "b"]).select("by", F.when(F.col("by.pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("rep"))
-    parts = ends.groupBy("rep").agg(F.min("by").alias("by")).select("rep", F.col("by.pivot").alias("part"))
-    placed = buckets.join(parts, "rep", "left").select("bucket", "rep", F.coalesce("part", "rep").alias("part"))
-    # Buckets of two classes are settled by their one comparison; so is any bucket of one part.
-    mixed = placed.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("n"))
-    live = scratch(placed.join(mixed.where("x < y AND n > 2").select("bucket"), "bucket", "left_semi"), "live")
-    parts = scratch(components(links.unionByName(_block_links(live, classes, sets))), "parts")
+    parts = scratch(components(_links_of(buckets, classes, _Sets(docs))), "parts")
     named = classes.select("set_key", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     return rows, named.select("set_key", F.coalesce("component", "rep").alias("component"))
 
@@ -311,7 +315,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs.
 
     Null and empty texts have an empty set, are linked with nothing and kept. A null doc_id takes part in nothing: its component_id is null
-    and it is kept. Rows that repeat a doc_id are one document; a repeated row with the same text has the same values.
+    and it is kept. Rows that repeat a doc_id are one document; a repeated row with the same text has the same values. A pair at exactly the
+    similarity is linked. Texts are taken whole, however long; an empty table gives no rows. Other columns of docs are ignored, whatever
+    their names.
     """
     rows, named = near_classes(docs)
     joined = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")

@@ -1,6 +1,7 @@
 import hashlib
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 from siltworks.llm import components, neardup, passages
 
@@ -15,11 +16,49 @@ def test_near_duplicates_match_all_pairs(corpus, corpus_docs):
     assert len({c for _, c, _ in want.values()}) < len(want) - 10
 
 
-def test_blocks_find_what_pivots_leave(corpus, corpus_docs, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 3)
+@pytest.mark.parametrize("few", [0, 2])
+def test_crowded_buckets_lose_no_link(corpus, corpus_docs, monkeypatch, few):
+    monkeypatch.setattr(neardup, "FEW", few)
     assert near(corpus_docs) == {d: (n, c, c == d) for d, (n, c) in brute.near_components(corpus).items()}
 
 
+def test_families_around_a_common_passage(spark, monkeypatch):
+    """Texts that share most of their words with all others, at similarities on both sides of the limit, and chains that only cross links join."""
+    import random
+
+    r = random.Random(2)
+    body = [f"b{i}" for i in range(120)]
+    docs = []
+    for k in range(160):
+        own = [f"k{k % 70}x{i}" for i in range(r.choice((13, 15, 16, 17, 18, 20, 24, 40)))]
+        docs.append(" ".join((body + own) if k % 2 else (body[: r.randint(100, 120)] + own)))
+    chain = [f"c{i}" for i in range(300)]
+    docs += [" ".join(chain[9 * k : 9 * k + 110]) for k in range(20)]
+    corpus = list(enumerate(docs, 1))
+    want = {d: (n, c, c == d) for d, (n, c) in brute.near_components(corpus).items()}
+    table = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    assert 15 < len({c for _, c, _ in want.values()}) < 150
+    for few in (0, 4, 32):
+        monkeypatch.setattr(neardup, "FEW", few)
+        assert near(table) == want
+
+
+def test_first_shingles_meet_for_every_similar_pair(spark, corpus, corpus_docs):
+    """The prefix rule over all pairs of the corpus, against their sets."""
+    sets = {d: brute.shingles(t) for d, t in corpus}
+    classes = {d for d, s in sets.items() if s}
+    reps = spark.createDataFrame([(d,) for d in classes], "rep long")
+    rows = neardup._first_shingles(reps, neardup._Sets(corpus_docs)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["bucket"], []).append((r["rep"], r["n"], r["first"]))
+    met = {(x, y) for group in by.values() for x, n, first in group for y, m, _ in group if first and n <= m and x != y}
+    for x in classes:
+        for y in classes:
+            if x != y and len(sets[x]) <= len(sets[y]) and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                assert (x, y) in met
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     rows = neardup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
