@@ -1,14 +1,11 @@
-"""Property-graph operators: containment, degrees, components, cycles, depth, bounded neighbourhoods, crawls and rollups.
+"""Property-graph operators: containment, degrees, closures, bounded neighbourhoods, crawls and rollups.
 
-Small graphs (LOCAL_EDGES, counted first) are solved in one pass. Beyond that iterations are DataFrame loops; each round ends in a table in the shared checkpoint folder, so lineage stays short and a lost
+Iterations are DataFrame loops; each round ends in a table in the shared checkpoint folder, so lineage stays short and a lost
 executor costs one reread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +13,6 @@ from siltworks.functions.text import package_prefixes
 from siltworks.session import drop_scratch, scratch
 
 
-#: A graph of at most so many edges is counted, then solved in one pass on the driver; larger ones go through the distributed loops.
-LOCAL_EDGES = 50_000
-
-
 def package_nodes(modules: DataFrame, module: str) -> DataFrame:
     """Every package on the way to a module, and the modules: (node_id, node_type)."""
     prefixes = F.explode(F.slice(package_prefixes(F.col(module)), 1, F.size(F.split(module, r"\.")) - 1))
@@ -69,193 +62,6 @@ def reachable(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds:
     raise RuntimeError("closure did not settle")
 
 
-def trim(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """Edges (src, dst) left after taking away, again and again, nodes without an edge in or without one out. Every cycle survives."""
-    now = scratch(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "trim")
-    n = now.count()
-    for _ in range(most_rounds):
-        sources, targets = now.select(F.col("src").alias("k")).distinct(), now.select(F.col("dst").alias("k")).distinct()
-        both = sources.join(targets, "k", "left_semi")
-        left = now.join(both.withColumnRenamed("k", "src"), "src", "left_semi").join(both.withColumnRenamed("k", "dst"), "dst", "left_semi")
-        after = scratch(left, "trim")
-        drop_scratch(now)
-        now, m = after, after.count()
-        if m == n or m == 0:
-            return now
-        n = m
-    return now
-
-
-def _rounds(most_rounds: int | None) -> Iterable[int]:
-    return count() if most_rounds is None else range(most_rounds)
-
-
-def strong_components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """(node, component) for nodes on a cycle; component is the least node of it. Edges are (src, dst).
-
-    Forward-backward colouring on the trimmed graph: the id of least hash that reaches a node colours it; nodes of a colour that
-    reach the colour's root are that root's component. Found components leave, and the rest goes on until nothing is left; by hash, a chain
-    of components takes about the logarithm of its length in rounds, in whatever order its ids are. With most_rounds it raises when they run out.
-    """
-    if not hasattr(edges, "_siltworks_path"):
-        edges = scratch(edges.select("src", "dst"), "edges")
-    kind = dict(edges.dtypes)["src"]
-    if edges.count() <= LOCAL_EDGES:
-        pairs = [(r[0], r[1]) for r in edges.select("src", "dst").collect() if r[0] is not None and r[1] is not None]
-        return edges.sparkSession.createDataFrame(local_components(pairs), f"node {kind}, component {kind}")
-    left = trim(edges)
-    found: DataFrame | None = None
-    for _ in _rounds(most_rounds):
-        if left.isEmpty():
-            break
-        nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        colour = _spread_least(nodes.withColumn("c", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("root"))), left, "src", "dst")
-        backward = _reach_roots(colour, left)
-        here = scratch(backward.join(backward.groupBy("c").agg(F.min("node").alias("component")), "c").select("node", "component"), "scc")
-        found = here if found is None else found.unionByName(here)
-        gone = here.select(F.col("node").alias("g"))
-        rest = left.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti")
-        rest = rest.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
-        left = trim(rest.where("cs = cd").select("src", "dst"))
-    else:
-        if not left.isEmpty():
-            raise RuntimeError("components did not settle")
-    if found is None:
-        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
-    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    kept = found.join(sizes, "component").join(loops.withColumn("loop", F.lit(True)), "node", "left").where("n > 1 OR loop")
-    return kept.select("node", "component")
-
-
-def local_components(pairs: list[tuple]) -> list[tuple]:
-    """(node, least node of its cycle group) by Tarjan's single pass, without recursion; nodes on no cycle are left out."""
-    after: dict = {}
-    for a, b in pairs:
-        after.setdefault(a, []).append(b)
-        after.setdefault(b, [])
-    order: dict = {}
-    low: dict = {}
-    path: list = []
-    on_path: set = set()
-    out: list[tuple] = []
-    for start in after:
-        if start in order:
-            continue
-        work = [(start, iter(after[start]))]
-        order[start] = low[start] = len(order)
-        path.append(start)
-        on_path.add(start)
-        while work:
-            node, rest = work[-1]
-            for b in rest:
-                if b not in order:
-                    order[b] = low[b] = len(order)
-                    path.append(b)
-                    on_path.add(b)
-                    work.append((b, iter(after[b])))
-                    break
-                if b in on_path:
-                    low[node] = min(low[node], order[b])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                if low[node] == order[node]:
-                    at = len(path) - 1
-                    while path[at] != node:
-                        at -= 1
-                    group = path[at:]
-                    del path[at:]
-                    on_path.difference_update(group)
-                    if len(group) > 1 or node in after[node]:
-                        least = min(group)
-                        out += [(x, least) for x in group]
-    return out
-
-
-def local_depths(pairs: list[tuple]) -> list[tuple]:
-    """(child, longest way up) for every child, None where a cycle can be reached."""
-    up: dict = {}
-    for child, parent in pairs:
-        up.setdefault(child, set()).add(parent)
-    waiting = {c: len(ps) for c, ps in up.items()}
-    below: dict = {}
-    for c, ps in up.items():
-        for p in ps:
-            below.setdefault(p, []).append(c)
-    depth = {p: 0 for p in below if p not in up}
-    todo = list(depth)
-    while todo:
-        p = todo.pop()
-        for c in below.get(p, []):
-            depth[c] = max(depth.get(c, 0), depth[p] + 1)
-            waiting[c] -= 1
-            if not waiting[c]:
-                todo.append(c)
-    return [(c, None if waiting[c] else depth[c]) for c in up]
-
-
-def _spread_least(labels: DataFrame, edges: DataFrame, src: str, dst: str) -> DataFrame:
-    now = scratch(labels, "colour")
-    while True:
-        given = edges.join(now.select(F.col("node").alias(src), F.col("c").alias("given")), src).groupBy(F.col(dst).alias("node")).agg(F.min("given").alias("given"))
-        after = scratch(now.join(given, "node", "left").select("node", F.least("c", F.coalesce("given", "c")).alias("c")), "colour")
-        changed = after.join(now.select("node", F.col("c").alias("was")), "node").where("c <> was").isEmpty()
-        now = after
-        if changed:
-            return now
-
-
-def _reach_roots(colour: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that reach the root of their own colour without leaving the colour."""
-    inside = edges.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
-    inside = scratch(inside.where("cs = cd").select("src", "dst", F.col("cs").alias("c")), "inside")
-    reached = scratch(colour.where("node = c.root").select("node", "c"), "back")
-    front = reached
-    while True:
-        new = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "c").distinct().join(reached.select("node"), "node", "left_anti")
-        front = scratch(new, "front")
-        if front.isEmpty():
-            return reached
-        reached = scratch(reached.unionByName(front), "back")
-
-
-def cycle_groups(edges: DataFrame) -> DataFrame:
-    """(component, members in order, n_edges): groups of nodes on common cycles with the edges among them."""
-    edges = scratch(edges.select("src", "dst"), "edges")
-    comps = scratch(strong_components(edges), "scc")
-    ends = edges.join(comps.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(comps.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst")
-    counted = ends.where("cs = cd").groupBy(F.col("cs").alias("component")).agg(F.count(F.lit(1)).alias("n_edges"))
-    return comps.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members")).join(counted, "component")
-
-
-def longest_depth(edges: DataFrame, child: str = "child", parent: str = "parent", most_rounds: int | None = None) -> DataFrame:
-    """(node, depth): longest way up to a root for nodes with a parent; null where a cycle can be reached. It goes on until no node can settle;
-    with most_rounds it raises when they run out before."""
-    links = scratch(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("parent IS NOT NULL").distinct(), "depth")
-    if links.count() <= LOCAL_EDGES:
-        pairs = [(r["child"], r["parent"]) for r in links.collect() if r["child"] is not None]
-        return edges.sparkSession.createDataFrame(local_depths(pairs), f"node {dict(links.dtypes)['child']}, depth int")
-    settled = scratch(
-        links.select(F.col("parent").alias("node")).distinct().join(links.select(F.col("child").alias("node")), "node", "left_anti").withColumn("depth", F.lit(0)), "depth"
-    )
-    waiting = links
-    for _ in _rounds(most_rounds):
-        # A child settles once all its parents have.
-        parents = settled.select(F.col("node").alias("parent"), "depth")
-        ready = waiting.join(parents, "parent", "left").groupBy("child").agg(F.max("depth").alias("d"), (F.count("depth") == F.count(F.lit(1))).alias("all"))
-        new = scratch(ready.where("all").select(F.col("child").alias("node"), (F.col("d") + 1).alias("depth")), "depth")
-        if new.isEmpty():
-            break
-        settled = scratch(settled.unionByName(new), "depth")
-        waiting = scratch(waiting.join(new.select(F.col("node").alias("child")), "child", "left_anti"), "depth")
-    else:
-        raise RuntimeError("depths did not settle")
-    stuck = waiting.select(F.col("child").alias("node")).distinct().withColumn("depth", F.lit(None).cast("int"))
-    return settled.where("depth > 0").unionByName(stuck)
-
-
 def neighbourhood(edges: DataFrame, focus: object, depth: int, most_nodes: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, distance, rank, truncated): breadth first and undirected from focus, neighbours in id order behind the nodes they are found from,
     at most most_nodes. Levels are bounded by most_nodes, so the frontier that each join carries is small."""

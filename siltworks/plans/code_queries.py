@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltworks.functions.text import is_test_path
 from siltworks.operators import code as C
 from siltworks.operators import findings as R
-from siltworks.operators import graph as G
+from siltworks.operators import cycles
 from siltworks.operators import handoff as H
 from siltworks.operators.diffing import snapshot_diff
 from siltworks.plans.registry import query
@@ -137,7 +137,7 @@ r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst =
 SELECT 'dependency-cycle' AS rule_id, string_agg(node, ',' ORDER BY node) AS subject, count(*)::DOUBLE AS value FROM c GROUP BY component""")
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = C.import_edges(C.scan_sources(part_sources(spark, sf_dir)))
-    return R.cycle_findings(G.cycle_groups(edges), "imports").select("rule_id", "subject", "value")
+    return R.cycle_findings(cycles.cycle_groups(edges), "imports").select("rule_id", "subject", "value")
 
 
 @query(f"""

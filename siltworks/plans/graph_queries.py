@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltworks.operators import cycles
 from siltworks.operators import graph as G
 from siltworks.plans.registry import query
 from siltworks.session import table
 
 
+#: Parts of one run of keys, beyond which no edge goes; the closure's size grows with its square.
+RUN = 40
+
+
 def _part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse dependency graph with some cycles: parts of sizes 1 to 5 point to a later part and sometimes back."""
-    p = table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("k"))
-    forward = p.select(F.col("k").alias("src"), (F.col("k") + F.col("k") % 5 + 1).alias("dst"))
-    back = p.where("k % 3 = 0").select((F.col("k") + F.col("k") % 5 + 1).alias("src"), F.col("k").alias("dst"))
+    """A dependency graph with some cycles over all parts: each points to a later part of its run (to none at the end of it), and sometimes back."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") + F.col("p_partkey") % 5 + 1).alias("n"))
+    p = p.withColumn("n", F.when(F.expr(f"k DIV {RUN} = n DIV {RUN}"), F.col("n")))
+    forward = p.select(F.col("k").alias("src"), F.col("n").alias("dst"))
+    back = p.where("k % 3 = 0").select(F.col("n").alias("src"), F.col("k").alias("dst"))
     loops = p.where("k % 50 = 7").select(F.col("k").alias("src"), F.col("k").alias("dst"))
     return forward.unionByName(back).unionByName(loops)
 
 
-_EDGES = """
-e AS (SELECT p_partkey AS src, p_partkey + p_partkey % 5 + 1 AS dst FROM part WHERE p_size <= 5 UNION ALL
-  SELECT p_partkey + p_partkey % 5 + 1, p_partkey FROM part WHERE p_size <= 5 AND p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_size <= 5 AND p_partkey % 50 = 7)"""
+_EDGES = f"""
+e AS (SELECT * FROM (SELECT p_partkey AS src, p_partkey + p_partkey % 5 + 1 AS dst FROM part UNION ALL
+  SELECT p_partkey + p_partkey % 5 + 1, p_partkey FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 50 = 7) WHERE src // {RUN} = dst // {RUN})"""
 _CLOSURE = f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
 
 
@@ -33,10 +39,9 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.package_nodes(n.select(F.concat_ws(".", "r_name", "n_name").alias("module")), "module")
 
 
-@query("SELECT c_nationkey AS source_id, c_custkey AS target_id FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <= 2)")
+@query("SELECT c_nationkey AS source_id, c_custkey AS target_id FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)")
 def containment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation").where("n_regionkey <= 2")
-    return G.containment(n, table(spark, sf_dir, "customer"), "n_nationkey", "c_nationkey", "c_custkey")
+    return G.containment(table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer"), "n_nationkey", "c_nationkey", "c_custkey")
 
 
 @query("""
@@ -74,7 +79,7 @@ def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 {_CLOSURE}, c AS (SELECT a.src AS node, min(least(a.src, a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT node, component FROM c""")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.strong_components(_part_edges(spark, sf_dir))
+    return cycles.strong_components(_part_edges(spark, sf_dir))
 
 
 @query(f"""
@@ -82,20 +87,20 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.component, list_sort(x.m)::VARCHAR AS members, y.n AS n_edges FROM (SELECT component, list(node) AS m FROM c GROUP BY component) x
 JOIN (SELECT c1.component, count(*) AS n FROM e JOIN c c1 ON e.src = c1.node JOIN c c2 ON e.dst = c2.node WHERE c1.component = c2.component GROUP BY 1) y ON x.component = y.component""")
 def cycle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = G.cycle_groups(_part_edges(spark, sf_dir))
+    groups = cycles.cycle_groups(_part_edges(spark, sf_dir))
     return groups.withColumn("members", F.concat(F.lit("["), F.array_join(F.col("members").cast("array<string>"), ", "), F.lit("]")))
 
 
-_PARENTS = "p AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_size <= 20 AND p_partkey > 1 UNION ALL SELECT 1001 + i, 1001 + (i + 1) % 3 FROM range(3) t(i) UNION ALL SELECT 1010, 1001)"
+_PARENTS = "p AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1 UNION ALL SELECT 1001 + i, 1001 + (i + 1) % 3 FROM range(3) t(i) UNION ALL SELECT 1010, 1001)"
 
 
 @query(f"""
 WITH RECURSIVE {_PARENTS}, up AS (SELECT child, parent, 1 AS d FROM p UNION ALL SELECT up.child, p.parent, d + 1 FROM up JOIN p ON up.parent = p.child WHERE d < 60)
 SELECT child AS node, CASE WHEN max(d) >= 60 THEN NULL ELSE max(d) END AS depth FROM up GROUP BY child""")
 def inheritance_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "part").where("p_size <= 20 AND p_partkey > 1").select(F.col("p_partkey").alias("child"), F.expr("p_partkey DIV 2").alias("parent"))
+    own = table(spark, sf_dir, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("child"), F.expr("p_partkey DIV 2").alias("parent"))
     ring = spark.createDataFrame([(1001, 1002), (1002, 1003), (1003, 1001), (1010, 1001)], "child long, parent long")
-    return G.longest_depth(own.unionByName(ring))
+    return cycles.longest_depth(own.unionByName(ring))
 
 
 @query("""

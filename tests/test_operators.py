@@ -1,6 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
-from siltworks.operators import code, diffing, findings, graph, handoff, lifecycle, logs, paging, telemetry
+from siltworks.operators import code, cycles, diffing, findings, graph, handoff, lifecycle, logs, paging, telemetry
 from siltworks.sources import readers, sinks
 
 LOG = """META tool="pytest" ecosystem="python" command="run tests" status=failed summary="Sample failure" timestamp=2025-01-01T00:00:00
@@ -43,30 +43,89 @@ def test_log_edges(spark):
         logs.report(parsed(spark, LOG), "xml")
 
 
-def test_graph_loops_end_with_the_whole_answer(spark, monkeypatch):
-    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
-    pairs = [e for k in range(0, 16, 2) for e in ((k, k + 1), (k + 1, k), (k + 1, k + 2))]
-    chain = spark.createDataFrame(pairs, "src long, dst long")
-    want = {(k, k - k % 2) for k in range(16)}
-    assert set(graph.local_components(pairs)) == want
-    # Of eight cycles in a row, rising ids gave one a round.
-    assert {tuple(r) for r in graph.strong_components(chain, most_rounds=6).collect()} == want
-    with pytest.raises(RuntimeError):
-        graph.strong_components(chain, most_rounds=1)
-    up = spark.createDataFrame([(k + 1, k) for k in range(5)] + [(9, 9)], "child long, parent long")
-    assert {tuple(r) for r in graph.longest_depth(up).collect()} == {(k, k) for k in range(1, 6)} | {(9, None)}
-    with pytest.raises(RuntimeError):
-        graph.longest_depth(up, most_rounds=3)
-
-
-@pytest.mark.parametrize("local_edges", [0, 50_000])
-def test_graph_fixtures(spark, monkeypatch, local_edges):
-    monkeypatch.setattr(graph, "LOCAL_EDGES", local_edges)
+def plain_components(pairs):
+    """Nodes that reach each other, by a search from each node."""
+    after = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            after.setdefault(a, set()).add(b)
+    reach = {}
+    for a in after:
+        far, todo = set(), [a]
+        while todo:
+            new = after.get(todo.pop(), set()) - far
+            far |= new
+            todo += new
+        reach[a] = far
+    return {(a, min(b for b in far if a in reach.get(b, ()))) for a, far in reach.items() if a in far}
+
+
+def chained(n):
+    return [e for k in range(0, 2 * n, 2) for e in ((k, k + 1), (k + 1, k), (k + 1, k + 2))]
+
+
+@pytest.mark.parametrize("block_edges", [7, 200, 200_000])
+def test_chained_components(spark, monkeypatch, block_edges):
+    """300 cycles in a row, in rising and in shuffled order of ids."""
+    monkeypatch.setattr(cycles, "BLOCK_EDGES", block_edges)
+    pairs = chained(300)
+    if block_edges == 7:
+        pairs = chained(40)
+    got = cycles.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()
+    assert sorted(map(tuple, got)) == [(k, k - k % 2) for k in range(pairs[-1][1])]
+    if block_edges == 200:
+        mixed = [((a * 7919) % 100_003, (b * 7919) % 100_003) for a, b in pairs]
+        assert {tuple(r) for r in cycles.strong_components(spark.createDataFrame(mixed, "src long, dst long")).collect()} == plain_components(mixed)
+
+
+@pytest.mark.parametrize("slow", [0.0, 0.8])
+def test_components_of_random_graphs(spark, monkeypatch, slow):
+    import random
+
+    monkeypatch.setattr(cycles, "SLOW_SHARE", slow)
+    monkeypatch.setattr(cycles, "BLOCK_EDGES", 25)
+    monkeypatch.setattr(cycles, "MOST_BLOCK_EDGES", 30)
+    r = random.Random(7)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(70)] + [(100 + i, 100 + (i + 1) % 12) for i in range(12)] + [(5, None), (None, 5), (7, 7), (200, 200), (200, 201)]
+    pairs += pairs[:9]
+    got = {tuple(x) for x in cycles.strong_components(spark.createDataFrame(pairs, "src long, dst long").repartition(3)).collect()}
+    assert got == plain_components(pairs)
+
+
+@pytest.mark.parametrize("block_edges", [100, 200_000])
+def test_deep_chain(spark, monkeypatch, block_edges):
+    monkeypatch.setattr(cycles, "BLOCK_EDGES", block_edges)
+    links = [(k + 1, k) for k in range(1500)] + [(k + 1, k - 5) for k in range(6, 1500, 7)] + [(9000, 9001), (9001, 9000), (9002, 9000), (9002, 3), (9003, None), (None, 4)]
+    got = {r["node"]: r["depth"] for r in cycles.longest_depth(spark.createDataFrame(links, "child long, parent long").repartition(4)).collect()}
+    assert got == {k: k for k in range(1, 1501)} | {9000: None, 9001: None, 9002: None}
+
+
+def test_depths_of_random_graphs(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(cycles, "BLOCK_EDGES", 20)
+    r = random.Random(9)
+    links = [(a, b) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(110)) if a != b and (a > b or r.random() < 0.03)]
+    parents = {}
+    for c, p in links:
+        parents.setdefault(c, set()).add(p)
+    depth = {}
+    for _ in range(100):
+        for c, ps in parents.items():
+            if all(p not in parents or p in depth for p in ps):
+                depth[c] = 1 + max(depth.get(p, 0) for p in ps)
+    got = {x["node"]: x["depth"] for x in cycles.longest_depth(spark.createDataFrame(links, "child long, parent long")).collect()}
+    assert got == {c: depth.get(c) for c in parents}
+
+
+@pytest.mark.parametrize("block_edges", [2, 200_000])
+def test_graph_fixtures(spark, monkeypatch, block_edges):
+    monkeypatch.setattr(cycles, "BLOCK_EDGES", block_edges)
     e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("self", "self"), ("d", "e")], "src string, dst string")
-    groups = {tuple(r["members"]) for r in graph.cycle_groups(e).collect()}
+    groups = {tuple(r["members"]) for r in cycles.cycle_groups(e).collect()}
     assert groups == {("a", "b"), ("c", "d"), ("self",)}
     up = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e")], "child string, parent string")
-    depth = {r["node"]: r["depth"] for r in graph.longest_depth(up).collect()}
+    depth = {r["node"]: r["depth"] for r in cycles.longest_depth(up).collect()}
     assert depth == {"a": None, "b": None, "c": None, "d": 1}
     n = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "e")], "src string, dst string")
     near = graph.neighbourhood(n, "a", 1, 10).collect()
