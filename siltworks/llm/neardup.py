@@ -8,9 +8,10 @@ survivors are confirmed on the full sets. Links make components, which are all t
 2. What the links so far leave in several components is open. If few classes lie outside the largest of them, those are compared with all open
    classes of other components.
 3. Classes of buckets with many such classes (unlike texts around one common passage, say) get finer buckets, which lose no pair: the shingles
-   that come first in each set, rarest first. A set of n shingles that reaches the similarity with a larger one has one of its first
-   n - ceil(2s / (1 + s) n) + 1 among the first m - ceil(s m) + 1 of the other's m (the prefixes of PPJoin). Buckets of shingles are settled by a
-   pivot too; then their open pairs that the prefixes and the sizes allow are compared.
+   that come first in each set, rarest first. Sets of n and m shingles that reach the similarity s have at least a = ceil(s / (1 + s) (n + m)) in
+   common, so one of the first n - a + 1 of the one is among the first m - a + 1 of the other (the prefix rule of PPJoin). A shingle's place in
+   a set thus bounds the size of the sets with which it can be that one. Buckets of shingles are settled by a pivot too; then their open pairs
+   whose sizes the places allow are compared.
 
 Every pair goes through the signatures first, then the full sets.
 """
@@ -39,7 +40,7 @@ HASHES = BANDS * BAND_ROWS
 #: Hashes of one comparison step, and the posterior chance of reaching the similarity below which a pair is given up.
 BATCH, MISS = 16, 1e-7
 #: Most classes outside the largest component of a bucket that are compared with all others there; buckets with more are cut finer.
-FEW = 32
+FEW = 8
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -257,8 +258,8 @@ def _open_pairs(opened: DataFrame, allowed: Column | None = None) -> DataFrame:
 
 
 def _first_shingles(reps: DataFrame, sets: _Sets) -> DataFrame:
-    """(bucket, rep, n, first): the shingles that may be the first common one of a class and a similar one, rarest first among these classes. first
-    marks those that count when the class is the smaller of the two."""
+    """(bucket, rep, n, most): the shingles that may be the first common one of a class and a similar one, rarest first among these classes; most is
+    the size up to which the other may then be. Rows that no other size of their bucket allows are left out."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,10 +275,13 @@ def _first_shingles(reps: DataFrame, sets: _Sets) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     one = Window.partitionBy("rep", "whole", "n")
     met = rows.join(shared, "bucket").withColumn("place", F.row_number().over(one.orderBy("df", "bucket")) + F.col("n") - F.count(F.lit(1)).over(one))
-    most, fewest = F.expr(f"n - ({SIMILAR} * n + 99) DIV 100 + 1"), F.expr(f"n - ({2 * SIMILAR} * n + {99 + SIMILAR}) DIV {100 + SIMILAR} + 1")
-    kept = met.where(F.col("place") <= most).groupBy("bucket", "rep", "n").agg(F.max(F.col("place") <= fewest).alias("first"))
-    useful = kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max("first").alias("some")).where("k > 1 AND some").select("bucket")
-    return kept.join(useful, "bucket", "left_semi")
+    largest = F.expr(f"least({100 + SIMILAR} * (n - place + 1) DIV {SIMILAR} - n, 100 * n DIV {SIMILAR})")
+    kept = met.withColumn("most", largest).where(100 * F.col("most") >= SIMILAR * F.col("n")).groupBy("bucket", "rep", "n").agg(F.max("most").alias("most"))
+    kept = scratch(kept, "places")
+    sizes = kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1")
+    fits = scratch(kept.join(sizes, "bucket").where("most >= least").select("bucket", "rep", "n", "most"), "fits")
+    useful = fits.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
+    return fits.join(useful, "bucket", "left_semi")
 
 
 def _links_of(buckets: DataFrame, classes: DataFrame, sets: _Sets) -> DataFrame:
@@ -292,9 +296,7 @@ def _links_of(buckets: DataFrame, classes: DataFrame, sets: _Sets) -> DataFrame:
     finer = scratch(_first_shingles(crowded, sets), "finer")
     pivots, more = _pivot_pairs(finer.select("bucket", "rep").distinct(), "finer")
     links = links.unionByName(_confirmed(scratch(pairs.unionByName(more).distinct(), "pairs"), classes, sets, "few"))
-    # The smaller set of a pair has one of its first shingles in common with the larger; equal sizes may be taken either way.
-    fits = (F.col("x.first") & (F.col("x.n") <= F.col("y.n"))) | (F.col("y.first") & (F.col("y.n") <= F.col("x.n")))
-    fits &= 100 * F.least("x.n", "y.n") >= SIMILAR * F.greatest("x.n", "y.n")
+    fits = (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
     pairs = _open_pairs(scratch(_open(finer, pivots, links, "finer"), "several"), fits)
     return links.unionByName(_confirmed(scratch(pairs, "pairs"), classes, sets, "rest"))
 
