@@ -3,13 +3,17 @@
 1. Every whole text is cut into windows of WINDOW words; each window is stood for by its least hash of ANCHOR words, so that
    equal windows have equal anchors. Anchors of two documents or more mark where passages may recur.
 2. Windows of recurring anchors are grouped by hash, in segments where all documents agree, else one by one. A window found in two
-   documents is a recurring window; its least document is its home, and the groups of documents that hold it are noted.
-3. In its home, each run of recurring windows is a passage. It is cut into pieces of PIECE words, so that any window of it
-   holds a whole piece, and sent to the groups of documents that hold some of its windows.
-4. Each group compiles its passages' pieces into one Aho-Corasick automaton over word numbers and streams its documents through
-   it. A hit is extended to both sides word by word, so what is removed is confirmed on the words themselves.
+   documents is a recurring window; its least document is its home.
+3. The recurring windows of a home are its passages, cut into chunks of CHUNK windows that overlap by a window less a word, so each window lies whole
+   in one chunk. A group of documents gets the chunks in which some of its documents' windows lie.
+4. Each group compiles its chunks' pieces of PIECE words into one Aho-Corasick automaton over word numbers (any window of a chunk holds a whole
+   piece) and streams its documents through it. A hit is extended to both sides word by word, so what is removed is confirmed on the words themselves.
 
-A passage goes to a group once however many of its documents hold it, so a passage that a third of all documents share costs one copy a group.
+Groups are the shards of the automata: what one holds is bounded by what DOCS_PER_GROUP documents hold. A chunk goes to a group once however many of
+its documents hold it, as a row of its own, and no row or task gathers the groups of a chunk or of a home.
+
+All documents are streamed in step 1; steps 2 to 4 need only those that share an anchor with another document. No other document can lose a word: a
+window that recurs has equal words in both documents, hence equal hashes of ANCHOR words, hence an equal least one, so both hold its anchor.
 """
 
 from __future__ import annotations
@@ -30,10 +34,14 @@ WINDOW = 50
 ANCHOR = 16
 #: Any run of WINDOW words holds a whole piece, as pieces start every WINDOW - PIECE + 1 words.
 PIECE = 25
+#: Windows of one chunk of a passage.
+CHUNK = 128
 #: Documents of one group, which shares one automaton: what an automaton holds is bounded by what so few documents hold.
 DOCS_PER_GROUP = 1000
-#: Tasks of the last step at most; beyond that a task goes through several groups in turn.
+#: Tasks of the last step at most; beyond that a task goes through several groups in turn, one automaton after the other.
 MOST_TASKS = 20_000
+#: What names a segment.
+SEGMENT = ["anchor", "segment", "n"]
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -85,10 +93,10 @@ def group_of(doc_id: Column, groups: int) -> Column:
 
 
 def segments(texts: DataFrame, groups: int, width: int = WINDOW) -> DataFrame:
-    """From (doc_id, text, anchors that recur): distinct segments (anchor, segment, home, place, n, windows, latest, groups).
+    """From (doc_id, text, anchors that recur): segments of each group of documents (anchor, segment, n, group, home, windows, latest).
 
     A segment is a run of windows with one anchor. Documents that share a passage share the segments inside it, so most windows need no row
-    of their own. windows holds 12 bytes of hash for each window of the segment; home and place are its least document and where it starts there."""
+    of their own. windows holds 12 bytes of hash for each window of the segment; home is its least document and where it starts there."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,66 +126,65 @@ def segments(texts: DataFrame, groups: int, width: int = WINDOW) -> DataFrame:
 
     kinds = {"anchor": pa.int64(), "segment": pa.int64(), "doc_id": pa.int64(), "place": pa.int32(), "n": pa.int32(), "windows": pa.binary()}
     rows = texts.select("doc_id", "text", "anchors").mapInArrow(cut, "anchor long, segment long, doc_id long, place int, n int, windows binary")
-    return rows.groupBy("anchor", "segment", "n").agg(
-        F.min(F.struct("doc_id", "place")).alias("home"),
-        F.first("windows").alias("windows"),
-        F.max("doc_id").alias("latest"),
-        F.collect_set(group_of(F.col("doc_id"), groups)).alias("groups"),
-    )
+    grouped = rows.withColumn("group", group_of(F.col("doc_id"), groups)).groupBy(*SEGMENT, "group")
+    return grouped.agg(F.min(F.struct("doc_id", "place")).alias("home"), F.first("windows").alias("windows"), F.max("doc_id").alias("latest"))
 
 
-def recurring_windows(found: DataFrame) -> DataFrame:
-    """(home, place, n, groups): runs of n windows from place in home that two documents or more hold, with the groups of those documents.
+def recurring_spans(by_group: DataFrame) -> DataFrame:
+    """(anchor, segment, n, home, first, last): where windows of a segment start that two documents or more hold, in the least of those documents.
 
     Where an anchor has one segment only, that segment's documents are all that hold its windows. Where it has several, their windows are
     compared one by one."""
+    found = scratch(by_group.groupBy(*SEGMENT).agg(F.min("home").alias("home"), F.first("windows").alias("windows"), F.max("latest").alias("latest")), "distinct")
     several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("anchor")
     alone = found.join(several, "anchor", "left_anti").where("home.doc_id < latest")
-    rows = found.join(several, "anchor").select("home", "latest", "groups", "n", "windows")
+    alone = alone.select(*SEGMENT, F.col("home.doc_id").alias("home"), F.col("home.place").alias("first"), (F.col("home.place") + F.col("n") - 1).alias("last"))
     one = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.substring("windows", i * 12 + 1, F.lit(12)).alias("h")))
-    flat = rows.select("home", "latest", "groups", F.explode(one).alias("w"))
-    held = flat.groupBy("w.h").agg(
-        F.min(F.struct(F.col("home.doc_id").alias("doc_id"), (F.col("home.place") + F.col("w.i")).alias("place"))).alias("home"),
-        F.max("latest").alias("latest"),
-        F.array_distinct(F.flatten(F.collect_set("groups"))).alias("groups"),
+    flat = found.join(several, "anchor").select(*SEGMENT, "home", "latest", F.explode(one).alias("w")).select(*SEGMENT, "home", "latest", "w.i", "w.h")
+    least = F.min(F.struct(F.col("home.doc_id").alias("doc_id"), (F.col("home.place") + F.col("i")).alias("place")))
+    held = flat.groupBy("h").agg(least.alias("at"), F.max("latest").alias("latest")).where("at.doc_id < latest").select("h", "at")
+    met = flat.select(*SEGMENT, "i", "h").join(held, "h").select(*SEGMENT, F.col("at.doc_id").alias("home"), F.col("at.place").alias("place"), "i")
+    runs = met.groupBy(*SEGMENT, "home", (F.col("place") - F.col("i")).alias("line")).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    return alone.unionByName(runs.drop("line"))
+
+
+def passages(by_group: DataFrame, texts: DataFrame, width: int = WINDOW) -> DataFrame:
+    """(group, home, passage): the chunks of home documents in which windows of the group's documents lie."""
+    spans_of = recurring_spans(by_group)
+    chunks = F.explode(F.sequence(F.expr(f"first DIV {CHUNK}"), F.expr(f"last DIV {CHUNK}")))
+    cut_up = spans_of.withColumn("chunk", chunks).select(
+        *SEGMENT, "home", "chunk", F.greatest("first", F.col("chunk") * CHUNK).alias("first"), F.least("last", F.col("chunk") * CHUNK + CHUNK - 1).alias("last")
     )
-    held = held.where("home.doc_id < latest").withColumn("n", F.lit(1))
-    columns = [F.col("home.doc_id").alias("home"), F.col("home.place").alias("place"), "n", "groups"]
-    return alone.select(*columns).unionByName(held.select(*columns))
-
-
-def passages(windows_at: DataFrame, texts: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(group, home, passage): each run of recurring windows of a home document, cut to what the group holds."""
-    wanted = windows_at.select("home", F.struct("place", "n").alias("run"), F.explode("groups").alias("group"))
-    runs = wanted.groupBy("home", "group").agg(F.collect_list("run").alias("places"))
-    per_home = runs.groupBy("home").agg(F.collect_list(F.struct("group", "places")).alias("wanted"))
+    cut_up = scratch(cut_up, "spans")
+    places = cut_up.groupBy("home", "chunk").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    # One row per home: its chunks are fewer than its words.
+    per_home = places.groupBy("home").agg(F.collect_list(F.struct("chunk", "first", "last")).alias("wanted"))
     joined = per_home.join(texts.select(F.col("doc_id").alias("home"), "text"), "home")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, homes, found = [], [], []
-            homes_in, texts_in, wanted_in = (batch.column(c) for c in ("home", "text", "wanted"))
-            for home, text, wants in zip(homes_in.to_pylist(), _texts(texts_in), wanted_in.to_pylist(), strict=True):
+            homes, numbers, found = [], [], []
+            for home, text, wanted in zip(batch.column("home").to_pylist(), _texts(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
                 words = text.split()
-                for want in wants:
-                    places = np.unique(np.concatenate([np.arange(r["place"], r["place"] + r["n"]) for r in want["places"]]))
-                    for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
-                        last = int(run[-1]) + width
-                        if last <= len(words):
-                            groups.append(want["group"])
-                            homes.append(home)
-                            found.append(b" ".join(words[int(run[0]) : last]).decode("utf-8", "surrogatepass"))
-                if len(groups) > 2000:
-                    yield _passage_batch(groups, homes, found)
-                    groups, homes, found = [], [], []
-            yield _passage_batch(groups, homes, found)
+                for want in wanted:
+                    if want["last"] + width <= len(words):
+                        homes.append(home)
+                        numbers.append(want["chunk"])
+                        found.append(b" ".join(words[want["first"] : want["last"] + width]).decode("utf-8", "surrogatepass"))
+                if len(found) > 2000:
+                    yield _chunk_batch(homes, numbers, found)
+                    homes, numbers, found = [], [], []
+            yield _chunk_batch(homes, numbers, found)
 
-    return joined.select("home", "text", "wanted").mapInArrow(cut, "group int, home long, passage string")
+    kind = dict(cut_up.dtypes)["chunk"]
+    texts_of = joined.select("home", "text", "wanted").mapInArrow(cut, "home long, chunk long, passage string").withColumn("chunk", F.col("chunk").cast(kind))
+    asked = by_group.select(*SEGMENT, "group").join(cut_up.select(*SEGMENT, "home", "chunk"), SEGMENT).select("group", "home", "chunk").distinct()
+    return asked.join(texts_of, ["home", "chunk"]).select("group", "home", "passage")
 
 
-def _passage_batch(groups: list, homes: list, found: list) -> pa.RecordBatch:
-    arrays = [pa.array(groups, pa.int32()), pa.array(homes, pa.int64()), pa.array(found, pa.string())]
-    return pa.RecordBatch.from_arrays(arrays, ["group", "home", "passage"])
+def _chunk_batch(homes: list, numbers: list, found: list) -> pa.RecordBatch:
+    arrays = [pa.array(homes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(found, pa.string())]
+    return pa.RecordBatch.from_arrays(arrays, ["home", "chunk", "passage"])
 
 
 class PassageAutomaton:
@@ -280,8 +287,7 @@ def suspects_of(surveyed: DataFrame) -> DataFrame:
 
 def located_passages(texts: DataFrame, groups: int, width: int = WINDOW) -> DataFrame:
     """Passages by group from (doc_id, text, anchors)."""
-    at = scratch(recurring_windows(scratch(segments(texts, groups, width), "segments")), "windows")
-    return scratch(passages(at, texts, width), "passages")
+    return scratch(passages(scratch(segments(texts, groups, width), "segments"), texts, width), "passages")
 
 
 def groups_for(n_docs: int) -> int:
@@ -295,7 +301,9 @@ def repeated_passages(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row of docs.
 
     A word goes if a window of width words over it also starts in a document of smaller doc_id; windows are judged on the input. Null and empty
-    texts have no words. Rows with a null doc_id lose nothing and are no evidence. Rows of equal doc_id are no evidence against each other.
+    texts have no words. Rows with a null doc_id lose nothing and are no evidence. Rows of equal doc_id, repeated rows among them, are no evidence
+    against each other and are judged each by itself. Texts are taken whole, however long; an empty table gives no rows. Other columns of
+    docs are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     surveyed = scratch(survey(rows, width), "survey")
@@ -330,7 +338,7 @@ def without_words(text: bytes, words: list[bytes], covered: np.ndarray) -> str:
 
 def cut_documents(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs with repeated passages cut out of text and n_chars counted anew. A document all of whose words go is dropped; one that loses nothing
-    is unchanged."""
+    is unchanged. Other columns are carried, whatever their names; repeated_passages() states the other cases."""
     names = docs.columns
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(n).alias(f"d_{n}") for n in names if n != "text"])
     surveyed = scratch(survey(held, width), "survey")

@@ -96,9 +96,30 @@ def test_repeated_passages_match_brute_force(corpus, corpus_docs, monkeypatch):
     assert sum(c for _, _, c, _ in want) > 3000
     assert removed(corpus_docs) == want
     monkeypatch.setattr(passages, "DOCS_PER_GROUP", 13)
+    monkeypatch.setattr(passages, "CHUNK", 7)
     assert removed(corpus_docs) == want
 
 
+def test_only_documents_that_share_an_anchor_hold_recurring_windows(corpus, corpus_docs):
+    """What step 4 leaves out: no word of a document without a shared anchor is in a recurring window."""
+    suspects = {r["doc_id"] for r in passages.suspects_of(passages.survey(corpus_docs)).collect()}
+    losing = {d for d, _, c, _ in brute.repeated_passages(corpus) if c}
+    assert losing and losing <= suspects < {d for d, _ in corpus}
+
+
+def test_a_common_passage_is_no_single_row(spark, monkeypatch):
+    """A passage that every document holds goes to each group as a row of its own, once."""
+    monkeypatch.setattr(passages, "DOCS_PER_GROUP", 5)
+    passage = " ".join(f"p{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} " + passage + f" c{i}") for i in range(100)], "doc_id long, text string")
+    texts = docs.join(passages.suspects_of(passages.survey(docs)), "doc_id")
+    rows = passages.located_passages(texts, passages.groups_for(100)).collect()
+    assert len({r["group"] for r in rows}) > 10 and {r["home"] for r in rows} == {0}
+    assert len(rows) == len({(r["group"], r["passage"]) for r in rows}) and max(len(r["passage"].split()) for r in rows) <= passages.CHUNK + 49
+    got = removed(docs)
+    assert [c for _, _, c, _ in got] == [0] + [200] * 99
+
+
 def test_passages_odd_rows(odd_docs, no_docs):
     rows = passages.repeated_passages(odd_docs).collect()
     assert len(rows) == odd_docs.count()
