@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -69,12 +70,12 @@ _TOKEN = re.compile(
     r"|<([A-Za-z][^\s/>]*)(?=[\s/>])",
     re.DOTALL,
 )
-#: Open elements at most; what is nested deeper hangs on the last of them, as in browsers.
-MOST_OPEN = 512
 #: White space and slashes before an attribute; its name, with what leads to a value; a value without quotes.
 _GAP = re.compile(r"[\s/]*+")
 _NAME = re.compile(r"([^\s/>][^\s/>=]*+)(\s*+=\s*+)?+")
 _BARE = re.compile(r"[^\s>]*+")
+#: Levels of list items and definitions that are indented; deeper ones keep their marks and all text.
+MOST_INDENT = 40
 _HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -138,16 +139,48 @@ def _tag_end(html: str, at: int, doomed: set[int]) -> tuple[int, dict[str, str],
     return (end + 1 if end >= 0 else n), {k: v for k, v in out.items() if ends[k] <= end}, end > start and html[end - 1] == "/"
 
 
-def _text(stack: list[Node], text: str) -> None:
-    if stack[-1].tag == "colgroup" and _SPACE.sub("", text):
+class _Open:
+    """The open elements, and where those of each tag are, so that no tag needs a look through all of them."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Close the element at place and all in it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def pop(self) -> None:
+        self.cut(len(self.nodes) - 1)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost of these, 0 if none is open."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def first_after(self, floor: int, tags: set[str]) -> int:
+        """Place of the outermost of these inside the element at floor, 0 if there is none."""
+        found = [at[k] for t in tags if (at := self.places.get(t)) and (k := bisect_right(at, floor)) < len(at)]
+        return min(found, default=0)
+
+
+def _text(stack: _Open, text: str) -> None:
+    if stack.top().tag == "colgroup" and _SPACE.sub("", text):
         stack.pop()
-    stack[-1].children.append(text)
+    stack.top().children.append(text)
 
 
 def parse(html: str) -> Node:
     """The tree of a page; every page gives one, whatever is wrong with it."""
     root = Node("html", {})
-    stack = [root]
+    stack = _Open(root)
     at, n, last = 0, len(html), html.rfind(">")
     doomed: set[int] = set()
     while at < n:
@@ -160,7 +193,7 @@ def parse(html: str) -> Node:
         if token.start() > at:
             _text(stack, unescape(html[at : token.start()]))
         at = token.end()
-        if stack[-1].foreign and html.startswith("<![CDATA[", token.start()) and stack[-1].holds_foreign():
+        if stack.top().foreign and html.startswith("<![CDATA[", token.start()) and stack.top().holds_foreign():
             end = html.find("]]>", token.start())
             _text(stack, html[token.start() + 9 : end if end >= 0 else n])
             at = end + 3 if end >= 0 else n
@@ -168,19 +201,19 @@ def parse(html: str) -> Node:
         if token[2]:
             tag = token[2].lower()
             at, attributes, closed = _tag_end(html, at, doomed)
-            if tag == "html" or (tag == "body" and any(x.tag == "body" for x in stack)):
+            if tag == "html" or (tag == "body" and stack.last("body")):
                 root.attributes |= attributes if tag == "html" else {}
                 continue
-            if stack[-1].foreign and tag in BREAKOUTS:
-                while stack[-1].holds_foreign():
+            if stack.top().foreign and tag in BREAKOUTS:
+                while stack.top().holds_foreign():
                     stack.pop()
             _imply(stack, tag)
-            foreign = tag in ("svg", "math") or stack[-1].holds_foreign()
+            foreign = tag in ("svg", "math") or stack.top().holds_foreign()
             node = Node(tag, attributes, foreign)
-            stack[-1].children.append(node)
+            stack.top().children.append(node)
             if foreign and closed:
                 continue
-            if tag == "form" and stack[-1].tag in (*ROW_PARENTS, "tr"):
+            if tag == "form" and stack.top().tag in (*ROW_PARENTS, "tr"):
                 continue  # as in browsers, such a form holds nothing and what follows stays in the table
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.IGNORECASE).search(html, at)
@@ -188,57 +221,48 @@ def parse(html: str) -> Node:
                 body = html[at:end]
                 node.children.append(unescape(body) if tag in ("textarea", "title") else body)
                 at = close.end() if close else n
-            elif tag not in VOID and len(stack) < MOST_OPEN:
-                stack.append(node)
+            elif tag not in VOID:
+                stack.push(node)
         elif token[1]:
             _end(stack, token[1].lower())
     return root
 
 
-def _imply(stack: list[Node], tag: str) -> None:
+def _imply(stack: _Open, tag: str) -> None:
     if tag in PARAGRAPH_ENDS:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPES:
-                break
+        place = stack.last("p")
+        if place > stack.last(*SCOPES):
+            stack.cut(place)
     if tag in IMPLIED_ENDS:
         ends, bounds = IMPLIED_ENDS[tag]
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
-                break
-            if stack[i].tag in ends:
-                cut = i
-        if cut is not None:
-            del stack[cut:]
-    if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+        place = stack.first_after(stack.last(*bounds), ends)
+        if place:
+            stack.cut(place)
+    if stack.top().tag == "colgroup" and tag not in ("col", "template"):
         stack.pop()
-    if tag in ("td", "th") and stack[-1].tag in ROW_PARENTS and len(stack) < MOST_OPEN:
+    if tag in ("td", "th") and stack.top().tag in ROW_PARENTS:
         row = Node("tr", {})
-        stack[-1].children.append(row)
-        stack.append(row)
-    if stack[-1].tag == "head" and tag not in NEVER_SHOWN and tag not in ("base", "basefont", "bgsound"):
+        stack.top().children.append(row)
+        stack.push(row)
+    if stack.top().tag == "head" and tag not in NEVER_SHOWN and tag not in ("base", "basefont", "bgsound"):
         stack.pop()
 
 
-def _end(stack: list[Node], tag: str) -> None:
-    if tag in ("br", "p") and not any(x.tag == tag for x in stack[1:]):
-        stack[-1].children.append(Node(tag, {}))
-        return
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-            return
+def _end(stack: _Open, tag: str) -> None:
+    place = stack.last(tag)
+    if place:
+        if tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or place >= stack.last("table", "td", "th"):
+            stack.cut(place)
+    elif tag in ("br", "p"):
+        stack.top().children.append(Node(tag, {}))
 
 
 class _Lines:
     """Lines of text with pending white space and blank lines."""
 
-    def __init__(self) -> None:
+    def __init__(self, level: int = 0) -> None:
+        #: How many list items and definitions hold these lines.
+        self.level = level
         self.lines: list[str] = []
         self.line = ""
         self.space = False
@@ -292,36 +316,33 @@ def _display_width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
 
+def _opened(nodes: list, opens) -> Iterator[Node | str]:
+    """Nodes in order, with the children of those that opens in their place; what is not shown is left out."""
+    todo = [iter(nodes)]
+    while todo:
+        for node in todo[-1]:
+            if isinstance(node, str) or (node.shown() and not opens(node)):
+                yield node
+            elif node.shown():
+                todo.append(iter(node.children))
+                break
+        else:
+            todo.pop()
+
+
 def _cells(table: Node) -> Iterator[Node]:
     """Rows of a table in order, whichever section holds them."""
-    for child in table.children:
-        if isinstance(child, Node) and child.shown():
-            if child.tag == "tr":
-                yield child
-            elif child.tag in SECTIONS:
-                yield from _cells(child)
+    return (x for x in _opened(table.children, lambda n: n.tag in SECTIONS) if isinstance(x, Node) and x.tag == "tr")
 
 
 def _strays(table: Node) -> Iterator[Node | str]:
     """What lies in a table or its sections without being a row."""
-    for child in table.children:
-        if isinstance(child, str):
-            yield child
-        elif child.shown():
-            if child.tag in SECTIONS:
-                yield from _strays(child)
-            elif child.tag not in ("tr", "colgroup", "col"):
-                yield child
+    return (x for x in _opened(table.children, lambda n: n.tag in SECTIONS) if isinstance(x, str) or x.tag not in ("tr", "colgroup", "col"))
 
 
 def _drawn(node: Node) -> Iterator[Node]:
     """The elements of a drawing that show text; text elsewhere in it is not painted."""
-    for child in node.children:
-        if isinstance(child, Node) and child.shown():
-            if child.tag in ("text", "foreignobject"):
-                yield child
-            else:
-                yield from _drawn(child)
+    return (x for x in _opened(node.children, lambda n: n.tag not in ("text", "foreignobject")) if isinstance(x, Node))
 
 
 def _span(cell: Node) -> int:
@@ -329,18 +350,23 @@ def _span(cell: Node) -> int:
     return min(max(int(raw), 1), 1000) if raw.isascii() and raw.isdigit() else 1
 
 
-def _table(table: Node, depth: int) -> list[str]:
+def _table(table: Node, depth: int, level: int) -> Iterator:
     """Cells side by side in columns of equal width, lines of a cell under each other; captions and stray content come first."""
     before = _Lines()
     for child in _strays(table):
-        _walk([child], before, depth, False)
+        yield _walk([child], before, depth, False)
     out = before.done()
     rows: list[list[tuple[list[str], int]]] = []
     for row in _cells(table):
-        rows.append([(render_lines(c.children, depth), _span(c)) for c in row.children if isinstance(c, Node) and c.tag in ("td", "th") and c.shown()])
+        rows.append([])
+        for cell in row.children:
+            if isinstance(cell, Node) and cell.tag in ("td", "th") and cell.shown():
+                rows[-1].append(((yield _lines_of(cell.children, depth, level)), _span(cell)))
         loose = _Lines()
-        _walk([c for c in row.children if isinstance(c, str) or c.tag not in ("td", "th")], loose, depth, False)
+        yield _walk([c for c in row.children if isinstance(c, str) or c.tag not in ("td", "th")], loose, depth, False)
         out += loose.done()
+    if all(len(row) <= 1 for row in rows):  # one column needs no aligning
+        return out + [line for row in rows for lines, _ in row for line in lines]
     widths: dict[int, int] = {}
     for row in rows:
         at = 0
@@ -361,17 +387,32 @@ def _table(table: Node, depth: int) -> list[str]:
     return out
 
 
-def render_lines(nodes: list, depth: int = 0) -> list[str]:
-    lines = _Lines()
-    _walk(nodes, lines, depth, False)
+def _lines_of(nodes: list, depth: int, level: int) -> Iterator:
+    lines = _Lines(level)
+    yield _walk(nodes, lines, depth, False)
     return lines.done()
 
 
-#: Elements nested deeper than this are read as plain text; no layout goes so deep.
-MOST_DEPTH = 150
+def render_lines(nodes: list) -> list[str]:
+    """Lines of some nodes. Walkers hand over the walk of what lies deeper instead of calling it, so no depth is too much."""
+    todo, got = [_lines_of(nodes, 0, 0)], None
+    while todo:
+        try:
+            todo.append(todo[-1].send(got))
+            got = None
+        except StopIteration as end:
+            todo.pop()
+            got = end.value
+    return got
+
+
+def _hung(mark: str, lines: list[str], level: int) -> list[str]:
+    """lines behind a mark, the later ones indented as far; beyond MOST_INDENT levels they stand at the left."""
+    pad = " " * len(mark) if level < MOST_INDENT else ""
+    return [mark + lines[0], *(pad + x if pad and x else x for x in lines[1:])] if lines else []
 
 
-def _walk(nodes: list, out: _Lines, depth: int, pre: bool) -> None:
+def _walk(nodes: list, out: _Lines, depth: int, pre: bool) -> Iterator:
     for node in nodes:
         if isinstance(node, str):
             if pre:
@@ -386,9 +427,7 @@ def _walk(nodes: list, out: _Lines, depth: int, pre: bool) -> None:
         if not node.shown():
             continue
         tag = node.tag
-        if depth > MOST_DEPTH:
-            out.inline(" " + _plain(node) + " ")
-        elif tag == "br":
+        if tag == "br":
             out.breaks()
         elif tag == "hr":
             out.block(True)
@@ -398,65 +437,53 @@ def _walk(nodes: list, out: _Lines, depth: int, pre: bool) -> None:
             out.inline(node.attributes.get("value", "") if node.attributes.get("type", "").lower() in ("submit", "button", "reset") else "")
         elif tag in LISTS:
             out.block(depth == 0 or tag not in LISTS)
-            _list(node, out, depth)
+            yield _list(node, out, depth)
             out.block(depth == 0)
         elif tag == "table":
             out.block(True)
-            out.verbatim(_table(node, depth + 1))
+            out.verbatim((yield _table(node, depth + 1, out.level)))
             out.block(True)
         elif tag == "pre":
             out.block(True)
-            _walk(node.children, out, depth + 1, True)
+            yield _walk(node.children, out, depth + 1, True)
             out.block(True)
         elif tag == "dd":
             out.block(False)
-            out.verbatim(["    " + x if x else x for x in render_lines(node.children, depth + 1)])
+            out.verbatim(_hung("    ", (yield _lines_of(node.children, depth + 1, out.level + 1)), out.level))
         elif tag in BLOCKS:
             out.block(tag in SPACED)
-            _walk(node.children, out, depth + 1, pre)
+            yield _walk(node.children, out, depth + 1, pre)
             out.block(tag in SPACED)
         elif tag == "svg" and node.foreign:
             for part in _drawn(node):
                 out.inline(" ")
-                _walk(part.children, out, depth + 1, False)
+                yield _walk(part.children, out, depth + 1, False)
                 out.inline(" ")
         elif tag in MATH_SPLIT and node.foreign:
             for part in node.children:
                 out.inline(" ")
-                _walk([part], out, depth + 1, False)
+                yield _walk([part], out, depth + 1, False)
                 out.inline(" ")
         elif tag in ("td", "th", "option", "button", "mtd") or (tag == "tspan" and not {"x", "y", "dy"}.isdisjoint(node.attributes)):
             out.inline(" ")
-            _walk(node.children, out, depth + 1, pre)
+            yield _walk(node.children, out, depth + 1, pre)
             out.inline(" ")
         else:
-            _walk(node.children, out, depth + 1, pre)
+            yield _walk(node.children, out, depth + 1, pre)
 
 
-def _list(node: Node, out: _Lines, depth: int) -> None:
+def _list(node: Node, out: _Lines, depth: int) -> Iterator:
     raw = node.attributes.get("start", "1")
     number = int(raw) if re.fullmatch(r"-?\d{1,9}", raw) else 1
     for child in node.children:
         if isinstance(child, Node) and child.tag == "li" and child.shown():
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            lines = render_lines(child.children, depth + 1)
+            lines = yield _lines_of(child.children, depth + 1, out.level + 1)
             if lines:
-                out.verbatim([mark + lines[0], *(" " * len(mark) + x if x else x for x in lines[1:])])
+                out.verbatim(_hung(mark, lines, out.level))
         else:
-            _walk([child], out, depth + 1, False)
-
-
-def _plain(node: Node) -> str:
-    """All text below a node, without recursion."""
-    out, todo = [], [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.shown():
-            todo += reversed(x.children)
-    return " ".join(out)
+            yield _walk([child], out, depth + 1, False)
 
 
 def visible_text(html: str | None) -> str:
@@ -466,7 +493,7 @@ def visible_text(html: str | None) -> str:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_lines) per row of pages, where it is scanned. Repeated rows are rendered each by itself; other columns
-    are ignored; no page is cut, however long."""
+    are ignored, whatever their names; no page is cut, however long or deep. Null and empty pages give the empty text, an empty table no rows."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

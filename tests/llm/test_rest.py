@@ -353,6 +353,21 @@ def test_rendering():
     assert v("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_rendering_at_any_depth():
+    v = render.visible_text
+    assert v("<div>" * 200 + "<ul><li>a<li>b</ul>") == "- a\n- b"
+    assert v("<div>" * 50_000 + "deep <b>text") == "deep text"
+    assert v("<b>" * 30_000 + "<p>x<p>y") == "x\n\ny"
+    assert v("<table><tr><td>" * 3000 + "x") == "x"
+    lists = v("".join(f"<ul><li>a{i}" for i in range(2000)))
+    assert [x.strip() for x in lists.split("\n")] == [f"- a{i}" for i in range(2000)]
+    assert lists.split("\n")[3] == "      - a3" and lists.split("\n")[1000] == " " * 80 + "- a1000"
+    wide = v("<table>" + "".join(f"<tr><td>{i}<td>b" for i in range(20_000)) + "</table>")
+    assert wide.count("\n") == 19_999 and wide.startswith("0      b\n1      b")
+    assert v("<p>" * 50_000 + "x" + "</div>" * 50_000) == "x"
+    assert v("<svg>" + "<g>" * 20_000 + "<text>t") == "t"
+
+
 def test_rendering_loses_no_table_text():
     v = render.visible_text
     assert v("<table><tbody><td>x</td><td>y</td></table>") == "x  y"
