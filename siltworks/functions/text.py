@@ -37,9 +37,9 @@ def key_values(text: Column) -> Column:
             F.regexp_replace(F.regexp_replace(t, r"^[^=]+=", ""), r'^"([^"]+)"$', "$1").alias("value"),
         ),
     )
-    ordered = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["value"].alias("value"), i.alias("i")))
-    last = F.filter(ordered, lambda p: ~F.exists(ordered, lambda o: (o["key"] == p["key"]) & (o["i"] > p["i"])))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+    # A lambda's argument is worked out once, however often its body names it.
+    once = F.transform(F.array(pairs), lambda ps: F.map_from_entries(F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda o: o["key"] == p["key"]))))
+    return F.when(text.isNotNull(), F.element_at(once, 1))
 
 
 def safe_filename(text: Column, default: str = "untitled") -> Column:

@@ -17,7 +17,7 @@ def stable_digest(namespace: str, canonical: Column) -> Column:
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:
-    """Fixed fields as JSON with sorted keys, no spaces, nulls kept. Values are strings, integers or booleans."""
+    """Fixed fields as JSON with sorted keys, no spaces, nulls kept. Values are strings, integers, booleans or arrays of them."""
     parts = []
     for name in sorted(fields):
         value = F.get_json_object(F.to_json(F.struct(fields[name].alias("v")), {"ignoreNullFields": "false"}), "$")

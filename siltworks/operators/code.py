@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import io
+import sys
+import tokenize
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,13 +16,28 @@ from pyspark.sql import functions as F
 
 from siltworks.session import ship_package
 
-_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.Assert)
-_NESTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
-_SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)
+#: Statements that count as a branch, and the parts of statements that are a level deeper than the statement.
+_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.ExceptHandler)
+_DEEPER: dict[type, tuple[str, ...]] = {
+    ast.If: ("body", "orelse"),
+    ast.For: ("body", "orelse"),
+    ast.AsyncFor: ("body", "orelse"),
+    ast.While: ("body", "orelse"),
+    ast.Try: ("body", "handlers", "orelse", "finalbody"),
+    ast.TryStar: ("body", "handlers", "orelse", "finalbody"),
+    ast.Match: ("cases",),
+    ast.With: ("body",),
+    ast.AsyncWith: ("body",),
+}
+#: Parts that are not looked at.
+_SKIPPED: dict[type, tuple[str, ...]] = {ast.ExceptHandler: ("type",), ast.match_case: ("pattern",)}
+#: Depth to which syntax trees are written out; deeper ones give a diagnostic.
+MOST_DEPTH = 100_000
+_SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 FACTS = (
     "relative_path string, module_name string, kind string, qualified_name string, display_name string, parent string, line int, end_line int, "
-    "documented boolean, visibility string, complexity int, nesting int, parameters int, bases array<string>, signature string, fingerprint string, imported string, level int, error string"
+    "documented boolean, visibility string, complexity int, nesting int, parameters int, bases array<string>, signature string, fingerprint string, imported string, bound string, level int, error string"
 )
 
 
@@ -30,46 +49,65 @@ def module_of(path: str) -> str:
     return name.removesuffix(".__init__") if name.endswith(".__init__") else "" if name == "__init__" else name
 
 
-def own_nodes(node: ast.AST) -> Iterator[ast.AST]:
-    """Nodes of a body that belong to no nested scope."""
-    todo = list(ast.iter_child_nodes(node))
+def _branches(x: ast.AST) -> int:
+    if isinstance(x, _BRANCHES):
+        return 1
+    if isinstance(x, ast.BoolOp):
+        return len(x.values) - 1
+    if isinstance(x, ast.comprehension):
+        return len(x.ifs)
+    if isinstance(x, ast.match_case):
+        bare = isinstance(x.pattern, ast.MatchAs) and x.pattern.pattern is None and x.pattern.name is None
+        return int(not bare or x.guard is not None)
+    return 0
+
+
+def measures(root: ast.AST) -> tuple[int, int]:
+    """(complexity, nesting) of a scope's body without the scopes inside it; lambdas belong to it, its decorators, defaults and bases do not.
+
+    Complexity is one and one more for each if (also as an expression), loop, handler, further operand of and/or, condition of a comprehension,
+    and case but a bare default. Each block inside a statement is a level deeper than the statement, so every elif is one deeper than the last.
+    """
+    total, most = 1, 0
+    todo = [(x, 0) for x in root.body]
     while todo:
-        x = todo.pop()
-        yield x
-        if not isinstance(x, _SCOPES):
-            todo.extend(ast.iter_child_nodes(x))
-
-
-def complexity(node: ast.AST) -> int:
-    """One, and one more for each branch, extra operand of and/or, comprehension clause or condition, and case."""
-    total = 1
-    for x in own_nodes(node):
-        if isinstance(x, _BRANCHES):
-            total += 1
-        elif isinstance(x, ast.BoolOp):
-            total += len(x.values) - 1
-        elif isinstance(x, ast.comprehension):
-            total += 1 + len(x.ifs)
-        elif isinstance(x, ast.match_case):
-            total += 1
-    return total
-
-
-def nesting(node: ast.AST, depth: int = 0) -> int:
-    most = depth
-    for x in ast.iter_child_nodes(node):
+        x, depth = todo.pop()
         if isinstance(x, _SCOPES):
             continue
-        chained = isinstance(node, ast.If) and isinstance(x, ast.If) and node.orelse == [x]
-        most = max(most, nesting(x, depth + (isinstance(x, _NESTS) and not chained)))
-    return most
+        total += _branches(x)
+        most = max(most, depth)
+        deeper, skipped = _DEEPER.get(type(x), ()), _SKIPPED.get(type(x), ())
+        for name, value in ast.iter_fields(x):
+            if name in skipped:
+                continue
+            below = depth + (name in deeper)
+            todo += [(y, below) for y in (value if isinstance(value, list) else [value]) if isinstance(y, ast.AST)]
+    return total, most
+
+
+def parameter_count(node: ast.AST) -> int:
+    """All parameters, self and cls among them; none for a class."""
+    if isinstance(node, ast.ClassDef):
+        return 0
+    a = node.args
+    return len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None)
 
 
-def parameter_count(node: ast.FunctionDef | ast.AsyncFunctionDef) -> int:
-    a = node.args
-    names = [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs)]
-    names = names[1:] if names[:1] in (["self"], ["cls"]) else names
-    return len(names) + (a.vararg is not None) + (a.kwarg is not None)
+def decoded(content: bytes) -> str:
+    """The text by its byte order mark or coding line, else UTF-8."""
+    encoding, _ = tokenize.detect_encoding(io.BytesIO(content).readline)
+    return content.decode(encoding)
+
+
+@contextmanager
+def _deep_stack() -> Iterator[None]:
+    """Room for the standard library's walkers over deep trees."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, MOST_DEPTH))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def _visibility(name: str) -> str:
@@ -77,42 +115,54 @@ def _visibility(name: str) -> str:
 
 
 def facts_of(path: str, content: bytes) -> list[dict]:
-    """Rows of FACTS for one file: its module, symbols and imports, or one error row."""
-    module = module_of(path)
-    base = {"relative_path": path, "module_name": module}
+    """Rows of FACTS for one file: its module, symbols and imports, or one diagnostic if it cannot be read as a source."""
+    base = {"relative_path": path, "module_name": module_of(path)}
     try:
-        text = content.decode("utf-8")
-    except UnicodeDecodeError:
+        text = decoded(content)
+    except (SyntaxError, UnicodeDecodeError, LookupError):
         return [base | {"kind": "diagnostic", "error": "decode-error"}]
     try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError) as problem:
+        with _deep_stack():
+            return _facts(base, text)
+    except (SyntaxError, ValueError) as problem:
         return [base | {"kind": "diagnostic", "line": getattr(problem, "lineno", None), "error": "parse-error"}]
-    rows = [base | {"kind": "module", "qualified_name": module, "display_name": module.rpartition(".")[2], "line": 1, "end_line": len(text.splitlines()), "documented": ast.get_docstring(tree) is not None}]
-    todo: list[tuple[ast.AST, str | None, str]] = [(tree, None, module)]
+    except (RecursionError, MemoryError):
+        return [base | {"kind": "diagnostic", "error": "too-deep"}]
+
+
+def _facts(base: dict, text: str) -> list[dict]:
+    tree = ast.parse(text, type_comments=True)
+    module = base["module_name"]
+    complexity, nesting = measures(tree)
+    rows = [
+        base
+        | {"kind": "module", "qualified_name": module, "display_name": module.rpartition(".")[2], "line": 1, "end_line": len(text.splitlines()), "documented": ast.get_docstring(tree) is not None,
+           "complexity": complexity, "nesting": nesting, "parameters": 0}
+    ]
+    todo: list[tuple[ast.AST, str | None, str, bool]] = [(tree, None, module, False)]
     while todo:
-        node, parent, prefix = todo.pop()
+        node, parent, prefix, in_class = todo.pop()
         for x in ast.iter_child_nodes(node):
-            if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            if isinstance(x, _SCOPES):
                 name = f"{prefix}.{x.name}" if prefix else x.name
                 is_class = isinstance(x, ast.ClassDef)
-                kind = "class" if is_class else "method" if isinstance(node, ast.ClassDef) else "function"
+                complexity, nesting = measures(x)
                 rows.append(
                     base
                     | {
-                        "kind": kind, "qualified_name": name, "display_name": x.name, "parent": parent, "line": x.lineno, "end_line": x.end_lineno, "documented": ast.get_docstring(x) is not None,
-                        "visibility": _visibility(x.name), "complexity": None if is_class else complexity(x), "nesting": None if is_class else nesting(x), "parameters": None if is_class else parameter_count(x),
+                        "kind": "class" if is_class else "method" if in_class else "function", "qualified_name": name, "display_name": x.name, "parent": parent, "line": x.lineno, "end_line": x.end_lineno,
+                        "documented": ast.get_docstring(x) is not None, "visibility": _visibility(x.name), "complexity": complexity, "nesting": nesting, "parameters": parameter_count(x),
                         "bases": [ast.unparse(b) for b in x.bases] if is_class else None, "signature": None if is_class else f"({ast.unparse(x.args)})",
                         "fingerprint": hashlib.sha256(ast.dump(x, include_attributes=False).encode()).hexdigest(),
                     }
                 )
-                todo.append((x, name, name))
+                todo.append((x, name, name, is_class))
             elif isinstance(x, ast.Import):
-                rows += [base | {"kind": "import", "imported": a.name, "level": 0, "line": x.lineno} for a in x.names]
+                rows += [base | {"kind": "import", "imported": a.name, "bound": a.asname or a.name.partition(".")[0], "level": 0, "line": x.lineno} for a in x.names]
             elif isinstance(x, ast.ImportFrom):
-                rows += [base | {"kind": "import", "imported": f"{x.module}.{a.name}" if x.module else a.name, "level": x.level, "line": x.lineno} for a in x.names]
+                rows += [base | {"kind": "import", "imported": f"{x.module}.{a.name}" if x.module else a.name, "bound": a.asname or a.name, "level": x.level, "line": x.lineno} for a in x.names]
             else:
-                todo.append((x, parent, prefix))
+                todo.append((x, parent, prefix, in_class))
     return rows
 
 

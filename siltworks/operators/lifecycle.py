@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.functions.values import canonical_json, stable_digest
+
 
 def may_resolve(truncated: bool, parse_gaps: int, generation: int, latest_generation: int) -> bool:
     """Absence is only trusted in a complete snapshot of the latest generation."""
@@ -67,6 +69,6 @@ def merge_findings(rows: DataFrame) -> DataFrame:
 
 
 def finding_id(repository: Column, rule: Column, version: Column, subject_type: Column, subject_keys: Column) -> Column:
-    """Identity of a finding; the snapshot is no part of it."""
-    keys = F.array_join(F.array_sort(subject_keys), "\x1f")
-    return F.sha2(F.concat_ws("\x00", repository, rule, version, subject_type, keys), 256)
+    """Identity of a finding, the digest of its canonical JSON; the snapshot is no part of it."""
+    fields = {"repository_id": repository, "rule_id": rule, "rule_version": version, "subject_type": subject_type, "subject_keys": F.array_sort(subject_keys)}
+    return stable_digest("repository-review-finding", canonical_json(fields))

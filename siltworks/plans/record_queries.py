@@ -81,7 +81,8 @@ def evidence_limitations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, sha256('repo' || chr(0) || 'rule' || chr(0) || '1' || chr(0) || 'order' || chr(0) || least(o_orderstatus, o_orderpriority) || chr(31) || greatest(o_orderstatus, o_orderpriority)) AS finding_id FROM orders""")
+SELECT o_orderkey, sha256('repository-review-finding' || chr(0) || '{"repository_id":"repo","rule_id":"rule","rule_version":"1","subject_keys":["' || least(o_orderstatus, o_orderpriority) || '","'
+  || greatest(o_orderstatus, o_orderpriority) || '"],"subject_type":"order"}' || chr(10)) AS finding_id FROM orders""")
 def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = L.finding_id(F.lit("repo"), F.lit("rule"), F.lit("1"), F.lit("order"), F.array("o_orderstatus", "o_orderpriority"))
     return table(spark, sf_dir, "orders").select("o_orderkey", made.alias("finding_id"))

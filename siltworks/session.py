@@ -44,12 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset a local session uses a temporary folder, and any other one raises: its
+    executors share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    own = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
-    return own
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
 
 
 _scratch: list[tuple[SparkSession, str]] = []
@@ -67,19 +69,35 @@ def scratch(df: DataFrame, tag: str = "step") -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may be gone at exit
+        pass
+
+
 def drop_scratch(*frames: DataFrame) -> None:
     """Delete the scratch tables behind frames (all of them without arguments)."""
     paths = {getattr(f, "_siltworks_path", None) for f in frames}
     for spark, path in list(_scratch):
-        if frames and path not in paths:
-            continue
-        _scratch.remove((spark, path))
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            pass
+        if not frames or path in paths:
+            _scratch.remove((spark, path))
+            _delete(spark, path)
+
+
+def scratch_paths() -> frozenset[str]:
+    """The scratch tables there are now, for drop_scratch_since()."""
+    return frozenset(path for _, path in _scratch)
+
+
+def drop_scratch_since(before: frozenset[str], *kept: DataFrame) -> None:
+    """Delete the scratch tables that are not in before, but for those behind kept."""
+    paths = before | {getattr(f, "_siltworks_path", None) for f in kept}
+    for spark, path in list(_scratch):
+        if path not in paths:
+            _scratch.remove((spark, path))
+            _delete(spark, path)
 
 
 atexit.register(drop_scratch)

@@ -44,11 +44,17 @@ def write_snapshot(sections: Mapping[str, DataFrame], path: str, snapshot_id: st
     return read_manifests(spark, path)
 
 
+def path_exists(spark, path: str) -> bool:  # noqa: ANN001
+    """Whether there is anything at a path of any file system that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_manifests(spark, path: str) -> DataFrame:  # noqa: ANN001
-    try:
-        return spark.read.schema("snapshot_id string, sections array<string>").parquet(f"{path}/_manifests_table")
-    except Exception:  # noqa: BLE001  no snapshot yet
-        return spark.createDataFrame([], "snapshot_id string, sections array<string>")
+    """Finished snapshots; none where no manifest was ever written. A folder that is there and cannot be read is an error."""
+    shape = "snapshot_id string, sections array<string>"
+    folder = f"{path}/_manifests_table"
+    return spark.read.schema(shape).parquet(folder) if path_exists(spark, folder) else spark.createDataFrame([], shape)
 
 
 def read_section(spark, path: str, name: str, snapshot_id: str) -> DataFrame:  # noqa: ANN001

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltworks.sources.sinks import path_exists
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -41,9 +43,11 @@ def health_states(events: DataFrame, limit: int = 3) -> DataFrame:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (in_row,) = state.get if state.exists else (0,)
-        for batch in batches:
-            for failed in batch.sort_values(["ts", "event_id"])["failed"]:
-                in_row = in_row + 1 if failed else 0
+        # A key's rows come in several chunks, in any order: times and marks of all of them are put in order first.
+        rows = pd.concat([batch[["ts", "event_id", "failed"]] for batch in batches]).sort_values(["ts", "event_id"])
+        failed = rows["failed"].to_numpy(dtype=bool)
+        good = (~failed).nonzero()[0]
+        in_row = int(len(failed) - 1 - good[-1]) if len(good) else in_row + len(failed)
         state.update((in_row,))
         yield pd.DataFrame({"user_id": [key[0]], "state": ["degraded" if in_row >= limit else "healthy"], "failures": [in_row]})
 
@@ -51,14 +55,16 @@ def health_states(events: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def latest_generation_sink(path: str, key: str, generation: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer that keeps, per key, the row of the highest generation; a batch that comes late changes nothing. The table is written to a new
-    folder and a pointer row names it last, so a rerun of a batch is harmless."""
+    """foreachBatch writer for the rows of the highest generation of each key. Each batch adds only its own best rows, in a folder of its own, and a
+    pointer row names the folder last; read_latest() takes the best over all folders. A batch that the pointer table holds already is not
+    written again, and a folder without a pointer, left by a job that died, is written anew."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = read_latest(spark, path)
-        rows = batch if old is None else old.unionByName(batch)
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), generation).alias("r")).select("r.*")
+        done = _pointers(spark, path)
+        if done is not None and not done.where(F.col("batch") == batch_id).isEmpty():
+            return
+        best = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), generation).alias("r")).select("r.*")
         target = f"{path}/batch={batch_id}"
         best.write.mode("overwrite").parquet(target)
         spark.createDataFrame([(batch_id, target)], "batch long, target string").coalesce(1).write.mode("append").parquet(f"{path}/_pointer_table")
@@ -66,9 +72,18 @@ def latest_generation_sink(path: str, key: str, generation: str) -> Callable[[Da
     return write
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        row = spark.read.schema("batch long, target string").parquet(f"{path}/_pointer_table").orderBy(F.col("batch").desc()).first()
-    except Exception:  # noqa: BLE001  nothing was written yet
+def _pointers(spark: SparkSession, path: str) -> DataFrame | None:
+    folder = f"{path}/_pointer_table"
+    return spark.read.schema("batch long, target string").parquet(folder) if path_exists(spark, folder) else None
+
+
+def read_latest(spark: SparkSession, path: str, key: str, generation: str) -> DataFrame | None:
+    """The row of the highest generation of each key over all finished batches, the later batch's of equal ones; None before the first."""
+    done = _pointers(spark, path)
+    if done is None:
         return None
-    return spark.read.parquet(row["target"]) if row else None
+    # One short row per batch.
+    targets = [r["target"] for r in done.orderBy("batch").collect()]
+    rows = spark.read.option("basePath", path).parquet(*targets)
+    best = F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), F.struct(generation, "batch"))
+    return rows.groupBy(key).agg(best.alias("r")).select("r.*")

@@ -187,11 +187,69 @@ def _f(): pass
 '''
     rows = code.facts_of("src/pkg/mod.py", source)
     by = {r["qualified_name"]: r for r in rows if r.get("qualified_name")}
-    assert by["pkg.mod.A.m"]["complexity"] == 7 and by["pkg.mod.A.m"]["nesting"] == 2 and by["pkg.mod.A.m"]["parameters"] == 2
+    assert by["pkg.mod.A.m"]["complexity"] == 6 and by["pkg.mod.A.m"]["nesting"] == 2 and by["pkg.mod.A.m"]["parameters"] == 3
     assert by["pkg.mod.A"]["bases"] == ["Base"] and by["pkg.mod.A"]["documented"] and by["pkg.mod._f"]["visibility"] == "private"
     assert code.facts_of("a.py", b"def (")[0]["error"] == "parse-error" and code.facts_of("a.py", b"\xff")[0]["error"] == "decode-error"
 
 
+@pytest.mark.parametrize(
+    ("body", "complexity", "nesting"),
+    [
+        ("assert a", 1, 0),
+        ("x = [i for i in a]", 1, 0),
+        ("x = [i for i in a if i if not i]", 3, 0),
+        ("match a:\n        case 1: pass\n        case _: pass", 2, 1),
+        ("match a:\n        case 1 if b: pass\n        case _ if b or c: pass", 4, 1),
+        ("x = lambda y: y and a or b", 3, 0),
+        ("if a: pass\n    elif b: pass\n    elif c: pass\n    else: pass", 4, 3),
+        ("for i in a:\n        while b: pass\n    else:\n        pass", 3, 2),
+        ("try: pass\n    except A: pass\n    except B:\n        if a: pass\n    finally: pass", 4, 2),
+        ("with a as b, c as d:\n        x = 1 if a else 2", 2, 1),
+        ("def inner(z=1 and 2):\n        if z: pass\n    class K:\n        x = a or b", 1, 0),
+    ],
+)
+def test_measures_of_each_construct(body, complexity, nesting):
+    rows = code.facts_of("m.py", f"@deco(a or b)\ndef f(self, x=a and b, *r, k=1, **o):\n    {body}\n".encode())
+    row = next(r for r in rows if r.get("qualified_name") == "m.f")
+    assert (row["complexity"], row["nesting"], row["parameters"]) == (complexity, nesting, 5)
+
+
+def test_sources_of_any_depth_and_encoding():
+    sums = "x = " + " + ".join(["1"] * 1200)
+    chain = "def f(x):\n    if x == 0: return 0\n" + "".join(f"    elif x == {i}: return {i}\n" for i in range(1, 1200))
+    for source in (sums, chain, "def g():\n    return " + " + ".join(["1"] * 1200)):
+        rows = code.facts_of("m.py", source.encode())
+        assert rows[0]["kind"] in ("module", "diagnostic")
+    assert [r["complexity"] for r in code.facts_of("m.py", chain.encode()) if r["kind"] == "function"] in ([1201], [])
+    latin = code.facts_of("m.py", "# -*- coding: latin-1 -*-\ndef caf\xe9(): pass\n".encode("latin-1"))
+    assert [r["display_name"] for r in latin if r["kind"] == "function"] == ["caf\xe9"]
+    assert code.facts_of("m.py", b"\xef\xbb\xbfx = 1\n")[0]["kind"] == "module"
+    assert code.facts_of("m.py", b"# coding: nonsense\n")[0]["error"] == "decode-error"
+    assert code.facts_of("m.py", ("(" * 5000).encode())[0]["kind"] == "diagnostic"
+    bound = {r["bound"]: r["imported"] for r in code.facts_of("m.py", b"import a.b, c as d\nfrom e import f as g, h\n") if r["kind"] == "import"}
+    assert bound == {"a": "a.b", "d": "c", "g": "e.f", "h": "e.h"}
+
+
+def test_finding_ids_are_canonical_digests(spark):
+    import hashlib
+    import json
+
+    keys = ["b\x1fa", 'q"\\', "\u00e9", "a"]
+    payload = {"repository_id": "r", "rule_id": "x", "rule_version": "1", "subject_type": "module", "subject_keys": sorted(keys)}
+    made = lifecycle.finding_id(F.lit("r"), F.lit("x"), F.lit("1"), F.lit("module"), F.array(*[F.lit(k) for k in keys[1:]]))
+    payload["subject_keys"] = sorted(keys[1:])
+    text = json.dumps(payload, ensure_ascii=False, separators=(",", ":"), sort_keys=True) + "\n"
+    want = hashlib.sha256(b"repository-review-finding\0" + text.encode()).hexdigest()
+    assert spark.range(1).select(made.alias("i")).first()["i"] == want
+
+
+def test_key_values_keep_the_last(spark):
+    from siltworks.functions.text import key_values
+
+    rows = spark.createDataFrame([('A=1 b="x y" a=2 c="" A=3',), ("none",), (None,)], "t string").select(key_values(F.col("t")).alias("m")).collect()
+    assert rows[0]["m"] == {"b": "x y", "c": '""', "a": "3"} and rows[1]["m"] == {} and rows[2]["m"] is None
+
+
 def test_rules_edges(spark):
     rows = spark.createDataFrame([("a", 1000), ("b", 1001), ("c", 1501), ("d", 2001)], "s string, v int")
     got = {r["subject"]: r["severity"] for r in findings.threshold_findings(rows, "r", "f", "s", "v", F.lit(1000)).collect()}
@@ -274,4 +332,50 @@ def test_streams(spark, tmp_path):
     write = streams.latest_generation_sink(f"{tmp_path}/gen", "k", "g")
     write(spark.createDataFrame([("a", 2)], "k string, g int"), 0)
     write(spark.createDataFrame([("a", 1), ("b", 1)], "k string, g int"), 1)
-    assert {r["k"]: r["g"] for r in streams.read_latest(spark, f"{tmp_path}/gen").collect()} == {"a": 2, "b": 1}
+    latest = lambda: {r["k"]: r["g"] for r in streams.read_latest(spark, f"{tmp_path}/gen", "k", "g").collect()}
+    assert latest() == {"a": 2, "b": 1}
+    write(spark.createDataFrame([("a", 9), ("z", 9)], "k string, g int"), 1)  # a rerun of a finished batch changes nothing
+    assert latest() == {"a": 2, "b": 1}
+    spark.createDataFrame([("a", 7)], "k string, g int").write.parquet(f"{tmp_path}/gen/batch=2")  # a job that died before its pointer
+    assert latest() == {"a": 2, "b": 1}
+    write(spark.createDataFrame([("a", 3)], "k string, g int"), 2)
+    assert latest() == {"a": 3, "b": 1}
+    assert streams.read_latest(spark, f"{tmp_path}/none", "k", "g") is None
+    (tmp_path / "broken/_pointer_table").mkdir(parents=True)
+    (tmp_path / "broken/_pointer_table/x.parquet").write_text("no")
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        streams.read_latest(spark, f"{tmp_path}/broken", "k", "g").collect()
+
+
+def test_failures_in_a_row_across_chunks(spark, tmp_path):
+    import datetime as dt
+
+    from siltworks.streaming import streams
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=i), 1, not (i in (3, 20) or i < 2)) for i in range(30)]
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, failed boolean").coalesce(1).write.parquet(f"{tmp_path}/e")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        events = spark.readStream.schema("event_id long, ts timestamp, user_id long, failed boolean").parquet(f"{tmp_path}/e")
+        q = streams.health_states(events).writeStream.outputMode("update").format("memory").queryName("w_rows").option("checkpointLocation", f"{tmp_path}/cp").start()
+        q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [tuple(r) for r in spark.table("w_rows").collect()] == [(1, "degraded", 9)]
+
+
+def test_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from siltworks import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    far = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        session.checkpoint_root(far)
+    before = session.scratch_paths()
+    kept, gone = session.scratch(spark.range(3)), session.scratch(spark.range(4))
+    session.drop_scratch_since(before, kept)
+    assert kept.count() == 3 and gone._siltworks_path not in session.scratch_paths() and kept._siltworks_path in session.scratch_paths()
