@@ -16,36 +16,49 @@ from siltworks.session import table
 from siltworks.sources import readers, sinks
 
 
+#: Parts of one run of keys; a brand has a file for each.
+RUN = 500
+
+
 def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Python file per brand: a class per part size, functions with as many branches as the size, imports of neighbouring brands."""
+    """A Python file per brand and run of parts: a class, a function per part with as many ifs as its size and one more construct, imports of other brands."""
     p = table(spark, sf_dir, "part")
-    brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    key = F.col("p_partkey")
+    brand, run = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int"), F.expr(f"p_partkey DIV {RUN}")
     ifs = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 20 + 1), lambda i: F.concat(F.lit("    if x > "), i.cast("string"), F.lit(": x -= 1"))), "\n")
-    arguments = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_partkey") % 11 + 1), lambda i: F.concat(F.lit("a"), i.cast("string"))), ", ")
-    doc = F.when(F.col("p_partkey") % 2 == 0, '    """Doc."""\n').otherwise("")
-    function = F.concat(F.lit("def f"), F.col("p_partkey").cast("string"), F.lit("(x, "), arguments, F.lit("):\n"), doc, ifs, F.lit("\n    return x\n"))
-    files = p.groupBy(brand.alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", function.alias("t")))), lambda s: s["t"]), "\n\n").alias("body"))
-    head = F.concat(F.lit("import os\nfrom pkg.brand"), (F.col("b") % 5 + 1).cast("string"), F.lit(" import f1\nimport pkg.brand"), (F.col("b") % 7 + 1).cast("string"), F.lit("\n\nclass Base"), F.col("b").cast("string"), F.lit(":\n    pass\n\n\n"))
-    path = F.concat(F.lit("src/pkg/brand"), F.col("b").cast("string"), F.lit(".py"))
-    return files.select(path.alias("relative_path"), F.concat(head, F.col("body")).cast("binary").alias("content"))
+    arguments = F.array_join(F.transform(F.sequence(F.lit(1), key % 11 + 1), lambda i: F.concat(F.lit("a"), i.cast("string"))), ", ")
+    doc = F.when(key % 2 == 0, '    """Doc."""\n').otherwise("")
+    constructs = F.array(*map(F.lit, (
+        "    assert x", "    y = [i for i in x if i if not i]", "    match x:\n        case 1: pass\n        case _: pass", "    y = lambda z: z and x or z",
+        "    if x: pass\n    elif a1: pass\n    else: pass", "    try: pass\n    except OSError: pass\n    finally: pass", "    with x as y: pass",
+    )))
+    more = F.element_at(constructs, (key % 7 + 1).cast("int"))
+    function = F.concat(F.lit("def f"), key.cast("string"), F.lit("(x, "), arguments, F.lit("):\n"), doc, ifs, F.lit("\n"), more, F.lit("\n    return x\n"))
+    files = p.groupBy(brand.alias("b"), run.alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", function.alias("t")))), lambda s: s["t"]), "\n\n").alias("body"))
+    name = lambda b: F.concat(b.cast("string"), F.lit("_"), F.col("r").cast("string"))
+    head = F.concat(F.lit("import os\nfrom pkg.brand"), name(F.col("b") % 5 + 1), F.lit(" import f1\nimport pkg.brand"), name(F.col("b") % 7 + 1), F.lit("\n\nclass Base"), name(F.col("b")), F.lit(":\n    pass\n\n\n"))
+    return files.select(F.concat(F.lit("src/pkg/brand"), name(F.col("b")), F.lit(".py")).alias("relative_path"), F.concat(head, F.col("body")).cast("binary").alias("content"))
 
 
-@query("""
-SELECT 'pkg.brand' || regexp_extract(p_brand, '(\\d+)', 1) || '.f' || p_partkey AS qualified_name, p_size % 20 + 2 AS complexity, (p_partkey % 11 + 2)::INT AS parameters, p_partkey % 2 = 0 AS documented FROM part""")
+_FILES = f"b AS (SELECT DISTINCT regexp_extract(p_brand, '(\\d+)', 1)::INT AS b, p_partkey // {RUN} AS r FROM part)"
+_IMPORTS = f"{_FILES}, i AS (SELECT b, r, b % 5 + 1 AS t FROM b UNION ALL SELECT b, r, b % 7 + 1 FROM b), e AS (SELECT 'pkg.brand' || b || '_' || r AS src, 'pkg.brand' || t || '_' || r AS dst FROM i WHERE (t, r) IN (SELECT (b, r) FROM b))"
+
+
+@query(f"""
+SELECT 'pkg.brand' || regexp_extract(p_brand, '(\\d+)', 1) || '_' || p_partkey // {RUN} || '.f' || p_partkey AS qualified_name, (p_size % 20 + 2 + [0, 2, 1, 2, 2, 1, 0][p_partkey % 7 + 1])::INT AS complexity,
+  CASE WHEN p_partkey % 7 = 4 THEN 2 ELSE 1 END AS nesting, (p_partkey % 11 + 2)::INT AS parameters, p_partkey % 2 = 0 AS documented FROM part""")
 def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = C.scan_sources(part_sources(spark, sf_dir))
-    return facts.where("kind = 'function'").select("qualified_name", "complexity", "parameters", "documented")
+    return facts.where("kind = 'function'").select("qualified_name", "complexity", "nesting", "parameters", "documented")
 
 
-@query("""
-WITH b AS (SELECT DISTINCT regexp_extract(p_brand, '(\\d+)', 1)::INT AS b FROM part), e AS (SELECT b, b % 5 + 1 AS t FROM b UNION ALL SELECT b, b % 7 + 1 FROM b)
-SELECT 'pkg.brand' || e.b AS src, 'pkg.brand' || t AS dst FROM e WHERE t IN (SELECT b FROM b)""")
+@query(f"WITH {_IMPORTS} SELECT src, dst FROM e")
 def source_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.import_edges(C.scan_sources(part_sources(spark, sf_dir)))
 
 
 @query("""
-SELECT CASE WHEN name = 'pkg' THEN 'pkg' ELSE 'os' END AS top_level, n AS n_files FROM (SELECT unnest(['pkg', 'os']) AS name, (SELECT count(DISTINCT p_brand) FROM part) AS n)""")
+SELECT unnest(['pkg', 'os']) AS top_level, (SELECT count(*) FROM (SELECT DISTINCT p_brand, p_partkey // 500 FROM part)) AS n_files""")
 def import_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_sources(spark, sf_dir).select("relative_path", F.decode("content", "UTF-8").alias("text"))
     return C.import_census(files)
@@ -100,12 +113,12 @@ def symbol_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT 's' || s_suppkey AS module_name, count(*)::INT AS fan_in, count(DISTINCT l_partkey)::INT AS fan_out, (s_suppkey * 700 % 3000)::INT AS line_count FROM supplier JOIN lineitem ON s_suppkey = l_suppkey AND l_quantity > 48 GROUP BY s_suppkey),
+WITH m AS (SELECT 's' || s_suppkey AS module_name, count(*)::INT AS fan_in, count(DISTINCT l_partkey)::INT AS fan_out, (s_suppkey * 700 % 3000)::INT AS line_count FROM supplier JOIN lineitem ON s_suppkey = l_suppkey GROUP BY s_suppkey),
 r AS (SELECT 'oversized-module' AS rule_id, 'oversized' AS family, CASE WHEN line_count > 2000 THEN 'high' WHEN line_count > 1500 THEN 'medium' ELSE 'low' END AS severity, module_name AS subject, line_count::DOUBLE AS value, 1000::DOUBLE AS threshold FROM m WHERE line_count > 1000
 UNION ALL SELECT 'high-resolved-fan-in', 'coupling', 'medium', module_name, fan_in, 12 FROM m WHERE fan_in > 12 UNION ALL SELECT 'high-resolved-fan-out', 'coupling', 'medium', module_name, fan_out, 12 FROM m WHERE fan_out > 12)
 SELECT * FROM r""")
 def module_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 48").groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("int").alias("fan_in"), F.count_distinct("l_partkey").cast("int").alias("fan_out"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).cast("int").alias("fan_in"), F.count_distinct("l_partkey").cast("int").alias("fan_out"))
     m = items.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("module_name"), F.lit(None).cast("string").alias("relative_path"), (F.col("l_suppkey") * 700 % 3000).cast("int").alias("line_count"), "fan_in", "fan_out")
     return R.module_findings(m).select("rule_id", "family", "severity", "subject", "value", "threshold")
 
@@ -131,8 +144,8 @@ def duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("subjects", F.concat(F.lit("["), F.array_join("subjects", ", "), F.lit("]")))
 
 
-@query("""
-WITH RECURSIVE b AS (SELECT DISTINCT regexp_extract(p_brand, '(\\d+)', 1)::INT AS b FROM part), e AS (SELECT 'pkg.brand' || b AS src, 'pkg.brand' || (b % 5 + 1) AS dst FROM b UNION ALL SELECT 'pkg.brand' || b, 'pkg.brand' || (b % 7 + 1) FROM b),
+@query(f"""
+WITH RECURSIVE {_IMPORTS},
 r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), c AS (SELECT a.src AS node, min(least(a.src, a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
 SELECT 'dependency-cycle' AS rule_id, string_agg(node, ',' ORDER BY node) AS subject, count(*)::DOUBLE AS value FROM c GROUP BY component""")
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +167,11 @@ def source_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' WHEN o_orderkey % 10 = 0 THEN 'added' ELSE 'removed' END AS change_type FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 10 = 0 OR o_orderkey % 9 = 0)
+WITH d AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' WHEN o_orderkey % 10 = 0 THEN 'added' ELSE 'removed' END AS change_type FROM orders)
 SELECT change_type, k, n_total, greatest(n_total - 50, 0) AS n_omitted FROM (SELECT change_type, k, row_number() OVER (PARTITION BY change_type ORDER BY k) AS place, count(*) OVER (PARTITION BY change_type) AS n_total FROM d) WHERE place <= 50""")
 def handoff_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").where((k % 7 == 0) | (k % 10 == 0) | (k % 9 == 0)).select(k.alias("k"), F.when(k % 7 == 0, "changed").when(k % 10 == 0, "added").otherwise("removed").alias("change_type"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.when(k % 7 == 0, "changed").when(k % 10 == 0, "added").otherwise("removed").alias("change_type"))
     return H.capped(rows, "change_type", ["k"]).select("change_type", "k", "n_total", "n_omitted")
 
 
