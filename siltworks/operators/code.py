@@ -37,7 +37,7 @@ _SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 FACTS = (
     "relative_path string, module_name string, kind string, qualified_name string, display_name string, parent string, line int, end_line int, "
-    "documented boolean, visibility string, complexity int, nesting int, parameters int, bases array<string>, signature string, fingerprint string, imported string, bound string, level int, error string"
+    "documented boolean, visibility string, complexity int, nesting int, parameters int, bases array<string>, signature string, fingerprint string, imported string, base string, name string, bound string, aliased boolean, exports array<string>, level int, error string"
 )
 
 
@@ -114,6 +114,16 @@ def _visibility(name: str) -> str:
     return "dunder" if name.startswith("__") and name.endswith("__") else "private" if name.startswith("_") else "public"
 
 
+def _exports(tree: ast.Module) -> list[str]:
+    """Names that a module lists in __all__."""
+    out: list[str] = []
+    for x in tree.body:
+        targets = x.targets if isinstance(x, ast.Assign) else [x.target] if isinstance(x, ast.AnnAssign | ast.AugAssign) else []
+        if any(isinstance(t, ast.Name) and t.id == "__all__" for t in targets) and isinstance(x.value, ast.List | ast.Tuple):
+            out += [v.value for v in x.value.elts if isinstance(v, ast.Constant) and isinstance(v.value, str)]
+    return sorted(set(out))
+
+
 def facts_of(path: str, content: bytes) -> list[dict]:
     """Rows of FACTS for one file: its module, symbols and imports, or one diagnostic if it cannot be read as a source."""
     base = {"relative_path": path, "module_name": module_of(path)}
@@ -137,7 +147,7 @@ def _facts(base: dict, text: str) -> list[dict]:
     rows = [
         base
         | {"kind": "module", "qualified_name": module, "display_name": module.rpartition(".")[2], "line": 1, "end_line": len(text.splitlines()), "documented": ast.get_docstring(tree) is not None,
-           "complexity": complexity, "nesting": nesting, "parameters": 0}
+           "complexity": complexity, "nesting": nesting, "parameters": 0, "exports": _exports(tree)}
     ]
     todo: list[tuple[ast.AST, str | None, str, bool]] = [(tree, None, module, False)]
     while todo:
@@ -158,9 +168,9 @@ def _facts(base: dict, text: str) -> list[dict]:
                 )
                 todo.append((x, name, name, is_class))
             elif isinstance(x, ast.Import):
-                rows += [base | {"kind": "import", "imported": a.name, "bound": a.asname or a.name.partition(".")[0], "level": 0, "line": x.lineno} for a in x.names]
+                rows += [base | {"kind": "import", "imported": a.name, "base": a.name, "bound": a.asname or a.name.partition(".")[0], "aliased": a.asname is not None, "level": 0, "line": x.lineno} for a in x.names]
             elif isinstance(x, ast.ImportFrom):
-                rows += [base | {"kind": "import", "imported": f"{x.module}.{a.name}" if x.module else a.name, "bound": a.asname or a.name, "level": x.level, "line": x.lineno} for a in x.names]
+                rows += [base | {"kind": "import", "imported": f"{x.module}.{a.name}" if x.module else a.name, "base": x.module, "name": a.name, "bound": a.asname or a.name, "aliased": a.asname is not None, "level": x.level, "line": x.lineno} for a in x.names]
             else:
                 todo.append((x, parent, prefix, in_class))
     return rows

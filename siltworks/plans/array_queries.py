@@ -91,10 +91,9 @@ def sexagesimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", "s.degrees", "s.minutes", far.alias("distance"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice > 2 * 100000 THEN 'high' WHEN o_totalprice > 1.5 * 100000 THEN 'medium' ELSE 'low' END AS severity FROM orders WHERE o_totalprice > 100000")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 2 * 100000 THEN 'high' WHEN o_totalprice > 1.5 * 100000 THEN 'medium' ELSE 'low' END AS severity FROM orders")
 def threshold_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_totalprice > 100000")
-    return o.select("o_orderkey", V.threshold_severity(F.col("o_totalprice"), F.lit(100000)).alias("severity"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", V.threshold_severity(F.col("o_totalprice"), F.lit(100000)).alias("severity"))
 
 
 @query("""

@@ -171,11 +171,12 @@ def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT line_no, line_text FROM (
- SELECT line_no, line_text, sum(strlen(line_text) + 1) OVER (ORDER BY line_no) AS used FROM (
-  SELECT unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE doc_id = 8)) WHERE used <= 16384 AND line_no <= 200""")
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line_text, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+u AS (SELECT *, sum(strlen(line_text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS used FROM l)
+SELECT doc_id, count(*) AS n_lines, md5(string_agg(line_text, chr(10) ORDER BY line_no)) AS excerpt FROM u WHERE used <= 16384 AND line_no <= 200 GROUP BY doc_id""")
 def source_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one document up to 200 lines and 16 KiB. The filter reaches the scan; the window is over one document."""
-    one = table(spark, sf_dir, "documents").where("doc_id = 8").select(F.posexplode(F.split("text", "\n", -1)).alias("p", "line_text"))
-    used = F.sum(F.octet_length("line_text") + 1).over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-    return one.withColumn("used", used).where("used <= 16384 AND p < 200").select((F.col("p") + 1).cast("long").alias("line_no"), "line_text")
+    """The first lines of every document, up to 200 lines and 16 KiB; those that fit are found within the document's own array."""
+    lines = F.slice(F.split("text", "\n", -1), 1, 200)
+    used = F.aggregate("lines", F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), lambda a, x: F.struct((a["used"] + F.octet_length(x) + 1).alias("used"), (a["n"] + (a["used"] + F.octet_length(x) + 1 <= 16384).cast("int")).alias("n")))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", lines.alias("lines")).withColumn("n", used["n"])
+    return d.where("n > 0").select("doc_id", F.col("n").cast("long").alias("n_lines"), F.md5(F.array_join(F.slice("lines", 1, F.col("n")), "\n")).alias("excerpt"))

@@ -71,9 +71,9 @@ def crawl_health_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.crawl_health(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_id") % 3 != 0).select("event_id", "state")
 
 
-@query("SELECT event_type, count(*) AS n_callbacks FROM events WHERE event_id % 4 = 0 GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n_callbacks FROM events GROUP BY event_type")
 def hook_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 4 = 0").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_callbacks"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_callbacks"))
 
 
 @query("""

@@ -84,13 +84,14 @@ def token_ids_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, CASE WHEN length(t) > 0 THEN t ELSE 'untitled' END AS file_name, regexp_replace(regexp_replace(lower(p), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-  lower(trim(regexp_replace(p, '[^\p{L}\p{N}_]+', ' ', 'g'))) AS title
+SELECT doc_id, md5(CASE WHEN length(t) > 0 THEN t ELSE 'untitled' END) AS file_name, md5(regexp_replace(regexp_replace(lower(p), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug,
+  md5(lower(trim(regexp_replace(p, '[^\p{L}\p{N}_]+', ' ', 'g')))) AS title
 FROM (SELECT doc_id, p, regexp_replace(regexp_replace(trim(regexp_replace(p, '[^a-zA-Z0-9\-_. ]', '', 'g')), '\s+', '-', 'g'), '^[-._ ]+|[-._ ]+$', '', 'g') AS t
-  FROM (SELECT doc_id, substr(text, 1, 60) AS p FROM documents))""")
+  FROM (SELECT doc_id, text AS p FROM documents))""")
 def slugs_and_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").select("doc_id", T.safe_filename(p).alias("file_name"), T.category_slug(p).alias("slug"), T.clean_title(p).alias("title"))
+    """Names made of whole texts, as digests."""
+    p = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.safe_filename(p)).alias("file_name"), F.md5(T.category_slug(p)).alias("slug"), F.md5(T.clean_title(p)).alias("title"))
 
 
 @query(r"""

@@ -379,3 +379,49 @@ def test_cluster_needs_a_shared_folder(spark):
     kept, gone = session.scratch(spark.range(3)), session.scratch(spark.range(4))
     session.drop_scratch_since(before, kept)
     assert kept.count() == 3 and gone._siltworks_path not in session.scratch_paths() and kept._siltworks_path in session.scratch_paths()
+
+
+REVIEWED = {
+    "src/app/__init__.py": '__all__ = ["Shared", "x"]\n',
+    "src/app/models.py": "class Shared:\n    class Inner: pass\nclass Base(Shared):\n    def m(self): pass\n",
+    "src/app/views.py": "from app import models\nfrom app.models import Base as B, Gone\nimport app.models\nfrom . import models as mm\nimport other.pkg\n"
+    "class V1(B): pass\nclass V2(models.Base): pass\nclass V3(app.models.Base): pass\nclass V4(Shared): pass\nclass V5(External): pass\nclass V6(V1): pass\nclass V7(mm.Shared.Inner, B): pass\nclass V8(Generic[T]): pass\n",
+    "src/app/a.py": "from app import b\nclass X(Y): pass\nclass Y(X): pass\nclass Z(X): pass\n",
+    "src/app/b.py": "import app.a\n",
+    "lib/app/b.py": "",
+    "tests/test_models.py": "from app import models\ndef test_it(): pass\n",
+    "src/app/broken.py": "def (",
+}
+
+
+def test_review_resolves_imports_and_bases(spark):
+    from siltworks.operators import review
+    from siltworks.session import scratch
+
+    files = spark.createDataFrame([(k, bytearray(v.encode())) for k, v in REVIEWED.items()], "relative_path string, content binary")
+    facts = scratch(code.scan_sources(files))
+    edges = scratch(review.relationships(facts))
+    name = lambda x: x and x.split("::")[-1].split(":")[0]
+    inherits = {(name(r["source_id"]).split(".")[-1], r["evidence"]): (name(r["target_id"]), r["resolution_status"], r["confidence"]) for r in edges.where("relationship_type = 'inherits'").collect()}
+    sure, none = ("resolved-static", "high"), (None, "unresolved-dynamic", "low")
+    assert inherits == {
+        ("Base", "Shared"): ("app.models.Shared", *sure), ("V1", "B"): ("app.models.Base", *sure), ("V2", "models.Base"): ("app.models.Base", *sure), ("V3", "app.models.Base"): ("app.models.Base", *sure),
+        ("V4", "Shared"): ("app.models.Shared", "probable-static", "medium"), ("V5", "External"): none, ("V6", "V1"): ("app.views.V1", *sure), ("V7", "mm.Shared.Inner"): ("app.models.Shared.Inner", *sure),
+        ("V7", "B"): ("app.models.Base", *sure), ("V8", "Generic[T]"): none, ("X", "Y"): ("app.a.Y", *sure), ("Y", "X"): ("app.a.X", *sure), ("Z", "X"): ("app.a.X", *sure),
+    }
+    imports = {(r["source_id"], r["evidence"]): (r["target_id"], r["resolution_status"]) for r in edges.where("relationship_type = 'imports'").collect()}
+    assert imports["src/app/views.py", "app.models"] == ("src/app/models.py", "resolved-static") and imports["src/app/a.py", "app.b"] == (None, "ambiguous")
+    assert imports["src/app/views.py", "app.models.Gone"] == ("src/app/models.py", "resolved-static") and imports["src/app/views.py", "other.pkg"] == (None, "unresolved-dynamic")
+    nodes = review.graph_nodes(review.modules_of(facts), review.symbols_of(facts)).collect()
+    assert {r["node_id"] for r in nodes if r["node_type"] == "package"} == {"package:app", "package:tests"} and sum(r["node_type"] == "symbol" for r in nodes) == 16
+    held = {(name(r["source_id"]), name(r["target_id"])) for r in edges.where("relationship_type = 'contains'").collect()}
+    assert ("app.models.Shared", "app.models.Shared.Inner") in held and ("src/app/models.py", "app.models.Base") in held and ("package", "src/app/views.py") in held
+    rings = scratch(review.cycle_members(edges, "inherits"))
+    rows = {r["qualified_name"]: r for r in review.symbol_metrics(facts, edges, rings).collect()}
+    assert [rows[f"app.{k}"]["resolved_inheritance_depth"] for k in ("models.Base", "views.V1", "views.V6", "a.X", "a.Z", "models.Shared", "views.V5")] == [1, 2, 3, None, None, None, None]
+    assert rows["app.models.Base"]["direct_child_count"] == 4 and rows["app.views.V7"]["direct_parent_count"] == 2 and rows["app.a.X"]["inheritance_cycle_membership"] == 1 and rows["app.a.Z"]["inheritance_cycle_membership"] == 0
+    assert rows["app.models.Base"]["nearby_test_evidence"] == 1 and rows["app.views.V1"]["nearby_test_evidence"] == 0 and rows["app.models.Base.m"]["parameter_count"] == 1
+    modules = {r["relative_path"]: r for r in review.module_metrics(facts, edges, review.cycle_members(edges, "imports")).collect()}
+    assert modules["src/app/models.py"]["resolved_fan_in"] == 6 and modules["src/app/models.py"]["public_symbol_count"] == 2 and modules["src/app/models.py"]["total_symbol_count"] == 4
+    found = {(r["rule_id"], r["subject"].split("::")[-1]) for r in review.analyse(files).collect()}
+    assert ("undocumented-public-symbol", "app.views.V1") in found and any(r == "inheritance-cycle" for r, _ in found)
