@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import escape, unescape
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
 
@@ -120,22 +121,89 @@ def page_text(html: pd.Series) -> pd.Series:
     return html.map(text_of)
 
 
-def tidy(html: str) -> str:
-    """Empty paragraphs go, short bold paragraphs become headers, numbered or dashed lines become lists, an article wraps it all."""
-    html = re.sub(r"(?is)<p[^>]*>(\s|&nbsp;|<br\s*/?>)*</p>", "", html)
-    html = re.sub(r"(?is)<p>\s*<(strong|b)>([^<]{1,80})</\1>\s*</p>", lambda m: f"<h2>{m[2].strip()}</h2>", html)
-
-    def listed(m: re.Match) -> str:
-        items = re.findall(r"(?is)<p>\s*(?:\d+[.)]|[-*•])\s+(.*?)</p>", m[0])
-        kind = "ol" if re.match(r"(?is)\s*<p>\s*\d", m[0]) else "ul"
-        return f"<{kind}>" + "".join(f"<li>{x.strip()}</li>" for x in items) + f"</{kind}>"
-
-    html = re.sub(r"(?is)(?:<p>\s*\d+[.)]\s+[^<]*</p>\s*){2,}|(?:<p>\s*[-*•]\s+[^<]*</p>\s*){2,}", listed, html)
-    html = re.sub(r"(?is)<p>\s*([A-Z][\w ]{1,30}:)\s", r"<p><strong>\1</strong> ", html)
-    html = re.sub(r"(?i)</strong>(?=\w)", "</strong> ", html)
+_PARAGRAPH = re.compile(r"(?is)<p\b([^>]*)>(.*?)</p\s*>")
+_ITEM = re.compile(r"(?is)(<li\b[^>]*>)(.*?)</li\s*>")
+#: Longest paragraph, less one, that counts as a heading; longest prefix of a list item that is set in bold.
+HEADING_LENGTH, PREFIX_LENGTH = 64, 40
+
+
+def _plain(html: str) -> str:
+    return unescape(re.sub(r"(?s)<[^>]*>", "", html))
+
+
+def strip_empty(html: str) -> str:
+    """Paragraphs with nothing or one line break in them go."""
+    return _PARAGRAPH.sub(lambda m: "" if re.fullmatch(r"(?i)(<br\s*/?>)?", m[2].strip()) else m[0], html)
+
+
+def listify(html: str) -> str:
+    """Numbered paragraphs that follow each other, with no other paragraph between them, become one ordered list where the first stands."""
+    out: list[str] = []
+    lists: dict[int, list[str]] = {}
+    at, home = 0, None
+    for m in _PARAGRAPH.finditer(html):
+        out.append(html[at : m.start()])
+        at = m.end()
+        text = _plain(m[2])
+        if not re.match(r"\s*\d+\.", text):
+            home = None
+            out.append(m[0])
+            continue
+        if home is None:
+            home = len(out)
+            out.append("")
+        bold = re.sub(r"\*\*(.*?)\*\*", r"<strong>\1</strong>", escape(text, quote=False))
+        lists.setdefault(home, []).append(re.sub(r"\d+\.\s*", "", bold).lstrip())
+    for place, items in lists.items():
+        out[place] = "<ol>" + "".join(f"<li>{x}</li>" for x in items) + "</ol>"
+    return "".join(out) + html[at:]
+
+
+def promote_short(html: str, heading_length: int = HEADING_LENGTH) -> str:
+    """Paragraphs shorter than heading_length characters become headings."""
+    return _PARAGRAPH.sub(lambda m: f"<h2{m[1]}>{m[2]}</h2>" if 0 < len(_plain(m[2]).strip()) < heading_length else m[0], html)
+
+
+def bold_prefixes(html: str, longest: int = PREFIX_LENGTH) -> str:
+    """What stands before the first colon of a list item is set in bold if it is short; the item keeps its text only."""
+
+    def bold(m: re.Match) -> str:
+        before, colon, after = _plain(m[2]).partition(":")
+        return m[0] if not colon or len(before) > longest else f"{m[1]}<strong>{escape(before, quote=False)}</strong>:{escape(after, quote=False)}</li>"
+
+    return _ITEM.sub(bold, html)
+
+
+def ensure_article(html: str) -> str:
     return html if re.search(r"(?i)<article[\s>]", html) else f"<article>{html}</article>"
 
 
+def section_by_h2(html: str) -> str:
+    """In the article, each heading with what follows it up to the next becomes a section; what starts with the first paragraph before the first heading is
+    a section at the front."""
+    html = ensure_article(html)
+    start = re.search(r"(?i)<article[^>]*>", html).end()
+    end = html.lower().rfind("</article>")
+    end = len(html) if end < 0 else end
+    lead, *parts = re.split(r"(?i)(?=<h2[\s>])", html[start:end])
+    first = re.search(r"(?i)<p[\s>]", lead)
+    if parts and first:
+        lead = f"<section>{lead[first.start():]}</section>{lead[:first.start()]}"
+    return html[:start] + lead + "".join(f"<section>{x}</section>" for x in parts) + html[end:]
+
+
+def strong_spacing(html: str) -> str:
+    """No space at the start of bold text."""
+    return re.sub(r"<strong> ([^<]*</strong>)", r"<strong>\1", html)
+
+
+def tidy(html: str) -> str:
+    """Empty paragraphs go, numbered ones become lists, short ones headings; item prefixes are bold, and an article holds sections."""
+    for step in (strip_empty, listify, promote_short, bold_prefixes, section_by_h2, strong_spacing):
+        html = step(html)
+    return html
+
+
 @F.pandas_udf(StringType())
 def tidied(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else tidy(h))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The redaction pattern applied when none is configured.
 DEFAULT_REDACTIONS = (r"(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*[^\s\n]+",)
@@ -217,3 +220,22 @@ def chunk_sentences(text: Column, most: int, compat: bool = False) -> Column:
 
     finish = (lambda acc: acc["done"]) if compat else (lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
     return F.aggregate(F.split(text, r"\. "), start, step, finish)
+
+
+def sector_code(code: Column) -> Column:
+    """The first two characters."""
+    return F.substring(code.cast("string"), 1, 2)
+
+
+def url_slug(url: Column) -> Column:
+    """The last part of the path, safe for file names and 80 characters at most, with a short digest of the whole address."""
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#;]*)", 1)
+    last = F.regexp_extract(path, r"([^/]*)$", 1)
+    kept = F.substring(F.regexp_replace(F.when(last == "", "index").otherwise(last), r"[^a-zA-Z0-9._-]+", "_"), 1, 80)
+    return F.concat(F.when(kept == "", "page").otherwise(kept), F.lit("-"), short_digest(url))
+
+
+@F.pandas_udf(StringType())
+def short_digest(text: pd.Series) -> pd.Series:
+    """BLAKE2s of 8 bytes; no built-in function has it."""
+    return text.map(lambda t: None if t is None else hashlib.blake2s(t.encode(), digest_size=8).hexdigest())

@@ -135,3 +135,20 @@ def word_diff_ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ratio = [SequenceMatcher(None, (b or "").split(), (a or "").split()).ratio() for b, a in zip(batch["before"], batch["after"], strict=True)]
         yield pd.DataFrame({"key": batch["key"], "ratio": ratio, "differs": [r < 0.96 for r in ratio]})
+
+
+def local_time(seconds: Column, zone: str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Unix seconds as time of a zone."""
+    return F.date_format(F.from_utc_timestamp(F.to_timestamp_ntz(F.from_unixtime(seconds)).cast("timestamp"), zone), pattern)
+
+
+def utc_stamp(ts: Column) -> Column:
+    """A timestamp as UTC with milliseconds and Z, in a session whose zone is UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def flat_metadata(fixed: dict[str, Column], extra: Column, last: dict[str, Column]) -> Column:
+    """One map of strings: fixed fields, overlaid by extra ones, overlaid by the last."""
+    made = [F.create_map(*[x for k, v in part.items() for x in (F.lit(k), v.cast("string"))]) for part in (fixed, last)]
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+    return over(over(made[0], F.coalesce(extra, F.create_map().cast("map<string,string>"))), made[1])

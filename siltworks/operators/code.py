@@ -85,6 +85,24 @@ def measures(root: ast.AST) -> tuple[int, int]:
     return total, most
 
 
+def script_complexity(function: ast.FunctionDef | ast.AsyncFunctionDef) -> int:
+    """The other count of complexity, that of the quality report: with, else and finally of try, and each comprehension count too; conditions of
+    comprehensions and cases do not."""
+    total, todo = 1, list(function.body)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, _SCOPES):
+            continue
+        if isinstance(x, ast.If | ast.For | ast.AsyncFor | ast.While | ast.With | ast.AsyncWith | ast.IfExp | ast.comprehension):
+            total += 1
+        elif isinstance(x, ast.BoolOp):
+            total += len(x.values) - 1
+        elif isinstance(x, ast.Try):
+            total += len(x.handlers) + bool(x.orelse) + bool(x.finalbody)
+        todo += ast.iter_child_nodes(x)
+    return total
+
+
 def parameter_count(node: ast.AST) -> int:
     """All parameters, self and cls among them; none for a class."""
     if isinstance(node, ast.ClassDef):
@@ -213,3 +231,8 @@ def import_census(files: DataFrame, standard: DataFrame | None = None) -> DataFr
     if standard is not None:
         rows = rows.join(standard.select("top_level"), "top_level", "left_anti")
     return rows.groupBy("top_level").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def parse_gaps(facts: DataFrame) -> DataFrame:
+    """(n): files that could not be read as sources."""
+    return facts.agg(F.count_if(F.col("error").isin("parse-error", "decode-error", "too-deep")).alias("n"))

@@ -6,7 +6,7 @@ executor costs one reread.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import package_prefixes
@@ -67,7 +67,8 @@ def neighbourhood(edges: DataFrame, focus: object, depth: int, most_nodes: int,
     at most most_nodes. Levels are bounded by most_nodes, so the frontier that each join carries is small."""
     if not 1 <= depth <= 3 or not 1 <= most_nodes <= 100:
         raise ValueError("limits out of range")
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    ends = F.explode(F.array(F.struct(F.col(src).alias("a"), F.col(dst).alias("b")), F.struct(F.col(dst).alias("a"), F.col(src).alias("b"))))
+    both = edges.select(ends.alias("e")).select("e.*").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     kind = dict(edges.dtypes)[src]
     found = edges.sparkSession.createDataFrame([(focus, 0, 1)], f"node {kind}, distance int, rank int")
     front, have, cut = found, 1, False
@@ -86,6 +87,27 @@ def neighbourhood(edges: DataFrame, focus: object, depth: int, most_nodes: int,
     return found.withColumn("truncated", F.lit(cut))
 
 
+def relationship_order(type_: str = "relationship_type", id_: str = "relationship_id") -> list[Column]:
+    """Type, source, target (or what it is not resolved to), path, line, column, id."""
+    return [F.col(type_), F.col("source_id"), F.coalesce("target_id", "unresolved_target", F.lit("")), F.col("relative_path"), F.col("line"), F.col("column"), F.col(id_)]
+
+
+def neighbourhood_edges(edges: DataFrame, nodes: DataFrame, order: list[Column], most_edges: int = 200, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Edges of any status between nodes of a neighbourhood, or from one to nothing, the first most_edges in order, with truncated if there are more."""
+    if not 1 <= most_edges <= 200:
+        raise ValueError("limits out of range")
+    first = induced_subgraph(edges, nodes, src, dst).orderBy(*order).limit(most_edges + 1).withColumn("ne_place", F.row_number().over(Window.orderBy(*order)))
+    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # over at most most_edges + 1 rows
+    return first.withColumn("truncated", F.max("ne_place").over(every) > most_edges).where(F.col("ne_place") <= most_edges).drop("ne_place")
+
+
+def node_labels(ids: DataFrame, nodes: DataFrame, key: str, node: str, label: str) -> DataFrame:
+    """ids with the label of each node; unknown:<id> where it is not known."""
+    known = nodes.select(F.col(node).alias("nl_node"), F.col(label).alias("node_label"))
+    joined = ids.join(known, F.col(key) == F.col("nl_node"), "left").drop("nl_node")
+    return joined.withColumn("node_label", F.coalesce("node_label", F.concat(F.lit("unknown:"), F.col(key).cast("string"))))
+
+
 def crawl(links: DataFrame, start: object, most_pages: int, most_depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, depth) in the order of a breadth-first crawl over a link table, up to most_pages pages and most_depth steps."""
     kind = dict(links.dtypes)[src]

@@ -99,3 +99,9 @@ def union_by_priority(frames: Sequence[DataFrame], key: str) -> DataFrame:
         tagged = one if tagged is None else tagged.unionByName(one, allowMissingColumns=True)
     names = [c for c in tagged.columns if c != "up_i"]
     return tagged.groupBy(key).agg(F.max_by(F.struct(*names), "up_i").alias("row")).select("row.*")
+
+
+def is_subset(part: DataFrame, whole: DataFrame, key: str) -> DataFrame:
+    """(is_subset): whether every key of part is one of whole, as one row."""
+    missing = part.select(key).join(whole.select(key), key, "left_anti")
+    return missing.agg((F.count(F.lit(1)) == 0).alias("is_subset"))

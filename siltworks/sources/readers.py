@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import subprocess
+import tomllib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,3 +155,20 @@ class _PagedReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for row in self.pages[partition.value]:
             yield tuple(row)
+
+
+def list_examples(spark: SparkSession, path: str, adapter: str | None = None) -> DataFrame:
+    """(adapter, name, path) of the *.log files under a folder per adapter, in order; files are listed, not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").load(path).select("path")
+    rows = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("adapter"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path")
+    return (rows.where(F.col("adapter") == adapter) if adapter else rows).orderBy("adapter", "name")
+
+
+def read_config(path: str) -> dict:
+    """A TOML or JSON settings file, read on the driver."""
+    with open(path, "rb") as f:
+        if path.endswith(".toml"):
+            return tomllib.load(f)
+        if path.endswith(".json"):
+            return json.load(f)
+    raise ValueError(f"{path} is neither TOML nor JSON")

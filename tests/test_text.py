@@ -105,7 +105,15 @@ def test_html(spark):
         want = None if not link or link[0] == "#" or link.startswith(("mailto:", "ftp:")) else urljoin(base, link).split("#")[0].removesuffix("/")
         assert got == want
     assert html.text_of("<p>a<script>no</script> b &amp; c</p>") == "a\nb & c"
-    assert html.tidy("<p></p><p><b>Head</b></p><p>1. x</p><p>2. y</p>") == "<article><h2>Head</h2><ol><li>x</li><li>y</li></ol></article>"
+    page = "<p>Overview</p>\n<p>1. **Locate** items:</p>\n<p>2. **Inspect** items</p>\n<p> </p>\n<ul><li>Prefix: value</li></ul>"
+    assert html.strip_empty("<p> </p><p><br/></p><p>x<br/></p>") == "<p>x<br/></p>"
+    assert html.listify("<p>1. a</p><hr><p>2. b 3. c</p><p>d</p><p>4. e</p>") == "<ol><li>a</li><li>b c</li></ol><hr><p>d</p><ol><li>e</li></ol>"
+    assert html.promote_short(f"<p class='k'>{'x' * 63}</p><p>{'x' * 64}</p><p></p>") == f"<h2 class='k'>{'x' * 63}</h2><p>{'x' * 64}</p><p></p>"
+    assert html.bold_prefixes(f"<li>a <b>b</b>: c:d</li><li>{'x' * 41}: y</li><li>z</li>") == f"<li><strong>a b</strong>: c:d</li><li>{'x' * 41}: y</li><li>z</li>"
+    assert html.section_by_h2("<i>i</i><p>l</p><h2>a</h2><p>x</p><h2>b</h2>") == "<article><section><p>l</p></section><i>i</i><section><h2>a</h2><p>x</p></section><section><h2>b</h2></section></article>"
+    assert html.section_by_h2("<article><p>l</p></article>") == "<article><p>l</p></article>"
+    assert html.strong_spacing("<strong> a</strong><strong> <b>c</b></strong>") == "<strong>a</strong><strong> <b>c</b></strong>"
+    assert html.tidy(page) == "<article><section><h2>Overview</h2>\n<ol><li><strong>Locate items</strong>:</li><li><strong>Inspect</strong> items</li></ol>\n\n\n<ul><li><strong>Prefix</strong>: value</li></ul></section></article>"
     long = "<h2>" + "x" * 120 + "</h2><h2>ok</h2>"
     assert one(spark, html.demote_long_headers(F.col("t")), t=long) == "<p>" + "x" * 120 + "</p><h2>ok</h2>"
     assert one(spark, html.bad_sections(F.col("t")), t="<h2>a</h2><p>x</p><h2>b</h2>") == [2]
@@ -121,3 +129,27 @@ def test_registries(spark):
     assert hooks.fire("h") == [None, 5] and hooks.summary() == {"h": 2}
     logs = spark.createDataFrame([("python", "ERROR message=x")], "adapter string, raw string")
     assert extensions.apply_parser("structured", logs).first()["errors"][0]["message"] == "x"
+
+
+def test_url_slugs(spark):
+    import hashlib
+
+    from siltworks.functions import text as T
+
+    urls = ["https://h.example/a/b c.html?q=1#f", "https://h.example", "https://h.example/x/", "https://h.example/" + "y" * 100, None]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select(T.url_slug(F.col("u")).alias("s")).collect()
+    digest = lambda u: hashlib.blake2s(u.encode(), digest_size=8).hexdigest()
+    assert [r["s"] for r in rows] == [f"b_c.html-{digest(urls[0])}", f"index-{digest(urls[1])}", f"index-{digest(urls[2])}", "y" * 80 + f"-{digest(urls[3])}", None]
+
+
+def test_examples_and_settings(spark, tmp_path):
+    from siltworks.sources import readers
+
+    for name in ("python/b.log", "python/a.log", "go/x.log", "go/no.txt"):
+        (tmp_path / "examples" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "examples" / name).write_text("x")
+    assert [(r["adapter"], r["name"]) for r in readers.list_examples(spark, f"{tmp_path}/examples").collect()] == [("go", "x.log"), ("python", "a.log"), ("python", "b.log")]
+    assert readers.list_examples(spark, f"{tmp_path}/examples", "go").count() == 1
+    (tmp_path / "c.toml").write_text("[a]\nb = 1\n")
+    (tmp_path / "c.json").write_text('{"a": 2}')
+    assert readers.read_config(f"{tmp_path}/c.toml") == {"a": {"b": 1}} and readers.read_config(f"{tmp_path}/c.json") == {"a": 2}
