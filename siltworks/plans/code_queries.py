@@ -37,7 +37,8 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = p.groupBy(brand.alias("b"), run.alias("r")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", function.alias("t")))), lambda s: s["t"]), "\n\n").alias("body"))
     name = lambda b: F.concat(b.cast("string"), F.lit("_"), F.col("r").cast("string"))
     head = F.concat(F.lit("import os\nfrom pkg.brand"), name(F.col("b") % 5 + 1), F.lit(" import f1\nimport pkg.brand"), name(F.col("b") % 7 + 1), F.lit("\n\nclass Base"), name(F.col("b")), F.lit(":\n    pass\n\n\n"))
-    return files.select(F.concat(F.lit("src/pkg/brand"), name(F.col("b")), F.lit(".py")).alias("relative_path"), F.concat(head, F.col("body")).cast("binary").alias("content"))
+    made = files.select(F.concat(F.lit("src/pkg/brand"), name(F.col("b")), F.lit(".py")).alias("relative_path"), F.concat(head, F.col("body")).cast("binary").alias("content"))
+    return made.repartition(spark.sparkContext.defaultParallelism)
 
 
 _FILES = f"b AS (SELECT DISTINCT regexp_extract(p_brand, '(\\d+)', 1)::INT AS b, p_partkey // {RUN} AS r FROM part)"

@@ -24,7 +24,8 @@ def order_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     adapter = F.element_at(F.array(*[F.lit(a[0]) for a in L.ADAPTERS]), (F.col("o_orderkey") % len(L.ADAPTERS) + 1).cast("int"))
     meta = F.when(F.col("o_orderkey") % 4 != 0, F.format_string('META command="run %d" status=%s extra=e%d', "o_orderkey", F.when(F.col("o_orderstatus") == "P", "passed").otherwise("done"), "o_custkey"))
     raw = F.concat_ws("\n", F.lit("# order"), meta, F.lit("TESTS passed=9 failed=0 skipped=1 duration=2.5"), F.col("body"), F.lit("\nUNKNOWN token"), F.lit("ARTIFACT out/a.xml"), F.lit("INFO zone=eu"))
-    return o.select(F.col("o_orderkey").alias("doc_id"), adapter.alias("adapter"), raw.alias("raw"))
+    # The tables are small files of one partition each; logs that are read from many files need no such step.
+    return o.select(F.col("o_orderkey").alias("doc_id"), adapter.alias("adapter"), raw.alias("raw")).repartition(spark.sparkContext.defaultParallelism)
 
 
 _ITEMS = """
