@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.llm.components import components
-from siltworks.llm.wordhash import Words, blocks, encoded, mix, windows
+from siltworks.llm.wordhash import Words, blocks, encoded, mix, slices, windows
 from siltworks.session import scratch, ship_package
 
 SHINGLE_WORDS = 4
@@ -131,7 +131,7 @@ def shingled(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_key, signature) per row; set_key and signature are null where the set is empty."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = shingle_sets(encoded(batch.column("text").to_pylist()))
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             some = [s for s in sets if len(s)]
@@ -179,7 +179,7 @@ class _Sets:
             new = new.join(self.table.select("rep"), "rep", "left_anti")
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 sets = shingle_sets(encoded(batch.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
@@ -212,7 +212,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: _Sets, tag: str) -> D
     whole = left.join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("ta")), "a")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = [
                 similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
                 for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)
@@ -262,7 +262,7 @@ def _first_shingles(reps: DataFrame, sets: _Sets) -> DataFrame:
     the size up to which the other may then be. Rows that no other size of their bucket allows are left out."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for rep, held in zip(batch.column("rep").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 own = np.frombuffer(held, np.int64)
                 for at in range(0, len(own), 50_000):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.wordhash import Words, blocks, encoded, mix, spans, windows
+from siltworks.llm.wordhash import Words, blocks, encoded, mix, slices, spans, windows
 from siltworks.session import drop_scratch_since, scratch, scratch_paths, ship_package
 
 WINDOW = 50
@@ -38,8 +38,6 @@ PIECE = 25
 CHUNK = 128
 #: Documents of one group, which shares one automaton: what an automaton holds is bounded by what so few documents hold.
 DOCS_PER_GROUP = 500
-#: Rows that a worker turns into Python objects at a time.
-ROWS_AT_ONCE = 500
 #: Tasks of the last step at most; beyond that a task goes through several groups in turn, one automaton after the other.
 MOST_TASKS = 20_000
 #: What names a segment.
@@ -64,12 +62,6 @@ def anchors_of(hashes: np.ndarray, width: int = WINDOW) -> np.ndarray:
     return _span_min(windows(hashes, ANCHOR), width - ANCHOR + 1)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(at, ROWS_AT_ONCE)
-
-
 def _texts(column: pa.Array) -> list[bytes]:
     return encoded(column.to_pylist())
 
@@ -78,7 +70,7 @@ def survey(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, kept_sha256 of all words, distinct anchors) per row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             counts, digests, marks = [], [], []
             for _, block in blocks(_texts(batch.column("text"))):
                 words = Words(block)
@@ -107,7 +99,7 @@ def segments(texts: DataFrame, groups: int, width: int = WINDOW) -> DataFrame:
     of their own. windows holds 12 bytes of hash for each window of the segment; home is its least document and where it starts there."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             ids, marks = batch.column("doc_id").to_pylist(), batch.column("anchors").to_pylist()
             for first, block in blocks(_texts(batch.column("text"))):
                 words = Words(block)
@@ -170,7 +162,7 @@ def passages(by_group: DataFrame, texts: DataFrame, width: int = WINDOW) -> Data
     joined = per_home.join(texts.select(F.col("doc_id").alias("home"), "text"), "home")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in slices(batches):
             homes, numbers, found = [], [], []
             for home, text, wanted in zip(batch.column("home").to_pylist(), _texts(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
                 words = text.split()
@@ -260,7 +252,7 @@ def _streamed(docs: DataFrame, found: DataFrame, groups: int, width: int, emit,
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, automaton, ready = None, PassageAutomaton(width), False
-        for batch in _slices(batches):
+        for batch in slices(batches):
             names, out = batch.schema.names, []
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row = dict(zip(names, values, strict=True))

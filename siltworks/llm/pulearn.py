@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.textstats import COUNTS, text_counts
-from siltworks.llm.wordhash import blocks, encoded
+from siltworks.llm.wordhash import blocks, encoded, slices
 from siltworks.session import drop_scratch, scratch, ship_package
 
 #: Most trusted positives that fitting reads.
@@ -72,7 +72,7 @@ def feature_table(docs: DataFrame) -> DataFrame:
     """(doc_id, features as little-endian floats) for every row; null text counts as empty."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = features(encoded(batch.column("text").to_pylist()))
             packed = pa.array([r.tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed], ["doc_id", "features"])

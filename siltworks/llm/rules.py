@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.textstats import COUNTS, text_counts
-from siltworks.llm.wordhash import encoded
+from siltworks.llm.wordhash import encoded, slices
 from siltworks.session import scratch, ship_package
 
 #: Most false rejections of good documents by one rule in one stratum, and the chance that any bound fails.
@@ -63,7 +63,7 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ("lang",)) -> DataFrame:
     """doc_id, the carried columns and COUNTS for every whole text; null text counts as empty."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts = text_counts(encoded(batch.column("text").to_pylist()))
             columns = [batch.column(c) for c in ("doc_id", *carry)] + [pa.array(counts[:, i]) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *carry, *COUNTS])
@@ -166,7 +166,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataF
     the base alone rejects. Other columns of docs are ignored, whatever their names.
     """
     measured = scratch(measure(docs.select("doc_id", F.col(stratum).cast("string").alias("stratum_"), "text"), ("stratum_",)), "measured")
-    return _judged(measured, thresholds(measured, labels, "stratum_")).select(
+    cuts = scratch(thresholds(measured, labels, "stratum_"), "cutoffs")
+    return _judged(measured, cuts).select(
         "doc_id",
         *COUNTS[:5],
         base_failed().alias("base_failed"),
@@ -176,7 +177,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataF
 
 
 def _judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """measured with reasons, the rules that reject."""
+    """measured with reasons, the rules that reject. cuts is a written table, so Spark knows that its few rows can be broadcast."""
     own = cuts.select(F.col("stratum").alias("own_stratum"), *[F.col(k).alias(f"cut_{k}") for k in CUTOFFS])
     rejects = [F.when(score > F.col(f"cut_{rule}"), F.lit(rule)) for rule, score in rule_scores().items()]
     joined = measured.join(own, F.coalesce(F.col("stratum_"), F.lit("")) == F.col("own_stratum"), "left")
@@ -189,7 +190,7 @@ def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     names = docs.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts = text_counts(encoded(batch.column("d_text").to_pylist()))
             columns = [*batch.columns, *(pa.array(counts[:, i]) for i in range(len(COUNTS)))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *COUNTS])
@@ -198,5 +199,5 @@ def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") ->
     held = docs.select(*[F.col(f"`{n}`").alias(f"d_{n}") for n in names], F.col("doc_id"), F.col(stratum).cast("string").alias("stratum_"))
     schema = ", ".join(f"`{n}` {t}" for n, t in held.dtypes) + "".join(f", {c} long" for c in COUNTS)
     measured = scratch(held.mapInArrow(count, schema), "measured")
-    cuts = thresholds(measured, labels, "stratum_")
+    cuts = scratch(thresholds(measured, labels, "stratum_"), "cutoffs")
     return _judged(measured, cuts).where(F.size("reasons") == 0).select(*[F.col(f"`d_{n}`").alias(n) for n in names])

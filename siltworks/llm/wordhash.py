@@ -112,6 +112,13 @@ def blocks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
+def slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches in parts of a few rows, so that only so many texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def encoded(column) -> list[bytes]:
     """UTF-8 of a pandas column or list of texts; null is empty."""
     return [b"" if t is None or t != t else t.encode("utf-8", "surrogatepass") for t in column]
