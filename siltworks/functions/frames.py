@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from siltworks.session import scratch
 
-ROWS_PER_RANGE = 100_000
+#: Rows of one range of an order, and ranges at most (they grow beyond that).
+ROWS_PER_RANGE, MOST_RANGES = 250_000, 20_000
 
 
 def ranked(rows: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """Exact place (from 1) in the order of keys: ranges are sorted apart and shifted by the counts of the ranges before."""
     n = rows.count()
-    local = rows.repartitionByRange(max(1, -(-n // ROWS_PER_RANGE)), *keys).sortWithinPartitions(*keys)
+    local = rows.repartitionByRange(min(MOST_RANGES, max(1, -(-n // ROWS_PER_RANGE))), *keys).sortWithinPartitions(*keys)
     local = scratch(local.withColumn("rk", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("rk", 33)
     counts = local.groupBy(part.alias("rk_part")).agg(F.count(F.lit(1)).alias("rk_n"))

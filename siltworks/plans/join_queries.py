@@ -172,9 +172,10 @@ def review_status_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT a.p_partkey, b.p_partkey AS twin FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+SELECT p_partkey, original, n_copies FROM (SELECT p_partkey, min(p_partkey) OVER w AS original, count(*) OVER w AS n_copies FROM part WINDOW w AS (PARTITION BY p_type, p_brand, p_size)) WHERE n_copies > 1""")
 def same_size_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that differ in a copy mark with equal size; here parts of equal type, brand and size."""
+    """Names that differ in a copy mark with equal size; here parts of equal type, brand and size. Each names the first of its group, not every other."""
     keys = ["p_type", "p_brand", "p_size"]
     p = table(spark, sf_dir, "part").select("p_partkey", *keys)
-    return p.join(p.withColumnRenamed("p_partkey", "twin"), keys).where("p_partkey < twin").select("p_partkey", "twin")
+    groups = p.groupBy(*keys).agg(F.min("p_partkey").alias("original"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
+    return p.join(groups, keys).select("p_partkey", "original", "n_copies")
