@@ -102,5 +102,9 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def token_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The histogram with its suffix sums; an empty table gives no rows."""
+    """The histogram with its suffix sums.
+
+    Null and empty texts have length 0. Texts are encoded whole, however long. Documents of equal length are one row, and repeated rows count as
+    often as they come; doc_id and all other columns, null or not and whatever their names, are ignored. An empty table gives no rows.
+    """
     return suffix_sums(scratch(length_histogram(docs, path), "lengths"))
