@@ -3,7 +3,8 @@ import hashlib
 import brute
 import pytest
 from pyspark.sql import functions as F
-from siltworks.llm import components, neardup, passages
+from siltworks.llm import neardup, passages
+from siltworks.operators import links as components
 
 
 def near(docs):
