@@ -238,7 +238,8 @@ def train(table: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where(F.col("quality").isin(0, 1))
     rows = table.where(F.col("doc_id").isNotNull() & ~held_out())
     good = rows.join(known.where("quality = 1"), "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "features").limit(sample_rows)
-    positive = _matrix(good.select("features").collect())
+    # Written first: a limit that is collected at once sends every task's rows to the driver, one that is written goes through a task.
+    positive = _matrix(scratch(good.select("features"), "positives").collect())
     unlabelled = scratch(rows.join(known, "doc_id", "left_anti").select("features"), "unlabelled")
     if not len(positive) or unlabelled.isEmpty():
         return None
