@@ -69,6 +69,13 @@ def scratch(df: DataFrame, tag: str = "step") -> DataFrame:
     return out
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder under the shared checkpoint folder for files that tasks write themselves; removed like scratch tables."""
+    path = f"{checkpoint_root(spark)}/siltworks-{tag}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
