@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltworks.llm import hilbert, lengths, mixing, neardup, packing, passages, phrases, pulearn, render, repair, rules, whitening
+from siltworks.llm import hilbert, lengths, mixing, neardup, packing, passages, phrases, pulearn, render, repair, rules, tokenfiles, whitening
 from siltworks.session import table
 
 
@@ -54,6 +54,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.encoded_and_read(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_token_files": op12_token_files,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
