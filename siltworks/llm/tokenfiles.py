@@ -1,7 +1,7 @@
 """Token ids as files, with an index that finds a document by its key in constant time.
 
 Documents are sorted by key over ranges; each task encodes its range and writes shards: `NAME.ids` holds nothing but the ids, little-endian
-unsigned 32-bit, one document after the other, and `NAME.idx` finds them. The index is a minimal perfect hash of the shard's keys: levels of bit
+unsigned, of 16 bits if the vocabulary fits them and else of 32, one document after the other, and `NAME.idx` finds them. The index is a minimal perfect hash of the shard's keys: levels of bit
 arrays, where a key takes the bit it hits alone and goes one level down where it collides, so the count of set bits before its own numbers it
 without gaps. Its slot holds the key's fingerprint (a bijection of its 64 bits, so no other key ever passes for it), the first of its
 documents and their count; offsets of documents follow. A table of shards, a row each, says which keys and how many ids each holds.
@@ -100,6 +100,7 @@ def _ranks(words: np.ndarray) -> np.ndarray:
 class ShardIndex:
     """The index of one shard: documents are numbered in order of their keys, null keys first."""
 
+    width: int
     n_null: int
     hash: PerfectHash
     prints: np.ndarray
@@ -108,8 +109,8 @@ class ShardIndex:
     offsets: np.ndarray
 
     @staticmethod
-    def of(keys: np.ndarray, n_null: int, lengths: np.ndarray) -> ShardIndex:
-        """keys: of the documents with one, ascending; lengths: ids of all documents."""
+    def of(keys: np.ndarray, n_null: int, lengths: np.ndarray, width: int = 4) -> ShardIndex:
+        """keys: of the documents with one, ascending; lengths: ids of all documents; width: bytes of an id."""
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         distinct = keys[starts]
         found = PerfectHash.of(distinct)
@@ -118,7 +119,7 @@ class ShardIndex:
         prints[slots] = fingerprints(distinct)
         first[slots] = starts + n_null
         count[slots] = np.diff(np.concatenate((starts, [len(keys)])))
-        return ShardIndex(n_null, found, prints, first, count, np.concatenate(([0], np.cumsum(lengths))))
+        return ShardIndex(width, n_null, found, prints, first, count, np.concatenate(([0], np.cumsum(lengths))))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first document of each key and how many it has; none for keys that the shard does not hold."""
@@ -132,7 +133,7 @@ class ShardIndex:
 
     def to_bytes(self) -> bytes:
         h = self.hash
-        head = np.array([len(self.offsets) - 1, self.n_null, len(self.prints), len(h.sizes), len(h.words), len(h.rest)], "<i8")
+        head = np.array([self.width, len(self.offsets) - 1, self.n_null, len(self.prints), len(h.sizes), len(h.words), len(h.rest)], "<i8")
         parts = [h.sizes.astype("<i8"), h.words.astype("<u8"), h.rest.astype("<i8"), self.prints.astype("<u8"), self.first.astype("<i8"), self.count.astype("<i8"), self.offsets.astype("<i8")]
         body = b"".join(p.tobytes() for p in (head, *parts))
         return MAGIC + body + zlib.crc32(body).to_bytes(8, "little")
@@ -142,13 +143,18 @@ class ShardIndex:
         body = raw[8:-8]
         if raw[:8] != MAGIC or zlib.crc32(body) != int.from_bytes(raw[-8:], "little"):
             raise ValueError("not an index of token ids, or a damaged one")
-        n_docs, n_null, n_keys, n_levels, n_words, n_rest = np.frombuffer(body, "<i8", 6).tolist()
-        out, at = [], 48
+        width, n_docs, n_null, n_keys, n_levels, n_words, n_rest = np.frombuffer(body, "<i8", 7).tolist()
+        out, at = [], 56
         for n, kind in ((n_levels, "<i8"), (n_words, "<u8"), (n_rest, "<i8"), (n_keys, "<u8"), (n_keys, "<i8"), (n_keys, "<i8"), (n_docs + 1, "<i8")):
             out.append(np.frombuffer(body, kind, n, at))
             at += 8 * n
         sizes, words, rest, prints, first, count, offsets = out
-        return ShardIndex(n_null, PerfectHash(sizes, words, _ranks(words), rest), prints, first, count, offsets)
+        return ShardIndex(width, n_null, PerfectHash(sizes, words, _ranks(words), rest), prints, first, count, offsets)
+
+
+def id_width(ids: int) -> int:
+    """Bytes of an id of a vocabulary of so many ids."""
+    return 2 if ids <= 1 << 16 else 4
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -161,7 +167,8 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 class _ShardWriter:
     """Writes one shard under names of its own; close() gives them their real ones."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, width: int):
+        self.width = width
         self.store, path = _store(folder)
         self.store.create_dir(path, recursive=True)
         self.path, self.temporary = posixpath.join(path, name), posixpath.join(path, f".{name}-{uuid.uuid4().hex}")
@@ -169,7 +176,7 @@ class _ShardWriter:
         self.keys, self.lengths, self.n_null, self.n_ids = [], [], 0, 0
 
     def put(self, key: int | None, ids: bytes) -> None:
-        self.ids.write(ids)
+        self.ids.write(ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
         self.lengths.append(len(ids) // 4)
         self.n_ids += len(ids) // 4
         if key is None:
@@ -182,7 +189,7 @@ class _ShardWriter:
 
     def close(self) -> tuple:
         self.ids.close()
-        index = ShardIndex.of(np.array(self.keys, np.int64), self.n_null, np.array(self.lengths, np.int64))
+        index = ShardIndex.of(np.array(self.keys, np.int64), self.n_null, np.array(self.lengths, np.int64), self.width)
         with self.store.open_output_stream(f"{self.temporary}.idx") as out:
             out.write(index.to_bytes())
         for kind in (".ids", ".idx"):
@@ -200,8 +207,11 @@ class ShardReader:
         self.ids = store.open_input_file(posixpath.join(path, f"{name}.ids"))
 
     def document(self, number: int) -> bytes:
+        """Ids of a document, little-endian 32-bit whatever the file's width."""
         start, end = self.index.offsets[number : number + 2].tolist()
-        return self.ids.read_at(4 * (end - start), 4 * start)
+        width = self.index.width
+        raw = self.ids.read_at(width * (end - start), width * start)
+        return raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
     def close(self) -> None:
         self.ids.close()
@@ -226,6 +236,7 @@ def write_token_files(
         from pyspark import TaskContext
 
         part, coder, end = TaskContext.get().partitionId(), encoder(path), int(end_id).to_bytes(4, "little")
+        width = id_width(max(coder.tokenizer.get_vocab_size(), end_id + 1))
         done: list[tuple] = []
         writer = None
         for batch in batches:
@@ -234,7 +245,7 @@ def write_token_files(
                     done.append((part, len(done), *writer.close()))
                     writer = None
                 if writer is None:
-                    writer = _ShardWriter(folder, _name(part, len(done)))
+                    writer = _ShardWriter(folder, _name(part, len(done)), width)
                 writer.put(key, coder.ids(text.as_py() or "") + end)
         if writer is not None:
             done.append((part, len(done), *writer.close()))

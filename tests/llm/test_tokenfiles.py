@@ -77,6 +77,16 @@ def test_only_wanted_keys_with_their_ids(spark, tokenizer):
         assert ids == [*tokenizer.encode(f"word {key // 3} and more", add_special_tokens=False).ids, 2] and row.n_tokens == len(ids)
 
 
+def test_wide_ids(spark, tokenizer):
+    pairs = [(i, f"document {i}") for i in range(40)]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    folder = scratch_folder(spark, "tokens")
+    shards = tokenfiles.write_token_files(docs, folder, end_id=70_000, ranges=2)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in tokenfiles.look_up(spark, docs, shards, folder, with_ids=True).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 70_000] for i, t in pairs}
+    assert tokenfiles.id_width(1 << 16) == 2 and tokenfiles.id_width((1 << 16) + 1) == 4
+
+
 def test_files_hold_ids_and_nothing_else(spark, tokenizer):
     pairs = [(i, f"document {i}") for i in range(40)]
     folder = scratch_folder(spark, "tokens")
@@ -86,7 +96,7 @@ def test_files_hold_ids_and_nothing_else(spark, tokenizer):
     assert names == sorted(r.shard + kind for r in shards.collect() for kind in (".ids", ".idx"))
     raw = b"".join(open(os.path.join(path, n), "rb").read() for n in names if n.endswith(".ids"))
     whole = [i for _, t in pairs for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 2]]
-    assert np.frombuffer(raw, "<u4").tolist() == whole
+    assert np.frombuffer(raw, "<u2").tolist() == whole  # the vocabulary has fewer than 65,536 ids
     reader = ShardReader(folder, names[0].split(".")[0])
     first, count = reader.index.find(np.array([0, 10**9]))
     assert count.tolist() == [1, 0] and np.frombuffer(reader.document(int(first[0])), "<u4").tolist() == whole[: len(whole[: whole.index(2) + 1])]
