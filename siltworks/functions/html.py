@@ -73,6 +73,7 @@ def same_domain(a: Column, b: Column) -> Column:
 
 def normalise_link(base: str | None, link: str | None) -> str | None:
     """Absolute http(s) address without fragment and closing slash; null for fragments, mail and other schemes."""
+    link = (link or "").strip()
     if not link or not base or link.startswith(("#", "mailto:")):
         return None
     try:
@@ -89,18 +90,41 @@ def resolved_links(base: pd.Series, links: pd.Series) -> pd.Series:
     return pd.Series([[x for x in (normalise_link(b, y) for y in (ls if ls is not None else [])) if x] for b, ls in zip(base, links, strict=True)])
 
 
+class _Links(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__()
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.found += [v for k, v in dict(attrs).items() if tag == "a" and k == "href" and v]
+
+
+def links_of(base: str | None, html: str | None) -> list[str]:
+    """Absolute addresses that a page's anchors lead to, in order, as often as they come."""
+    parser = _Links()
+    parser.feed(html or "")
+    parser.close()
+    return [x for x in (normalise_link(base, y) for y in parser.found) if x]
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def page_links(base: pd.Series, html: pd.Series) -> pd.Series:
+    return pd.Series([links_of(b, h) for b, h in zip(base, html, strict=True)])
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.hidden = 0
+        self.hidden: list[str] = []  # open tags that hide; only the end of the innermost one shows text again
         self.parts: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.hidden += tag in ("script", "style", "noscript")
+        if tag in ("script", "style", "noscript"):
+            self.hidden.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style", "noscript") and self.hidden:
-            self.hidden -= 1
+        if self.hidden and self.hidden[-1] == tag:
+            self.hidden.pop()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden and data.strip():

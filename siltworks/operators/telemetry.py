@@ -61,6 +61,12 @@ def ring_buffer(events: DataFrame, order: Sequence[str], size: int = 200) -> Dat
     return events.orderBy(*[F.col(c).desc() for c in order]).limit(size)
 
 
+def last_events(events: DataFrame, key: Sequence[str], order: Sequence[str], size: int = 200) -> DataFrame:
+    """The last size events of each key. Each task keeps only its own last ones of a key before the shuffle."""
+    latest = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return events.withColumn("le_place", F.row_number().over(latest)).where(F.col("le_place") <= size).drop("le_place")
+
+
 def prometheus_lines(name: str, help_text: str, kind: str, samples: DataFrame, labels: Sequence[str], value: str) -> DataFrame:
     """Text exposition: HELP and TYPE, then a line per sample, in order of line."""
     pairs = F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), label_escape(F.coalesce(F.col(k).cast("string"), F.lit(""))), F.lit('"')) for k in sorted(labels)])

@@ -71,6 +71,11 @@ def crawl_health_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.crawl_health(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_id") % 3 != 0).select("event_id", "state")
 
 
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.last_events(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], 20).select("event_id", "user_id")
+
+
 @query("SELECT event_type, count(*) AS n_callbacks FROM events GROUP BY event_type")
 def hook_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_callbacks"))
