@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import package_prefixes
+from siltworks.operators.seeking import relationship_keys
 from siltworks.session import drop_scratch, scratch
 
 
@@ -87,9 +88,9 @@ def neighbourhood(edges: DataFrame, focus: object, depth: int, most_nodes: int,
     return found.withColumn("truncated", F.lit(cut))
 
 
-def relationship_order(type_: str = "relationship_type", id_: str = "relationship_id") -> list[Column]:
+def relationship_order() -> list[Column]:
     """Type, source, target (or what it is not resolved to), path, line, column, id."""
-    return [F.col(type_), F.col("source_id"), F.coalesce("target_id", "unresolved_target", F.lit("")), F.col("relative_path"), F.col("line"), F.col("column"), F.col(id_)]
+    return [key.order() for key in relationship_keys()]
 
 
 def neighbourhood_edges(edges: DataFrame, nodes: DataFrame, order: list[Column], most_edges: int = 200, src: str = "src", dst: str = "dst") -> DataFrame:

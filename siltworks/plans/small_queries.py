@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions import html as H
@@ -34,17 +34,12 @@ rel AS (SELECT o_orderkey AS relationship_id, CASE WHEN o_orderkey % 2 = 0 THEN
 ordered AS (SELECT *, row_number() OVER (ORDER BY relationship_type, source_id, COALESCE(target_id::VARCHAR, unresolved_target, ''), relative_path, line, col, relationship_id) AS place FROM rel)"""
 
 
-def _order() -> list:
-    return [F.col("relationship_type"), F.col("source_id"), F.coalesce(F.col("target_id").cast("string"), "unresolved_target", F.lit("")), F.col("relative_path"), F.col("line"), F.col("column"), F.col("relationship_id")]
-
-
 @query(f"WITH {_RELATIONS} SELECT relationship_id, place FROM ordered WHERE place <= 500")
 def relationship_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 500 relationships in their order."""
-    rows = _relations(spark, sf_dir).orderBy(*_order()).limit(500)
-    from pyspark.sql import Window
-
-    return rows.select("relationship_id", F.row_number().over(Window.orderBy(*_order())).cast("long").alias("place"))
+    order = G.relationship_order()
+    rows = _relations(spark, sf_dir).orderBy(*order).limit(500)
+    return rows.select("relationship_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
 @query(f"""
@@ -52,7 +47,7 @@ WITH {_RELATIONS}, near AS (SELECT *, row_number() OVER (ORDER BY place) AS rank
 SELECT relationship_id, n > 150 AS truncated FROM near WHERE rank <= 150""")
 def neighbourhood_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = spark.range(0, 21).select(F.col("id").alias("node"))
-    return G.neighbourhood_edges(_relations(spark, sf_dir), nodes, _order(), 150, "source_id", "target_id").select("relationship_id", "truncated")
+    return G.neighbourhood_edges(_relations(spark, sf_dir), nodes, G.relationship_order(), 150, "source_id", "target_id").select("relationship_id", "truncated")
 
 
 @query("SELECT o_orderkey, COALESCE(p_name, 'unknown:' || o_orderkey) AS node_label FROM orders LEFT JOIN part ON o_orderkey = p_partkey")

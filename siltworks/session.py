@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,15 +58,48 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 _scratch: list[tuple[SparkSession, str]] = []
+_owners: dict[str, str] = {}
+_local = threading.local()
+
+
+@contextmanager
+def owning_scratch(owner: str, check: Callable[[], None]) -> Iterator[None]:
+    """While it holds, scratch tables of this thread belong to owner, and check() is called before each of them; it may raise to end the work."""
+    _local.owner, _local.check = owner, check
+    try:
+        yield
+    finally:
+        _local.owner = _local.check = None
+
+
+def drop_scratch_of(owner: str) -> None:
+    """Delete the scratch tables of an owner, half-written ones too."""
+    for spark, path in list(_scratch):
+        if _owners.get(path) == owner:
+            _forget(spark, path)
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    _scratch.append((spark, path))
+    if getattr(_local, "owner", None):
+        _owners[path] = _local.owner
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    _scratch.remove((spark, path))
+    _owners.pop(path, None)
+    _delete(spark, path)
 
 
 def scratch(df: DataFrame, tag: str = "step") -> DataFrame:
     """Write df as Parquet under the shared checkpoint folder and read it back: lineage ends here,
     so a lost executor costs a reread, not a recomputation. Removed at exit or by drop_scratch()."""
+    if getattr(_local, "check", None):
+        _local.check()
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/siltworks-{tag}-{uuid.uuid4().hex}"
+    _remember(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    _scratch.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._siltworks_path = path
     return out
@@ -72,7 +108,7 @@ def scratch(df: DataFrame, tag: str = "step") -> DataFrame:
 def scratch_folder(spark: SparkSession, tag: str) -> str:
     """A new folder under the shared checkpoint folder for files that tasks write themselves; removed like scratch tables."""
     path = f"{checkpoint_root(spark)}/siltworks-{tag}-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    _remember(spark, path)
     return path
 
 
@@ -89,8 +125,7 @@ def drop_scratch(*frames: DataFrame) -> None:
     paths = {getattr(f, "_siltworks_path", None) for f in frames}
     for spark, path in list(_scratch):
         if not frames or path in paths:
-            _scratch.remove((spark, path))
-            _delete(spark, path)
+            _forget(spark, path)
 
 
 def scratch_paths() -> frozenset[str]:
@@ -103,8 +138,7 @@ def drop_scratch_since(before: frozenset[str], *kept: DataFrame) -> None:
     paths = before | {getattr(f, "_siltworks_path", None) for f in kept}
     for spark, path in list(_scratch):
         if path not in paths:
-            _scratch.remove((spark, path))
-            _delete(spark, path)
+            _forget(spark, path)
 
 
 atexit.register(drop_scratch)

@@ -10,9 +10,9 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siltworks.functions.text import masked_path, matches_any_glob, safe_relative_path
+from siltworks.operators.scans import first_fit
 
 # What counts as a log, folders that are never walked, names that are never shown.
 LOG_SUFFIXES = (".log", ".txt", ".out", ".json", ".jsonl")
@@ -109,52 +109,11 @@ def inspect_candidates(files: DataFrame, excludes: Sequence[str] = ()) -> DataFr
 
 
 def running_limits(files: DataFrame, most_files: int = MOST_FILES, most_bytes: int = MOST_TOTAL_BYTES) -> DataFrame:
-    """Marks files, in order of path, that no longer fit a limit on count or bytes; one that is skipped uses up nothing. What a file uses depends on
-    those before it, so the paths and sizes of one repository (bounded by its listing) go through one task."""
-
-    def fold(batches: Iterator) -> Iterator:
-        count = used = 0
-        for batch in batches:
-            marks = []
-            for size, reason in zip(batch["size_bytes"], batch["exclusion_reason"], strict=True):
-                if reason is None and count < most_files and used + size <= most_bytes:
-                    count, used = count + 1, used + size
-                    marks.append(None)
-                else:
-                    marks.append(reason or "limit-reached")
-            yield batch.assign(exclusion_reason=marks)
-
+    """Marks files, in order of path, that no longer fit a limit on count or bytes; one that is skipped uses up nothing."""
     columns = files.select("relative_path", "size_bytes", "exclusion_reason")
-    return columns.coalesce(1).sortWithinPartitions("relative_path").mapInPandas(fold, columns.schema)
-
-
-class PagedSource(DataSource):
-    """A paginated listing as a table: option fetch names a function (page token) -> (rows, next token or None). No network is used here; tests give
-    an in-process fetcher."""
-
-    fetchers: dict[str, Callable[[str | None], tuple[Iterable[tuple], str | None]]] = {}
-
-    @classmethod
-    def name(cls) -> str:
-        return "siltworks_paged"
-
-    def schema(self) -> str:
-        return self.options.get("schema", "id string, title string, content string")
-
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _PagedReader(self.options)
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.pages = json.loads(options.get("pages", "[]"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(len(self.pages))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for row in self.pages[partition.value]:
-            yield tuple(row)
+    fitted = first_fit(columns, ["relative_path"], "size_bytes", most_files, most_bytes, F.col("exclusion_reason").isNull())
+    reason = F.coalesce("exclusion_reason", F.when(~F.col("fits"), "limit-reached"))
+    return fitted.select("relative_path", "size_bytes", reason.alias("exclusion_reason"))
 
 
 def list_examples(spark: SparkSession, path: str, adapter: str | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 from siltworks.operators import code, cycles, diffing, findings, graph, handoff, lifecycle, logs, paging, telemetry
-from siltworks.sources import readers, sinks
+from siltworks.sources import paged, readers, sinks
 
 LOG = """META tool="pytest" ecosystem="python" command="run tests" status=failed summary="Sample failure" timestamp=2025-01-01T00:00:00
 TESTS passed=2 failed=1 skipped=0 duration=12.5
@@ -298,7 +298,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.read_section(spark, f"{tmp_path}/snap", "files", "s2").count() == 3
     sinks.write_atomically(f"{tmp_path}/r/x.md", "hi")
     assert (tmp_path / "r/x.md").read_text() == "hi"
-    spark.dataSource.register(readers.PagedSource)
+    spark.dataSource.register(paged.PagedSource)
     pages = spark.read.format("siltworks_paged").option("pages", '[[["1","a","x"]],[["2","b","y"]]]').load()
     assert sorted(r["id"] for r in pages.collect()) == ["1", "2"]
     sinks.write_csv(spark.range(3), f"{tmp_path}/csv")
