@@ -140,7 +140,8 @@ def matches_any_glob(path: Column, patterns: Sequence[str]) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    return path.rlike(r"(^|/)tests?/") | path.rlike(r"(^|/)test_[^/]*\.py$") | path.rlike(r"(^|/)[^/]*_test\.py$")
+    """A folder test or tests, or a file test_*.py or *_test.py, in any case of letters."""
+    return path.rlike(r"(?i)(^|/)tests?/") | path.rlike(r"(?i)(^|/)test_[^/]*\.py$") | path.rlike(r"(?i)(^|/)[^/]*_test\.py$")
 
 
 def module_name(path: Column) -> Column:

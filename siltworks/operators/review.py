@@ -204,19 +204,22 @@ def symbol_metrics(facts: DataFrame, edges: DataFrame, groups: DataFrame) -> Dat
     )
 
 
-def analyse(files: DataFrame, policy: findings.Policy = findings.Policy()) -> DataFrame:
-    """Findings of all rules for a table of files (relative_path, content): scan, resolve, measure, judge."""
+def analyse(files: DataFrame, policy: findings.Policy = findings.Policy(), repository_id: str = "repository") -> DataFrame:
+    """Findings of all rules for a table of files (relative_path, content): scan, resolve, measure, judge, and one record for each finding_id, with what it
+    says, what it rests on and the nodes it is about. subject joins the keys by commas; value and threshold are those of the first of merged places."""
     facts = scratch(scan_sources(files), "facts")
     edges = scratch(relationships(facts), "edges")
+    nodes = scratch(graph_nodes(modules_of(facts), symbols_of(facts)).select("node_id", "qualified_name"), "nodes")
     rings = {kind: scratch(cycle_members(edges, kind), "rings") for kind in ("imports", "inherits")}
-    modules, symbols = module_metrics(facts, edges, rings["imports"]), symbol_metrics(facts, edges, rings["inherits"])
-    shaped = modules.select("module_name", "relative_path", F.col("file_line_count").alias("line_count"), F.col("resolved_fan_in").alias("fan_in"), F.col("resolved_fan_out").alias("fan_out"))
-    out = findings.module_findings(shaped, policy)
+    modules = module_metrics(facts, edges, rings["imports"])
+    symbols = scratch(symbol_metrics(facts, edges, rings["inherits"]), "symbols")
+    shaped = modules.select("module_name", "relative_path", F.col("file_line_count").alias("line_count"), F.col("resolved_fan_in").alias("fan_in"), F.col("resolved_fan_out").alias("fan_out"), F.col("module_id").alias("node_id"))
     named = symbols.withColumnsRenamed(
         {"source_line_span": "span", "cyclomatic_complexity": "complexity", "maximum_nesting": "nesting", "parameter_count": "parameters", "resolved_inheritance_depth": "depth",
-         "inheritance_cycle_membership": "in_cycle", "nearby_test_evidence": "nearby_test"}
+         "inheritance_cycle_membership": "in_cycle", "nearby_test_evidence": "nearby_test", "symbol_id": "node_id"}
     )
-    out = out.unionByName(findings.symbol_findings(named, policy))
+    out = findings.module_findings(shaped, policy).unionByName(findings.symbol_findings(named, policy))
+    out = out.unionByName(findings.repeated_names(named), allowMissingColumns=True)
     for kind, ring in rings.items():
-        out = out.unionByName(findings.cycle_findings(ring, kind))
-    return out
+        out = out.unionByName(findings.named_cycles(ring, nodes, kind), allowMissingColumns=True)
+    return findings.record(out, repository_id)

@@ -110,7 +110,7 @@ _ALL_RULES = " UNION ALL ".join(
 
 @query(f"WITH {_SYMBOLS}, {_KEPT} {_ALL_RULES}")
 def symbol_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.symbol_findings(symbols(spark, sf_dir))
+    return R.symbol_findings(symbols(spark, sf_dir)).drop("node_id", "kind")
 
 
 @query("""

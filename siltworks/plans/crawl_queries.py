@@ -55,18 +55,18 @@ pops{d} AS (SELECT p.* FROM (
     SELECT crawl, pos, url, CASE WHEN failed THEN 'error' WHEN reason IS NULL THEN 'page' ELSE 'skip' END AS outcome, reason FROM judged{d}
     UNION ALL SELECT f.crawl, f.pos, f.url, 'skip', 'duplicate' FROM front{d} f JOIN first{d} x ON f.crawl = x.crawl AND f.url = x.url AND f.pos > x.first) p
   LEFT JOIN stop{d} s ON s.crawl = p.crawl WHERE stop IS NULL OR pos <= stop),
-met{d} AS (SELECT j.crawl, j.pos, l.at, l.url, s.stop, CASE WHEN l.url LIKE 'http://other.%' THEN 'external-domain' WHEN blocked(j.crawl, l.url) THEN 'robots' END AS reason
+met{d} AS (SELECT j.crawl, j.pos, l.li, l.url, s.stop, CASE WHEN l.url LIKE 'http://other.%' THEN 'external-domain' WHEN blocked(j.crawl, l.url) THEN 'robots' END AS reason
   FROM judged{d} j LEFT JOIN stop{d} s ON s.crawl = j.crawl JOIN links l ON l.src = j.url WHERE j.reason IS NULL AND NOT failed AND (stop IS NULL OR j.pos < stop)),
-front{d + 1} AS (SELECT m.crawl, m.url, row_number() OVER (ORDER BY m.crawl, m.pos, m.at) AS pos FROM met{d} m LEFT JOIN first{d} x ON x.crawl = m.crawl AND x.url = m.url
+front{d + 1} AS (SELECT m.crawl, m.url, row_number() OVER (ORDER BY m.crawl, m.pos, m.li) AS pos FROM met{d} m LEFT JOIN first{d} x ON x.crawl = m.crawl AND x.url = m.url
   WHERE m.reason IS NULL AND m.stop IS NULL AND (x.first IS NULL OR x.first > m.pos)),"""
 
 
 def _events_sql() -> str:
     parts = []
     for d in range(MOST_DEPTH + 1):
-        parts.append(f"SELECT crawl, {d} AS level, pos, -1 AS at, url, {d} AS depth, outcome, reason FROM pops{d}")
+        parts.append(f"SELECT crawl, {d} AS level, pos, -1 AS li, url, {d} AS depth, outcome, reason FROM pops{d}")
         if d < MOST_DEPTH:
-            parts.append(f"SELECT crawl, {d}, pos, at, url, {d + 1}, 'skip', reason FROM met{d} WHERE reason IS NOT NULL")
+            parts.append(f"SELECT crawl, {d}, pos, li, url, {d + 1}, 'skip', reason FROM met{d} WHERE reason IS NOT NULL")
     return " UNION ALL ".join(parts)
 
 
@@ -74,10 +74,10 @@ _SITE_SQL = r"""
 num AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS k, count(*) OVER (PARTITION BY host) AS n
   FROM (SELECT page_id, html, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host FROM pages)),
 store AS (SELECT 'http://' || host || '/p' || k AS url, CASE page_id % 11 WHEN 3 THEN 'application/pdf' ELSE 'text/html' END AS kind, 'h' || (length(html) % 12) AS hash, CASE WHEN page_id % 13 = 7 THEN 'timeout' END AS err FROM num),
-hrefs AS (SELECT host, k, n, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS at FROM (SELECT host, k, n, regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1) AS h FROM num)),
-links AS (SELECT 'http://' || host || '/p' || k AS src, at, CASE WHEN (length(href) + at) % 9 = 0 THEN 'http://other.example.org/x' ELSE 'http://' || host || '/p' || ((k * 3 + length(href) + at) % (n + 1)) END AS url FROM hrefs),
+hrefs AS (SELECT host, k, n, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS li FROM (SELECT host, k, n, regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"', 1) AS h FROM num)),
+links AS (SELECT 'http://' || host || '/p' || k AS src, li, CASE WHEN (length(href) + li) % 9 = 0 THEN 'http://other.example.org/x' ELSE 'http://' || host || '/p' || ((k * 3 + length(href) + li) % (n + 1)) END AS url FROM hrefs),
 front0 AS (SELECT DISTINCT host AS crawl, 'http://' || host || '/p0' AS url, 0 AS pos FROM num),"""
-_EVENTS_SQL = f"WITH {_SITE_SQL}{''.join(_level_sql(d) for d in range(MOST_DEPTH + 1))} ev AS ({_events_sql()}), placed AS (SELECT crawl, row_number() OVER (PARTITION BY crawl ORDER BY level, pos, at) AS place, url, depth, outcome, reason FROM ev)"
+_EVENTS_SQL = f"WITH {_SITE_SQL}{''.join(_level_sql(d) for d in range(MOST_DEPTH + 1))} ev AS ({_events_sql()}), placed AS (SELECT crawl, row_number() OVER (PARTITION BY crawl ORDER BY level, pos, li) AS place, url, depth, outcome, reason FROM ev)"
 _BLOCKED = "(length({0}) % 3 = 0 AND substr({1}, length('http://' || {0}) + 1) LIKE '/p1%' AND substr({1}, length('http://' || {0}) + 1) NOT LIKE '/p12%')"
 for _crawl, _url in (("f.crawl", "f.url"), ("j.crawl", "l.url")):
     _EVENTS_SQL = _EVENTS_SQL.replace(f"blocked({_crawl}, {_url})", _BLOCKED.format(_crawl, _url))

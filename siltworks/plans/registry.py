@@ -28,5 +28,5 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
     return put
 
 
-for _module in ("text_queries", "page_queries", "read_queries", "join_queries", "diff_queries", "telemetry_queries", "graph_queries", "array_queries", "log_queries", "code_queries", "review_queries", "small_queries", "record_queries", "crawl_queries", "seek_queries"):
+for _module in ("text_queries", "page_queries", "read_queries", "join_queries", "diff_queries", "telemetry_queries", "graph_queries", "array_queries", "log_queries", "code_queries", "review_queries", "small_queries", "record_queries", "crawl_queries", "seek_queries", "finding_queries"):
     importlib.import_module(f"siltworks.plans.{_module}")
