@@ -24,6 +24,8 @@ SEED = 7
 #: Words of a block at most; small tables get smaller blocks so that rounding stays small.
 BLOCK_WORDS = 64
 BLOCKS_PER_GROUP = 256
+#: Shards that share one line of quotas, and documents of a shard.
+SHARDS_PER_ROW = 1024
 DOCS_PER_SHARD = 1024
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,6 +89,12 @@ def highest_quotients(
     return offers.groupBy(*keep, "mx_low").agg(won.alias("mx_won")).select(*keep, (F.col("mx_low") + F.col("mx_won")).alias(out))
 
 
+def _apportioned(claims: DataFrame, seats: str, whole: str, size: str, blocks: str, group: list[str], tie: str, out: str) -> DataFrame:
+    """Seats of each group to its claims by size, none more than MAX_EPOCHS times its blocks."""
+    share = F.coalesce(F.try_divide((F.col(seats) * F.col(size)).cast("double"), F.col(whole)), F.lit(0.0))
+    return highest_quotients(claims, seats, share, F.col(size), F.col(blocks) * MAX_EPOCHS, group, [tie], out)
+
+
 def mix_plan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken, the carried columns, and the line of its shard: mx_start, mx_block, mx_quota,
     mx_blocks and mx_begin (see selected()).
@@ -96,14 +104,15 @@ def mix_plan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     first. Texts are counted whole, however long. A table without rows or words takes nothing. Columns other than doc_id, text, source and the
     carried ones are ignored, whatever their names.
 
-    The number of shards grows with the table, so windows over a shard's documents do not; windows over one source's shards hold a
-    row for every DOCS_PER_SHARD documents, and those over sources one row each.
+    The number of shards grows with the table, so windows over a shard's documents do not. Quotas go from a source to rows of SHARDS_PER_ROW shards, then
+    to the shards of each, so a window holds the shards of a row, or a line for every million documents of a source; windows over
+    sources hold one line each.
     """
     rows = docs.select(
         F.col("doc_id").alias("mx_doc"),
         F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))).alias("mx_key"),
         word_count(F.col("text")).alias("mx_size"),
-        _half_of_md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))).alias("mx_hash"),
+        _half_of_md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))).alias("mx_hash"),
         *[F.col(c).alias(f"mx_c_{c}") for c in carry],
     )
     if not carry:
@@ -127,16 +136,11 @@ def mix_plan(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         "mx_source_quota",
     )
     parts = groups.join(quota, "mx_key").withColumn("mx_blocks", F.ceil(F.col("mx_group_size") / F.col("mx_block")).cast("long"))
-    parts = highest_quotients(
-        parts,
-        "mx_source_quota",
-        F.coalesce(F.try_divide((F.col("mx_source_quota") * F.col("mx_group_size")).cast("double"), F.col("mx_source_size")), F.lit(0.0)),
-        F.col("mx_group_size"),
-        F.col("mx_blocks") * MAX_EPOCHS,
-        ["mx_key"],
-        ["mx_shard"],
-        "mx_quota",
-    )
+    parts = parts.withColumn("mx_row", F.floor(F.col("mx_shard") / SHARDS_PER_ROW))
+    shelves = parts.groupBy("mx_key", "mx_row", "mx_source_size", "mx_source_quota").agg(F.sum("mx_group_size").alias("mx_row_size"), F.sum("mx_blocks").alias("mx_row_blocks"))
+    shelves = _apportioned(shelves, "mx_source_quota", "mx_source_size", "mx_row_size", "mx_row_blocks", ["mx_key"], "mx_row", "mx_row_quota")
+    parts = parts.join(shelves.select("mx_key", "mx_row", "mx_row_size", "mx_row_quota"), ["mx_key", "mx_row"])
+    parts = _apportioned(parts, "mx_row_quota", "mx_row_size", "mx_group_size", "mx_blocks", ["mx_key", "mx_row"], "mx_shard", "mx_quota")
     start = _half_of_md5(F.concat_ws(":", F.lit(SEED), "mx_key", "mx_shard")) % F.greatest("mx_blocks", F.lit(1))
     parts = scratch(parts.select("mx_key", "mx_shard", "mx_source_size", "mx_target", "mx_block", "mx_blocks", "mx_quota", start.alias("mx_begin")), "quotas")
     line = Window.partitionBy("mx_key", "mx_shard").orderBy("mx_hash", "mx_doc", "mx_size").rowsBetween(Window.unboundedPreceding, 0)
@@ -198,11 +202,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     return rows.select(*[made.get(c, F.col(f"mx_c_{c}")).alias(c) for c in docs.columns])
 
 
-ORACLE_SQL = rf"""
+def oracle_sql() -> str:
+    """The mix as DuckDB SQL."""
+    return rf"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
     COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('{SEED}:' || COALESCE(doc_id::VARCHAR, '-')), 1, 15))::BIGINT AS h
+    ('0x' || substr(md5('{SEED}:' || COALESCE(doc_id::VARCHAR, '-') || ':' || md5(COALESCE(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
 n AS (SELECT greatest(1, (count(*) + {DOCS_PER_SHARD - 1}) // {DOCS_PER_SHARD}) AS shards FROM d),
 r AS (SELECT d.*, h % shards AS sh FROM d, n),
@@ -225,13 +231,21 @@ o1 AS (SELECT k, place, target, free, unnest(range(low, high)) AS seat FROM s9),
 o2 AS (SELECT k, free, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, place, seat) AS rk FROM o1),
 q AS (SELECT s9.k, s9.ss, s9.target, s9.b, s9.low + COALESCE(won, 0) AS quota FROM s9
   LEFT JOIN (SELECT k, count(*) AS won FROM o2 WHERE rk <= free GROUP BY k) USING (k)),
-p1 AS (SELECT g.k, g.sh, g.gs, q.ss, q.target, q.b, q.quota, ((g.gs + q.b - 1) // q.b) AS nb FROM g JOIN q USING (k)),
-p2 AS (SELECT *, COALESCE((quota * gs)::DOUBLE / ss, 0) AS share, count(*) OVER (PARTITION BY k) AS claims FROM p1),
+p1 AS (SELECT g.k, g.sh, g.sh // {SHARDS_PER_ROW} AS rw, g.gs, q.ss, q.target, q.b, q.quota AS source_quota, ((g.gs + q.b - 1) // q.b) AS nb FROM g JOIN q USING (k)),
+v1 AS (SELECT k, rw, ss, source_quota, sum(gs)::BIGINT AS gs, sum(nb)::BIGINT AS nb FROM p1 GROUP BY ALL),
+v2 AS (SELECT *, COALESCE((source_quota * gs)::DOUBLE / ss, 0) AS share, count(*) OVER (PARTITION BY k) AS claims FROM v1),
+v3 AS (SELECT *, floor(share * claims / (2 * greatest(source_quota, 1)))::BIGINT + 2 AS slack FROM v2),
+v4 AS (SELECT *, least(greatest(0, floor(share)::BIGINT - slack), {MAX_EPOCHS} * nb) AS low, least(floor(share)::BIGINT + slack + 1, {MAX_EPOCHS} * nb) AS high FROM v3),
+v5 AS (SELECT *, source_quota - sum(low) OVER (PARTITION BY k) AS free FROM v4),
+v6 AS (SELECT k, rw, gs, free, unnest(range(low, high)) AS seat FROM v5),
+v7 AS (SELECT k, rw, free, row_number() OVER (PARTITION BY k ORDER BY gs / (2 * seat + 1) DESC, rw, seat) AS rk FROM v6),
+v AS (SELECT v5.k, v5.rw, v5.gs AS rs, (v5.low + COALESCE(won, 0))::BIGINT AS quota FROM v5 LEFT JOIN (SELECT k, rw, count(*) AS won FROM v7 WHERE rk <= free GROUP BY k, rw) USING (k, rw)),
+p2 AS (SELECT p1.*, v.quota, COALESCE((v.quota * p1.gs)::DOUBLE / v.rs, 0) AS share, count(*) OVER (PARTITION BY p1.k, p1.rw) AS claims FROM p1 JOIN v USING (k, rw)),
 p3 AS (SELECT *, floor(share * claims / (2 * greatest(quota, 1)))::BIGINT + 2 AS slack FROM p2),
 p4 AS (SELECT *, least(greatest(0, floor(share)::BIGINT - slack), {MAX_EPOCHS} * nb) AS low, least(floor(share)::BIGINT + slack + 1, {MAX_EPOCHS} * nb) AS high FROM p3),
-p5 AS (SELECT *, quota - sum(low) OVER (PARTITION BY k) AS free FROM p4),
-o3 AS (SELECT k, sh, gs, free, unnest(range(low, high)) AS seat FROM p5),
-o4 AS (SELECT k, sh, free, row_number() OVER (PARTITION BY k ORDER BY gs / (2 * seat + 1) DESC, sh, seat) AS rk FROM o3),
+p5 AS (SELECT *, quota - sum(low) OVER (PARTITION BY k, rw) AS free FROM p4),
+o3 AS (SELECT k, rw, sh, gs, free, unnest(range(low, high)) AS seat FROM p5),
+o4 AS (SELECT k, sh, free, row_number() OVER (PARTITION BY k, rw ORDER BY gs / (2 * seat + 1) DESC, sh, seat) AS rk FROM o3),
 p AS (SELECT p5.k, p5.sh, p5.ss, p5.target, p5.b, p5.nb, (p5.low + COALESCE(won, 0))::BIGINT AS quota,
     ('0x' || substr(md5('{SEED}:' || p5.k || ':' || p5.sh), 1, 15))::BIGINT % greatest(p5.nb, 1) AS o
   FROM p5 LEFT JOIN (SELECT k, sh, count(*) AS won FROM o4 WHERE rk <= free GROUP BY k, sh) USING (k, sh)),
@@ -243,3 +257,6 @@ t AS (SELECT *, e - size AS s,
       + CASE WHEN (((e - size) // b + 1) * m + o) // n1 > (((e - size) // b) * m + o) // n1 THEN (e - size) % b ELSE 0 END AS ts FROM l)
 SELECT doc_id, size, ss AS source_size, target, (CASE WHEN nb > 0 THEN quota // n1 ELSE 0 END * size + te - ts)::BIGINT AS taken FROM t
 """
+
+
+ORACLE_SQL = oracle_sql()
