@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.operators.links import components
@@ -195,6 +195,37 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     return comps.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("members")).join(counted, "component")
 
 
+def _set_digest(value: Column) -> list[Column]:
+    """Count and two sums of digests of some values, as aggregates: the same for equal multisets, in whatever order and however they are combined."""
+    digest = F.md5(value.cast("string"))
+    half = lambda start: F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return [F.count(F.lit(1)).cast("string"), half(1), half(16)]
+
+
+def cycle_identities(edges: DataFrame, relationship_type: str) -> DataFrame:
+    """(component, cycle_key, cycle_id, n_members, n_edges) of groups of nodes on common cycles. The key stands for the type and the members, the id for the edges
+    among them as well; neither knows an order, so they are summed up before the shuffle and no row holds a component."""
+    edges = scratch(edges.select("src", "dst"), "edges")
+    comps = scratch(strong_components(edges), "scc")
+    members = comps.groupBy("component").agg(F.concat_ws(":", *_set_digest(F.col("node"))).alias("m"), F.count(F.lit(1)).alias("n_members"))
+    ends = edges.join(comps.select(F.col("node").alias("src"), F.col("component").alias("cs")), "src").join(comps.select(F.col("node").alias("dst"), F.col("component").alias("cd")), "dst")
+    edge = F.concat(F.col("src").cast("string"), F.lit(">"), F.col("dst").cast("string"))
+    inner = ends.where("cs = cd").groupBy(F.col("cs").alias("component")).agg(F.concat_ws(":", *_set_digest(edge)).alias("e"), F.count(F.lit(1)).alias("n_edges"))
+    named = F.concat(F.lit(f"{relationship_type}|"), F.col("m"))
+    return members.join(inner, "component").select(
+        "component", F.sha2(named, 256).alias("cycle_key"), F.sha2(F.concat(named, F.lit("|"), F.col("e")), 256).alias("cycle_id"), "n_members", "n_edges"
+    )
+
+
+def cycle_changes(before: DataFrame, after: DataFrame, before_uncertain: bool = False, after_uncertain: bool = False) -> DataFrame:
+    """(cycle_key, change_type, baseline_cycle_id, target_cycle_id) over the union of two sets of cycle_identities; a cycle that both have is no change. Where a
+    side may be incomplete, what it lacks was not observed rather than added or removed."""
+    one = before.select("cycle_key", F.col("cycle_id").alias("baseline_cycle_id"))
+    joined = one.join(after.select("cycle_key", F.col("cycle_id").alias("target_cycle_id")), "cycle_key", "full").where("baseline_cycle_id IS NULL OR target_cycle_id IS NULL")
+    came, went = "not-observed-in-baseline" if before_uncertain else "added", "not-observed-in-target" if after_uncertain else "removed"
+    return joined.select("cycle_key", F.when(F.col("baseline_cycle_id").isNull(), came).otherwise(went).alias("change_type"), "baseline_cycle_id", "target_cycle_id")
+
+
 def settled_block(pairs: Iterable[tuple], known: dict) -> dict:
     """Depth of each child whose parents are all known or settle within the block."""
     waiting: dict = {}

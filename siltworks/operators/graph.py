@@ -68,14 +68,13 @@ def neighbourhood(edges: DataFrame, focus: object, depth: int, most_nodes: int,
     at most most_nodes. Levels are bounded by most_nodes, so the frontier that each join carries is small."""
     if not 1 <= depth <= 3 or not 1 <= most_nodes <= 100:
         raise ValueError("limits out of range")
-    ends = F.explode(F.array(F.struct(F.col(src).alias("a"), F.col(dst).alias("b")), F.struct(F.col(dst).alias("a"), F.col(src).alias("b"))))
-    both = edges.select(ends.alias("e")).select("e.*").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     kind = dict(edges.dtypes)[src]
     found = edges.sparkSession.createDataFrame([(focus, 0, 1)], f"node {kind}, distance int, rank int")
-    front, have, cut = found, 1, False
+    front, have, cut, known, at = found, 1, False, [focus], [focus]
     for level in range(1, depth + 1):
-        seen = found.select(F.col("node").alias("b"))
-        near = both.join(F.broadcast(front.select(F.col("node").alias("a"), "rank")), "a").join(F.broadcast(seen), "b", "left_anti")
+        # At most most_nodes ids each way, as filters that a scan can take.
+        met = [edges.where(F.col(a).isin(at) & ~F.col(b).isin(known)).select(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in ((src, dst), (dst, src))]
+        near = met[0].unionByName(met[1]).join(F.broadcast(front.select(F.col("node").alias("a"), "rank")), "a")
         ranked = near.groupBy("b").agg(F.min("rank").alias("via"))
         room = most_nodes - have
         rows = ranked.orderBy("via", "b").limit(room + 1).collect()  # at most most_nodes + 1 rows
@@ -84,7 +83,8 @@ def neighbourhood(edges: DataFrame, focus: object, depth: int, most_nodes: int,
         if not rows:
             break
         front = edges.sparkSession.createDataFrame([(r["b"], level, have + i + 1) for i, r in enumerate(rows)], f"node {kind}, distance int, rank int")
-        found, have = found.unionByName(front), have + len(rows)
+        at = [r["b"] for r in rows]
+        found, have, known = found.unionByName(front), have + len(rows), known + at
     return found.withColumn("truncated", F.lit(cut))
 
 

@@ -35,7 +35,8 @@ def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
         after = scratch(small, "links")
         drop_scratch(now)
         now = after
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("decimal(38,0)"))).first())
+        sums = [F.sum(F.xxhash64(*[F.lit(seed), *ends]).cast("decimal(38,0)")) for seed, ends in ((1, ("a", "b")), (2, ("b", "a")))]
+        seen = tuple(now.agg(F.count(F.lit(1)), *sums).first())  # 128 bits over all links
         if seen == mark:
             break
         mark = seen

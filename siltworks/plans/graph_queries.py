@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltworks.operators import cycles
 from siltworks.operators import graph as G
 from siltworks.plans.registry import query
-from siltworks.session import table
+from siltworks.session import scratch, table
 
 
 #: Parts of one run of keys, beyond which no edge goes; the closure's size grows with its square.
@@ -91,6 +91,35 @@ def cycle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("members", F.concat(F.lit("["), F.array_join(F.col("members").cast("array<string>"), ", "), F.lit("]")))
 
 
+_HALVES = "count(*) || ':' || sum(('0x' || substr(md5({0}), 1, 15))::BIGINT) || ':' || sum(('0x' || substr(md5({0}), 16, 15))::BIGINT)"
+
+
+def _identity_sql(edges: str, out: str) -> str:
+    """Closure, components and identities of the edges of one table, as SQL."""
+    return f"""
+r_{out} AS (SELECT src, dst FROM {edges} UNION SELECT r_{out}.src, x.dst FROM r_{out} JOIN {edges} x ON r_{out}.dst = x.src),
+c_{out} AS (SELECT a.src AS node, min(least(a.src, a.dst)) AS component FROM r_{out} a JOIN r_{out} b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+m_{out} AS (SELECT component, count(*) AS n_members, 'depends|' || {_HALVES.format("node::VARCHAR")} AS m FROM c_{out} GROUP BY component),
+i_{out} AS (SELECT c1.component, count(*) AS n_edges, {_HALVES.format("x.src || '>' || x.dst")} AS e FROM {edges} x JOIN c_{out} c1 ON x.src = c1.node JOIN c_{out} c2 ON x.dst = c2.node WHERE c1.component = c2.component GROUP BY 1),
+{out} AS (SELECT component, sha256(m) AS cycle_key, sha256(m || '|' || e) AS cycle_id, n_members, n_edges FROM m_{out} JOIN i_{out} USING (component))"""
+
+
+@query(f"WITH RECURSIVE {_EDGES}, {_identity_sql('e', 'found')} SELECT * FROM found")
+def cycle_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.cycle_identities(_part_edges(spark, sf_dir).where("dst IS NOT NULL"), "depends")
+
+
+@query(f"""
+WITH RECURSIVE {_EDGES}, l AS (SELECT * FROM e WHERE src % 21 <> 3), n AS (SELECT * FROM e WHERE src % 15 <> 4), {_identity_sql("l", "old")}, {_identity_sql("n", "new")}
+SELECT cycle_key, CASE WHEN old.cycle_id IS NULL THEN 'added' ELSE 'not-observed-in-target' END AS change_type, old.cycle_id AS baseline_cycle_id, new.cycle_id AS target_cycle_id
+FROM old FULL JOIN new USING (cycle_key) WHERE old.cycle_id IS NULL OR new.cycle_id IS NULL""")
+def cycle_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles that only one of two states of the graph has; the later one may be incomplete."""
+    edges = scratch(_part_edges(spark, sf_dir).where("dst IS NOT NULL"), "edges")
+    old, new = (cycles.cycle_identities(edges.where(f"src % {a} <> {b}"), "depends") for a, b in ((21, 3), (15, 4)))
+    return cycles.cycle_changes(old, new, after_uncertain=True)
+
+
 _PARENTS = "p AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1 UNION ALL SELECT 1001 + i, 1001 + (i + 1) % 3 FROM range(3) t(i) UNION ALL SELECT 1010, 1001)"
 
 

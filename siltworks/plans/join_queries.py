@@ -55,11 +55,11 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 47)
+WITH a AS (SELECT DISTINCT user_id AS k FROM events), b AS (SELECT c_custkey AS k FROM customer)
 SELECT k, 'left' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'right' FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def both_ways_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "k")
-    return J.both_ways(items.where("l_returnflag = 'R' AND l_quantity > 45"), items.where("l_linestatus = 'O' AND l_quantity > 47"), "k")
+    """Users that are no customers, and customers that are no users."""
+    return J.both_ways(table(spark, sf_dir, "events").select(F.col("user_id").alias("k")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), "k")
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS generation FROM orders")
@@ -67,17 +67,15 @@ def generation_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.generations(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "generation")
 
 
-_TARGETS = "t AS (SELECT p_type AS name, count(DISTINCT p_partkey) AS n, min(p_partkey) AS target FROM part WHERE p_size < 6 GROUP BY 1)"
-
-
-@query(f"""
-WITH {_TARGETS} SELECT p_partkey, p_type, CASE WHEN n = 1 THEN 'resolved-static' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved-dynamic' END AS resolution_status,
-  CASE WHEN n = 1 THEN target END AS target_id FROM part LEFT JOIN t ON p_type = name""")
+@query("""
+WITH t AS (SELECT p_name AS name, count(DISTINCT p_partkey) AS n, min(p_partkey) AS target FROM part GROUP BY 1), r AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_name || '?' ELSE p_name END AS name FROM part)
+SELECT p_partkey, r.name, CASE WHEN n = 1 THEN 'resolved-static' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved-dynamic' END AS resolution_status, CASE WHEN n = 1 THEN target END AS target_id FROM r LEFT JOIN t ON r.name = t.name""")
 def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    targets = parts.where("p_size < 6").select(F.col("p_type").alias("name"), F.col("p_partkey").alias("target"))
-    refs = parts.select("p_partkey", F.col("p_type").alias("name"))
-    return J.resolve_names(refs, targets, "name", "target").select("p_partkey", F.col("name").alias("p_type"), "resolution_status", "target_id")
+    """References by name to all parts; some names are not there, some are shared."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    targets = parts.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("target"))
+    refs = parts.select("p_partkey", F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit("?"))).otherwise(F.col("p_name")).alias("name"))
+    return J.resolve_names(refs, targets, "name", "target").select("p_partkey", "name", "resolution_status", "target_id")
 
 
 @query("""

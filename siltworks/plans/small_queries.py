@@ -99,9 +99,15 @@ def flat_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT 'f' || p_partkey AS name, (p_size % 20 + 2 + [0, 1, 0, 2, 2, 2, 1][p_partkey % 7 + 1])::INT AS score FROM part""")
 def script_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def body(content: bytes) -> list:
+        try:
+            return ast.parse(content).body
+        except (SyntaxError, ValueError):  # a file that cannot be parsed has no functions
+            return []
+
     def score(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            rows = [(x.name, C.script_complexity(x)) for content in batch["content"] for x in ast.parse(bytes(content)).body if isinstance(x, ast.FunctionDef)]
+            rows = [(x.name, C.script_complexity(x)) for content in batch["content"] for x in body(bytes(content)) if isinstance(x, ast.FunctionDef)]
             yield pd.DataFrame({"name": [r[0] for r in rows], "score": [r[1] for r in rows]})
 
     ship_package(spark)

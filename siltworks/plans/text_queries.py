@@ -76,11 +76,14 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT item_id, length(text)::BIGINT AS n, list_transform(range(1, 17), lambda i: CASE WHEN i <= length(text) THEN unicode(substr(text, i::BIGINT, 1)) ELSE 0 END)::VARCHAR AS ids FROM benchmark""")
+SELECT item_id, length(text)::BIGINT AS n, list_transform(range(1, (SELECT max(length(text)) FROM benchmark) + 1), lambda i: CASE WHEN i <= length(text) THEN unicode(substr(text, i::BIGINT, 1)) ELSE 0 END)::VARCHAR AS ids FROM benchmark""")
 def token_ids_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.transform(F.split(F.substring("text", 1, 16), ""), lambda c: F.ascii(c))
-    ids = V.padded(F.when(F.length("text") == 0, F.array().cast("array<int>")).otherwise(codes), 16)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.length("text").cast("long").alias("n"), F.concat(F.lit("["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]")).alias("ids"))
+    """Ids of whole texts, filled up to the longest one."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.length("text").cast("long").alias("n"))
+    longest = items.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    codes = F.transform(F.split("text", ""), lambda c: F.ascii(c))
+    ids = V.padded(F.when(F.col("n") == 0, F.array().cast("array<int>")).otherwise(codes), longest)
+    return items.select("item_id", "n", F.concat(F.lit("["), F.array_join(ids.cast("array<string>"), ", "), F.lit("]")).alias("ids"))
 
 
 @query(r"""
@@ -216,3 +219,26 @@ def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
     groups = d.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
     return d.join(groups, "h").select("doc_id", "first_doc", "n")
+
+
+_PIECES = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+')"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
+ph AS (SELECT phrase, row_number() OVER (ORDER BY phrase) AS rank FROM (SELECT t[3] AS phrase FROM w WHERE len(t) >= 3 UNION SELECT t[5] || ' ' || t[6] FROM w WHERE len(t) >= 6 UNION SELECT t[7] || ' ' || t[8] || ' ' || t[9] FROM w WHERE len(t) >= 9)),
+p AS (SELECT doc_id, {_PIECES} AS p FROM documents),
+s AS (SELECT doc_id, p, unnest(range(CASE WHEN regexp_matches(p[1], '^[\\p{{L}}\\p{{N}}_]') THEN 1 ELSE 2 END, len(p) + 1, 2)) AS i FROM p WHERE len(p) > 0),
+g AS (SELECT DISTINCT doc_id, r FROM (SELECT doc_id, unnest([p[i], CASE WHEN i + 2 <= len(p) THEN p[i] || p[i + 1] || p[i + 2] END, CASE WHEN i + 4 <= len(p) THEN p[i] || p[i + 1] || p[i + 2] || p[i + 3] || p[i + 4] END]) AS r FROM s)),
+f AS (SELECT doc_id, phrase, rank, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS n FROM g JOIN ph ON r = phrase)
+SELECT doc_id, phrase, rank FROM f WHERE n <= 15""")
+def dictionary_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fifteen phrases of a large dictionary, made of one, two and three words of every document, that each document holds."""
+    from siltworks.functions.frames import ranked
+    from siltworks.operators import keywords
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.regexp_extract_all(F.lower("text"), F.lit(keywords.WORD), F.lit(0)).alias("t"))
+    run = lambda first, last: F.when(F.size("t") >= last, F.array_join(F.slice("t", first, last - first + 1), " "))
+    made = words.select(F.explode(F.array(run(3, 3), run(5, 6), run(7, 9))).alias("phrase")).where("phrase IS NOT NULL").distinct()
+    return keywords.found_phrases(docs, "doc_id", "text", ranked(made, ["phrase"], "rank"))
