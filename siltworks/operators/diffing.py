@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.functions.values import metric_delta
+from siltworks.functions.values import canonical_json, metric_delta, stable_digest
+
+# Fixed value: version of what delta ids stand for.
+COMPARISON_FORMAT_VERSION = "2"
 
 SECTIONS = ("files", "symbols", "relationships", "cycles", "metrics", "findings")
 CHANGES = ("added", "removed", "changed", "not-observed-in-baseline", "not-observed-in-target")
@@ -47,6 +50,22 @@ def snapshot_diff(
     return out if unchanged else out.where("change_type <> 'unchanged'")
 
 
+def delta_id(section: Column, logical_key: Column, change_type: Column, baseline: Column, target: Column) -> Column:
+    """Identity of a difference: the digest of its canonical JSON. baseline and target are structs (fields in order of name), booleans or strings, null where a
+    side has nothing."""
+    fields = {"format_version": F.lit(COMPARISON_FORMAT_VERSION), "section": section, "logical_key": logical_key, "change_type": change_type, "baseline": baseline, "target": target}
+    return stable_digest("comparison-delta", canonical_json(fields))
+
+
+def section_deltas(diff: DataFrame, section: str, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Rows of snapshot_diff as differences of a section: section, logical_key (keys joined by |), change_type, delta_id and both sides' fields."""
+    logical = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+    gone, new = F.col("change_type").isin("removed", "not-observed-in-target"), F.col("change_type").isin("added", "not-observed-in-baseline")
+    side = lambda name: F.struct(*[F.col(f"{name}_{f}").alias(f) for f in sorted(fields)])
+    identity = delta_id(F.lit(section), logical, F.col("change_type"), F.when(~new, side("old")), F.when(~gone, side("new")))
+    return diff.select(F.lit(section).alias("section"), logical.alias("logical_key"), "change_type", identity.alias("delta_id"), *[f"{s}_{f}" for f in fields for s in ("old", "new")])
+
+
 def occurrence_diff(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str], fields: Sequence[str], **uncertain: bool) -> DataFrame:
     """Multisets aligned by occurrence: the n-th row of a key on one side meets the n-th on the other."""
     numbered = [s.withColumn("occurrence", F.row_number().over(Window.partitionBy(*key).orderBy(*order))) for s in (old, new)]

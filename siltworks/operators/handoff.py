@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.text import markdown_escape
 
+# Version of the rendered form, and the sections that may be asked for.
+HANDOFF_FORMAT_VERSION = "2"
+HANDOFF_SECTIONS = ("comparison", "files", "symbols", "relationships", "cycles", "metrics", "findings", "task-objective")
+SELECTION_CAP, OBJECTIVE_CHARS = 500, 2000
 SECTION_CAP, FINDING_CAP, NOTE_CAP, NOTE_CHARS = 50, 50, 20, 1000
 
 
@@ -22,6 +26,37 @@ def capped(rows: DataFrame, section: str, order: Sequence[Column | str], cap: in
     return kept.join(totals, section).withColumn("n_omitted", F.greatest(F.col("n_total") - cap, F.lit(0)))
 
 
+def selected(deltas: DataFrame, delta_ids: Sequence[str], enabled: Sequence[str], cycle_ids: Sequence[str] = (), cap: int = SECTION_CAP) -> DataFrame:
+    """The chosen differences (section, logical_key, delta_id, ...), the first cap of each section by key and id, with n_total and n_omitted. cycle_ids choose
+    differences of the section cycles by baseline_cycle_id or target_cycle_id. Refused are sections that do not exist, ids that no difference
+    has, and ids of sections that are not enabled. A selection is bounded, and so is what is read of it here."""
+    unknown = set(enabled) - set(HANDOFF_SECTIONS)
+    if unknown:
+        raise ValueError(f"unsupported section: {', '.join(sorted(unknown))}")
+    if len(delta_ids) + len(cycle_ids) > SELECTION_CAP:
+        raise ValueError(f"at most {SELECTION_CAP} selections")
+    if cycle_ids and "cycles" not in enabled:
+        raise ValueError("a selected cycle belongs to a disabled section")
+    ends = [c for c in ("baseline_cycle_id", "target_cycle_id") if c in deltas.columns]
+    chosen = F.col("delta_id").isin(list(delta_ids))
+    for end in ends:
+        chosen = chosen | ((F.col("section") == "cycles") & F.col(end).isin(list(cycle_ids)))
+    rows = deltas.where(F.coalesce(chosen, F.lit(False)))
+    found = rows.select("section", "delta_id", *ends).distinct().limit(2 * SELECTION_CAP + 1).collect()
+    if set(delta_ids) - {r["delta_id"] for r in found}:
+        raise ValueError("a selected difference is unknown or stale")
+    if set(cycle_ids) - {r[end] for r in found for end in ends}:
+        raise ValueError("a selected cycle is unknown or stale")
+    if {r["section"] for r in found} - set(enabled):
+        raise ValueError("a selected difference belongs to a disabled section")
+    return capped(rows, "section", ["logical_key", "delta_id"], cap)
+
+
+def rendered_digest(markdown: str, body: str, version: str = HANDOFF_FORMAT_VERSION) -> str:
+    """Digest of exactly what was rendered: version, Markdown and JSON with a zero byte between each."""
+    return hashlib.sha256(b"\x00".join(x.encode() for x in (version, markdown, body))).hexdigest()
+
+
 def markdown_rows(rows: DataFrame, section: str, label: str, change: str) -> DataFrame:
     return rows.withColumn("line", F.concat(F.lit("- **"), F.col(change), F.lit("** "), markdown_escape(F.col(label))))
 
@@ -48,9 +83,8 @@ def render(required: Mapping, optional: Mapping[str, Sequence], notes: Sequence[
     trailer = "\n\n[truncated]"
     if len(text) > most_chars:
         text = text[: most_chars - len(trailer)] + trailer
-    digest = hashlib.sha256(b"handoff\x00" + body.encode() + b"\x00" + text.encode()).hexdigest()
-    return {"json": body, "markdown": text, "digest": digest, "truncated": text.endswith(trailer)}
+    return {"json": body, "markdown": text, "digest": rendered_digest(text, body), "truncated": text.endswith(trailer)}
 
 
 def verify(saved: Mapping) -> bool:
-    return hashlib.sha256(b"handoff\x00" + saved["json"].encode() + b"\x00" + saved["markdown"].encode()).hexdigest() == saved["digest"]
+    return rendered_digest(saved["markdown"], saved["json"]) == saved["digest"]

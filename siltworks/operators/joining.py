@@ -105,3 +105,11 @@ def is_subset(part: DataFrame, whole: DataFrame, key: str) -> DataFrame:
     """(is_subset): whether every key of part is one of whole, as one row."""
     missing = part.select(key).join(whole.select(key), key, "left_anti")
     return missing.agg((F.count(F.lit(1)) == 0).alias("is_subset"))
+
+
+def copies_of_same_size(files: DataFrame, folder: str, name: str, size: str) -> DataFrame:
+    """(folder, name, original) of files whose name before the last suffix ends in a copy mark, a blank and one digit in brackets, where a file of the same folder
+    has the name without it and the same size. Files without a suffix are no copies."""
+    mark = r"^(.*) \([0-9]\)(\.[^.]*)$"
+    marked = files.where(F.col(name).rlike(mark)).select(folder, F.col(name).alias("copy"), size, F.concat(F.regexp_extract(name, mark, 1), F.regexp_extract(name, mark, 2)).alias(name))
+    return marked.join(files.select(folder, name, size), [folder, name, size]).select(folder, F.col("copy").alias(name), F.col(name).alias("original")).distinct()

@@ -5,7 +5,7 @@ A document's lines become an array that higher-order functions fold, so parsing
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -184,8 +184,8 @@ def _issue_line(x: Column) -> Column:
     return F.concat(F.lit("- "), x["message"], F.when(x["code"].isNotNull(), F.concat(F.lit(" ["), x["code"], F.lit("]"))).otherwise(""), F.when(x["file"].isNotNull(), F.concat(F.lit(" ("), place, F.lit(")"))).otherwise(""))
 
 
-def markdown_report() -> Column:
-    """The record as Markdown: title, facts, then eight sections apart by blank lines."""
+def markdown_report(guardrails: Mapping[str, object] | None = None, generated: Column | None = None) -> Column:
+    """The record as Markdown: title and facts (with the time of the report, if it is given), then seven sections apart by blank lines."""
     def section(title: str, *body: Column) -> Column:
         return F.concat_ws("\n\n", F.lit(f"## {title}"), *body)
 
@@ -196,7 +196,9 @@ def markdown_report() -> Column:
             F.when(F.size("warnings") > 0, F.concat(F.lit("### Warnings\n\n"), F.array_join(F.transform("warnings", _issue_line), "\n"))),
         )
     )
-    case = lambda c: F.concat(F.lit("- "), c["name"], F.lit(": "), c["status"], F.when(c["duration"].isNotNull(), F.format_string(" (%.2fs)", c["duration"])).otherwise(""), F.when(c["message"].isNotNull(), F.concat(F.lit(" - "), c["message"])).otherwise(""))
+    said = lambda c: F.when(F.length(F.coalesce(c["message"], F.lit(""))) > 0, F.concat(F.lit(": "), c["message"])).otherwise("")
+    took = lambda c: F.when(c["duration"].isNotNull(), F.format_string(" (%.2fs)", c["duration"])).otherwise("")
+    case = lambda c: F.concat(F.lit("- "), c["name"], F.lit(" — "), c["status"], took(c), said(c))
     tests = F.when(F.col("tests").isNull(), F.lit("No test results were provided.")).otherwise(
         F.concat_ws(
             "\n\n",
@@ -209,15 +211,19 @@ def markdown_report() -> Column:
                 F.when(F.col("tests.duration").isNotNull(), F.format_string("- Duration: %.2fs", "tests.duration")),
             ),
             F.lit("### Cases"),
-            F.when(F.size("tests.cases") > 0, F.array_join(F.transform("tests.cases", case), "\n")).otherwise("No test cases were provided."),
+            F.when(F.size("tests.cases") > 0, F.array_join(F.transform("tests.cases", case), "\n")).otherwise("No individual test cases were reported."),
         )
     )
-    files = F.when(F.size("artifacts") > 0, F.array_join(F.transform("artifacts", lambda a: F.concat(F.lit("- "), a)), "\n")).otherwise("No artifacts recorded.")
+    files = F.when(F.size("artifacts") > 0, F.array_join(F.transform("artifacts", lambda a: F.concat(F.lit("  - "), a)), "\n")).otherwise("No artifacts recorded.")
     meta = F.when(
         F.size("metadata") > 0, F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"])), "\n")
     ).otherwise("No additional metadata captured.")
     head = F.concat(F.lit("# "), F.col("tool"), F.lit(" Report\n\n- **Ecosystem:** "), F.col("ecosystem"), F.lit("\n- **Command:** `"), F.col("command"), F.lit("`\n- **Status:** "), F.col("status"), F.lit("\n- **Severity:** "), severity())
-    return F.concat_ws("\n\n", head, section("Summary", F.col("summary")), section("Explanation", explanation()), section("Issues", issues), section("Tests", tests), section("Artifacts", files), section("Metadata", meta))
+    if generated is not None:
+        head = F.concat(head, F.lit("\n- **Generated:** "), generated)
+    rails = [f"- {k}: {', '.join(map(str, v)) if isinstance(v, list | tuple) else v}" for k, v in sorted((guardrails or {}).items())]
+    guards = F.lit("\n".join(rails) or "No guardrail configuration available.")
+    return F.concat_ws("\n\n", head, section("Summary", F.col("summary")), section("Explanation", explanation()), section("Issues", issues), section("Tests", tests), section("Guardrails", guards), section("Artifacts", files), section("Metadata", meta))
 
 
 def json_report() -> Column:
@@ -229,7 +235,7 @@ def json_report() -> Column:
 FORMATTERS = {"json": json_report, "markdown": markdown_report}
 
 
-def report(rows: DataFrame, kind: str) -> DataFrame:
+def report(rows: DataFrame, kind: str, **how: object) -> DataFrame:
     if kind not in FORMATTERS:
         raise ValueError(f"unknown report format: {kind}")
-    return rows.withColumn("report", FORMATTERS[kind]())
+    return rows.withColumn("report", FORMATTERS[kind](**how))

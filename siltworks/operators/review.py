@@ -148,8 +148,20 @@ def cycle_members(edges: DataFrame, kind: str) -> DataFrame:
     return cycles.cycle_groups(sure.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")))
 
 
-def _counted(edges: DataFrame, end: str, out: str) -> DataFrame:
-    return edges.groupBy(F.col(end).alias("k")).agg(F.count(F.lit(1)).alias(out))
+def _tallied(*parts: tuple[DataFrame, str, str]) -> DataFrame:
+    """(k, a count for each part): how often each key stands in a column of each part; parts are (rows, column, name). One aggregate for all of them."""
+    tall = None
+    for rows, column, name in parts:
+        one = rows.select(F.col(column).alias("k"), F.lit(name).alias("m"))
+        tall = one if tall is None else tall.unionByName(one)
+    return tall.where("k IS NOT NULL").groupBy("k").agg(*[F.count_if(F.col("m") == name).alias(name) for _, _, name in parts])
+
+
+def _with(rows: DataFrame, key: str, tallies: DataFrame) -> DataFrame:
+    """rows with the counts of their key, 0 where there is none."""
+    names = [c for c in tallies.columns if c != "k"]
+    joined = rows.join(tallies, F.col(key) == F.col("k"), "left").drop("k")
+    return joined.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in names})
 
 
 def tested_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:
@@ -158,10 +170,6 @@ def tested_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return _resolved(edges, "imports").join(tests, "source_id", "left_semi").select(F.col("target_id").alias("k")).distinct()
 
 
-def _with(rows: DataFrame, key: str, counts: DataFrame, name: str) -> DataFrame:
-    return rows.join(counts, F.col(key) == F.col("k"), "left").drop("k").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
-
-
 def module_metrics(facts: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
     """The nine metrics of each module, one column each; groups are the import cycles."""
     modules, symbols = modules_of(facts), symbols_of(facts)
@@ -174,9 +182,11 @@ def module_metrics(facts: DataFrame, edges: DataFrame, groups: DataFrame) -> Dat
     rows = modules.withColumnRenamed("line_count", "file_line_count").join(own, F.col("module_name") == F.col("k"), "left").drop("k", "exports", "is_package")
     rows = rows.fillna(0, ["class_count", "function_method_count", "public_symbol_count", "total_symbol_count"])
     imports = _resolved(edges, "imports")
-    rows = _with(_with(rows, "module_id", _counted(imports, "target_id", "resolved_fan_in"), "resolved_fan_in"), "module_id", _counted(imports, "source_id", "resolved_fan_out"), "resolved_fan_out")
-    rows = _with(rows, "module_id", groups.select(F.explode("members").alias("k"), F.lit(1).alias("import_cycle_membership")), "import_cycle_membership")
-    return _with(rows, "module_id", tested_modules(modules, edges).withColumn("nearby_test_evidence", F.lit(1)), "nearby_test_evidence")
+    tallies = _tallied(
+        (imports, "target_id", "resolved_fan_in"), (imports, "source_id", "resolved_fan_out"),
+        (groups.select(F.explode("members").alias("k")), "k", "import_cycle_membership"), (tested_modules(modules, edges), "k", "nearby_test_evidence"),
+    )
+    return _with(rows, "module_id", tallies)
 
 
 def symbol_metrics(facts: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
@@ -191,11 +201,13 @@ def symbol_metrics(facts: DataFrame, edges: DataFrame, groups: DataFrame) -> Dat
         }
     )
     rows = rows.withColumnsRenamed({"parameters": "parameter_count", "nesting": "maximum_nesting", "complexity": "cyclomatic_complexity"})
-    rows = _with(_with(rows, "symbol_id", _counted(inherits, "source_id", "direct_parent_count"), "direct_parent_count"), "symbol_id", _counted(inherits, "target_id", "direct_child_count"), "direct_child_count")
-    rows = _with(rows, "symbol_id", groups.select(F.explode("members").alias("k"), F.lit(1).alias("inheritance_cycle_membership")), "inheritance_cycle_membership")
-    rows = _with(rows, "relative_path", tested_modules(modules, edges).withColumn("nearby_test_evidence", F.lit(1)), "nearby_test_evidence")
+    rows = _with(rows, "relative_path", _tallied((tested_modules(modules, edges), "k", "nearby_test_evidence")))
     incoming = edges.where("relationship_type <> 'contains' AND target_id IS NOT NULL").where(F.col("resolution_status").isin(*RESOLVED))
-    rows = _with(rows, "symbol_id", _counted(incoming, "target_id", "incoming"), "incoming")
+    tallies = _tallied(
+        (inherits, "source_id", "direct_parent_count"), (inherits, "target_id", "direct_child_count"),
+        (groups.select(F.explode("members").alias("k")), "k", "inheritance_cycle_membership"), (incoming, "target_id", "incoming"),
+    )
+    rows = _with(rows, "symbol_id", tallies)
     depths = cycles.longest_depth(inherits.select(F.col("source_id").alias("child"), F.col("target_id").alias("parent")))
     keep = ["symbol_id", "qualified_name", "display_name", "kind", "module_name", "relative_path", "line", "visibility", "documented", "top_level", "exported", "incoming"]
     return rows.join(depths.select(F.col("node").alias("symbol_id"), F.col("depth").alias("resolved_inheritance_depth")), "symbol_id", "left").select(

@@ -75,8 +75,8 @@ def prometheus_lines(name: str, help_text: str, kind: str, samples: DataFrame, l
     return head.unionByName(lines)
 
 
-def crawl_health(events: DataFrame, key: Sequence[str], order: Sequence[str], failed: Column, limit: int = 3) -> DataFrame:
-    """State after each event: degraded after limit failures in a row, healthy after a success, running before either."""
+def crawl_health(events: DataFrame, key: Sequence[str], order: Sequence[str], failed: Column, limit: int = 1) -> DataFrame:
+    """State after each event: degraded after limit failures in a row (one that is final is enough), healthy after a success, running before either."""
     line = Window.partitionBy(*key).orderBy(*order)
     since = F.sum(F.when(failed, 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0))
     rows = events.withColumn("ch_failed", failed).withColumn("ch_since", since)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.operators import diffing as D
+from siltworks.operators import handoff as Hand
 from siltworks.operators import lifecycle as L
 from siltworks.plans.registry import query
-from siltworks.session import table
+from siltworks.session import scratch, table
 
 _OLD = "o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS v FROM orders WHERE o_orderkey % 10 <> 0)"
 _NEW = "n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 9 <> 0)"
@@ -30,6 +31,32 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.snapshot_diff(*_sides(spark, sf_dir), ["k"], ["s"])
 
 
+_DELTAS = f"""
+x AS (SELECT COALESCE(o.k, n.k) AS k, {_KIND} AS change_type, o.k IS NOT NULL AS has_o, n.k IS NOT NULL AS has_n, o.s AS os, n.s AS ns, o.v AS ov, n.v AS nv FROM o FULL JOIN n ON o.k = n.k),
+d AS (SELECT k::VARCHAR AS logical_key, change_type, sha256('comparison-delta' || chr(0) || '{{"baseline":' || CASE WHEN has_o THEN '{{"s":"' || os || '"}}' ELSE 'null' END || ',"change_type":"' || change_type || '","format_version":"2","logical_key":"' || k
+  || '","section":"files","target":' || CASE WHEN has_n THEN '{{"s":"' || ns || '"}}' ELSE 'null' END || '}}' || chr(10)) AS delta_id FROM x WHERE change_type <> 'unchanged')"""
+
+
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.section_deltas(D.snapshot_diff(*_sides(spark, sf_dir), ["k"], ["s"]), "files", ["k"], ["s"])
+
+
+@query(f"WITH {_OLD}, {_NEW}, {_DELTAS} SELECT 'files' AS section, logical_key, change_type, delta_id FROM d")
+def comparison_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of two states of all orders, with their ids."""
+    return _deltas(spark, sf_dir).select("section", "logical_key", "change_type", "delta_id")
+
+
+@query(f"""
+WITH {_OLD}, {_NEW}, {_DELTAS}, c AS (SELECT * FROM d ORDER BY logical_key, delta_id LIMIT 60)
+SELECT logical_key, delta_id, 60::BIGINT AS n_total, 10::BIGINT AS n_omitted FROM c ORDER BY logical_key, delta_id LIMIT 50""")
+def selected_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selection of sixty differences, of which an export takes fifty."""
+    deltas = scratch(_deltas(spark, sf_dir), "deltas")
+    ids = [r["delta_id"] for r in deltas.orderBy("logical_key", "delta_id").limit(60).collect()]
+    return Hand.selected(deltas, ids, ["files"]).select("logical_key", "delta_id", "n_total", "n_omitted")
+
+
 @query(f"""
 WITH {_OLD}, {_NEW} SELECT * FROM (SELECT COALESCE(o.k, n.k) AS k, replace({_KIND}, 'removed', 'not-observed-in-target') AS change_type, o.s AS old_s, n.s AS new_s FROM o FULL JOIN n ON o.k = n.k) WHERE change_type <> 'unchanged'""")
 def truncated_target_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

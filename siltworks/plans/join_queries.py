@@ -177,3 +177,14 @@ def same_size_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", *keys)
     groups = p.groupBy(*keys).agg(F.min("p_partkey").alias("original"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
     return p.join(groups, keys).select("p_partkey", "original", "n_copies")
+
+
+@query("""
+WITH f AS (SELECT o_custkey AS folder, o_orderstatus || (o_orderkey % 3) || CASE WHEN o_orderkey % 4 = 0 THEN ' (' || (o_orderkey % 7) || ')' WHEN o_orderkey % 4 = 1 THEN ' (' || (o_orderkey % 7 + 10) || ')' ELSE '' END || '.png' AS name, o_orderkey % 2 AS size FROM orders)
+SELECT DISTINCT c.folder, c.name, o.name AS original FROM f c JOIN f o ON c.folder = o.folder AND c.size = o.size AND regexp_matches(c.name, '^.* \\([0-9]\\)\\.png$') AND o.name = regexp_replace(c.name, ' \\([0-9]\\)\\.png$', '.png')""")
+def marked_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a folder that are marked as copies of another one of equal size."""
+    k = F.col("o_orderkey")
+    mark = F.when(k % 4 == 0, F.concat(F.lit(" ("), (k % 7).cast("string"), F.lit(")"))).when(k % 4 == 1, F.concat(F.lit(" ("), (k % 7 + 10).cast("string"), F.lit(")"))).otherwise("")
+    files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("folder"), F.concat("o_orderstatus", (k % 3).cast("string"), mark, F.lit(".png")).alias("name"), (k % 2).alias("size"))
+    return J.copies_of_same_size(files, "folder", "name", "size")

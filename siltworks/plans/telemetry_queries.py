@@ -66,7 +66,7 @@ def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH e AS (SELECT *, event_id % 3 <> 0 AS bad FROM events), s AS (SELECT *, sum((NOT bad)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS since FROM e),
 r AS (SELECT *, sum(bad::INT) OVER (PARTITION BY user_id, since ORDER BY ts, event_id) AS row FROM s)
-SELECT event_id, CASE WHEN row >= 3 THEN 'degraded' WHEN since > 0 THEN 'healthy' ELSE 'running' END AS state FROM r""")
+SELECT event_id, CASE WHEN row >= 1 THEN 'degraded' WHEN since > 0 THEN 'healthy' ELSE 'running' END AS state FROM r""")
 def crawl_health_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.crawl_health(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_id") % 3 != 0).select("event_id", "state")
 

@@ -38,7 +38,7 @@ def test_log_edges(spark):
     assert r["metadata"]["timestamp_parse_error"] == "zzz" and r["metadata"]["zone"] == "eu"
     assert parsed(spark, "TESTS passed=-1 failed=0").first()["reject_reason"] == "negative count"
     text = logs.report(parsed(spark, LOG), "markdown").first()["report"]
-    assert text.startswith("# pytest Report\n\n- **Ecosystem:** python") and "- test_success: passed (0.50s)" in text
+    assert text.startswith("# pytest Report\n\n- **Ecosystem:** python") and "- test_success — passed (0.50s)" in text
     with pytest.raises(ValueError):
         logs.report(parsed(spark, LOG), "xml")
 
@@ -274,6 +274,17 @@ def test_handoff():
         handoff.render({"a": "x" * 500}, {}, [], 100, 2000)
 
 
+def test_selection_of_differences(spark):
+    rows = [("files", "b", "d1", None, None), ("files", "a", "d2", None, None), ("cycles", "c", "d3", "c1", None), ("cycles", "e", "d4", None, "c2")]
+    deltas = spark.createDataFrame(rows, "section string, logical_key string, delta_id string, baseline_cycle_id string, target_cycle_id string")
+    got = handoff.selected(deltas, ["d1", "d2"], ["files", "cycles"], ["c2"], 1).orderBy("section").collect()
+    assert [(r.section, r.delta_id, r.n_total, r.n_omitted) for r in got] == [("cycles", "d4", 1, 0), ("files", "d2", 2, 1)]
+    for ids, enabled, cycle_ids in ((["d9"], ["files"], []), (["d3"], ["files"], []), ([], ["cycles"], ["c9"]), ([], ["files"], ["c1"]), ([], ["nothing"], []), ([str(i) for i in range(501)], ["files"], [])):
+        with pytest.raises(ValueError):
+            handoff.selected(deltas, ids, enabled, cycle_ids)
+    assert handoff.rendered_digest("m", "j") == __import__("hashlib").sha256(b"2\0m\0j").hexdigest()
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs/a.log").write_text(LOG)

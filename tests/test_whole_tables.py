@@ -112,3 +112,73 @@ def test_json_reports_hold_the_record(spark):
         assert (report["tool"], report["status"], report["summary"]) == (r["tool"], r["status"], r["summary"])
         assert [e["message"] for e in report["errors"]] == [e["message"] for e in r["errors"]] and report["artifacts"] == r["artifacts"]
         assert report["tests"]["failed"] == r["tests"]["failed"] and len(report["tests"]["cases"]) == len(r["tests"]["cases"])
+
+
+def markdown(r, severity):
+    """A report of one record, written out."""
+    parts = [f"# {r.tool} Report\n\n- **Ecosystem:** {r.ecosystem}\n- **Command:** `{r.command}`\n- **Status:** {r.status}\n- **Severity:** {severity}", f"## Summary\n\n{r.summary}"]
+    told = [f"Tool: {r.tool}", f"Ecosystem: {r.ecosystem}", f"Status: {r.status}", f"Summary: {r.summary}"]
+    if r.tests:
+        told.append(f"Tests: passed={r.tests.passed} failed={r.tests.failed} skipped={r.tests.skipped}")
+    for name, issues in (("Errors", r.errors), ("Warnings", r.warnings)):
+        told += [f"{name}:", *(f"  - {i.message} ({i.file}:{i.line})" for i in issues)] if issues else []
+    told += ["Artifacts:", *(f"  - {a}" for a in r.artifacts)] if r.artifacts else []
+    told += ["Metadata:", *(f"  - {k}: {v}" for k, v in r.metadata.items())] if r.metadata else []
+    parts.append("## Explanation\n\n" + "\n".join(told))
+    body = ["## Issues"]
+    for name, issues in (("Errors", r.errors), ("Warnings", r.warnings)):
+        lines = []
+        for i in issues:
+            place = i.file and f" ({i.file}" + (f":{i.line}" if i.line is not None else "") + (f":{i.column}" if i.column is not None else "") + ")"
+            lines.append(f"- {i.message}" + (f" [{i.code}]" if i.code else "") + (place or ""))
+        body += [f"### {name}", "\n".join(lines)] if lines else []
+    parts.append("\n\n".join(body if len(body) > 1 else [*body, "No issues were reported by this adapter."]))
+    if r.tests:
+        overview = [f"- Passed: {r.tests.passed}", f"- Failed: {r.tests.failed}", f"- Skipped: {r.tests.skipped}"] + ([f"- Duration: {r.tests.duration:.2f}s"] if r.tests.duration is not None else [])
+        cases = [f"- {c.name} — {c.status}" + (f" ({c.duration:.2f}s)" if c.duration is not None else "") + (f": {c.message}" if c.message else "") for c in r.tests.cases]
+        parts.append("\n\n".join(["## Tests", "### Summary", "\n".join(overview), "### Cases", "\n".join(cases) or "No individual test cases were reported."]))
+    else:
+        parts.append("## Tests\n\nNo test results were provided.")
+    parts.append("## Guardrails\n\nNo guardrail configuration available.")
+    parts.append("## Artifacts\n\n" + ("\n".join(f"  - {a}" for a in r.artifacts) or "No artifacts recorded."))
+    parts.append("## Metadata\n\n" + ("\n".join(f"- {k}: {v}" for k, v in sorted(r.metadata.items())) or "No additional metadata captured."))
+    return "\n\n".join(parts)
+
+
+def test_markdown_reports(spark):
+    from siltworks.operators import logs
+    from siltworks.plans.log_queries import order_logs
+
+    records = logs.redact_record(logs.parse_logs(order_logs(spark, FOLDER)))
+    digests = ours(spark, "log_reports").set_index("doc_id")["digest"]
+    rows = records.withColumn("severity", logs.severity()).collect()
+    assert len(rows) == len(digests)
+    for r in rows:
+        assert md5(markdown(r, r.severity)) == digests[r.doc_id]
+
+
+def test_page_texts(spark):
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.parts, self.open = [], []
+
+        def handle_starttag(self, tag, attrs):
+            self.open += [tag] if tag in {"script", "style", "noscript"} else []
+
+        def handle_endtag(self, tag):
+            if self.open[-1:] == [tag]:
+                self.open.pop()
+
+        def handle_data(self, data):
+            if not self.open and data.strip():
+                self.parts.append(data.strip())
+
+    got = ours(spark, "page_texts").set_index("page_id")["text"]
+    for page, html in table("pages")[["page_id", "html"]].itertuples(index=False):
+        parser = Text()
+        parser.feed(html)
+        parser.close()
+        assert got[page] == "\n".join(parser.parts)
