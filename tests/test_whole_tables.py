@@ -9,6 +9,7 @@ from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from siltworks.functions.text import DEFAULT_REDACTIONS
 from siltworks.plans import registry, text_queries
 
@@ -123,7 +124,7 @@ def markdown(r, severity):
     for name, issues in (("Errors", r.errors), ("Warnings", r.warnings)):
         told += [f"{name}:", *(f"  - {i.message} ({i.file}:{i.line})" for i in issues)] if issues else []
     told += ["Artifacts:", *(f"  - {a}" for a in r.artifacts)] if r.artifacts else []
-    told += ["Metadata:", *(f"  - {k}: {v}" for k, v in r.metadata.items())] if r.metadata else []
+    told += ["Metadata:", *(f"  - {e.key}: {e.value}" for e in r.entries)] if r.metadata else []
     parts.append("## Explanation\n\n" + "\n".join(told))
     body = ["## Issues"]
     for name, issues in (("Errors", r.errors), ("Warnings", r.warnings)):
@@ -151,7 +152,8 @@ def test_markdown_reports(spark):
 
     records = logs.redact_record(logs.parse_logs(order_logs(spark, FOLDER)))
     digests = ours(spark, "log_reports").set_index("doc_id")["digest"]
-    rows = records.withColumn("severity", logs.severity()).collect()
+    # A map that is collected loses its order.
+    rows = records.withColumn("severity", logs.severity()).withColumn("entries", F.map_entries("metadata")).collect()
     assert len(rows) == len(digests)
     for r in rows:
         assert md5(markdown(r, r.severity)) == digests[r.doc_id]
