@@ -10,24 +10,52 @@ unless a stage says otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from siltworks.llm import mixing, neardup, packing, passages, rules
 from siltworks.session import drop_scratch, drop_scratch_since, scratch, scratch_paths, table
 
 
+_tables: frozenset[str] = frozenset()
+
+
+def _stage(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that first deletes the scratch tables of the stage called before it, unless docs still reads them (its result was not written yet)."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _tables
+        if _tables:
+            read = docs.inputFiles()
+            mine = {path.removeprefix("file://") for path in _tables}
+            if not any(path in file for path in mine for file in read):
+                drop_scratch_since(scratch_paths() - _tables, docs)
+        before = scratch_paths()
+        out = work(spark, docs, sf_dir)
+        _tables = scratch_paths() - before
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a certified cutoff reject go. Null and empty texts fail the base. A null lang is a language of its own; without
     labels, and for languages without any, the base alone rejects. A score equal to its cutoff is kept. Repeated rows are judged each by itself."""
     return rules.keep_documents(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of least doc_id. Null and empty texts and rows with a null doc_id all stay. Rows of
     equal doc_id are one document and stay or go together. A pair at exactly the similarity is linked."""
     return neardup.keep_first(docs)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that a document of smaller doc_id holds are cut out, and n_chars is counted anew. A document that loses all its
     words goes; null and empty texts stay as they are. Rows with a null doc_id lose nothing and are no evidence; rows of equal doc_id are no
@@ -35,12 +63,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return passages.cut_documents(docs)
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights by repeating and thinning out their words; n_chars is counted anew. Null sources are one source,
     last in order. A document of which nothing is taken, null and empty texts among them, goes. Equal quotients go to what comes first."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What remains is tokenised and packed into sequences: one row per piece. Null and empty texts are a document of the end id alone; a null doc_id
     stays null; of bins with equal free space the last one used is taken."""
