@@ -138,8 +138,8 @@ def word_diff_ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def local_time(seconds: Column, zone: str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """Unix seconds as time of a zone."""
-    return F.date_format(F.from_utc_timestamp(F.to_timestamp_ntz(F.from_unixtime(seconds)).cast("timestamp"), zone), pattern)
+    """Unix seconds as time of a zone. Years beyond 9999 are written without the sign that Java puts before them."""
+    return F.regexp_replace(F.date_format(F.from_utc_timestamp(F.timestamp_seconds(seconds), zone), pattern), r"^\+", "")
 
 
 def utc_stamp(ts: Column) -> Column:
