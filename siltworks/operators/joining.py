@@ -64,14 +64,33 @@ def resolve_in_tiers(references: DataFrame, candidates: Sequence[DataFrame], key
         tagged = one if tagged is None else tagged.unionByName(one)
     best = tagged.groupBy(key, "tier").agg(F.count_distinct(target).alias("n_targets"), F.min(target).alias("target_id"))
     first = best.groupBy(key).agg(F.min_by(F.struct("tier", "n_targets", "target_id"), "tier").alias("b")).select(key, "b.*")
-    joined = references.join(first, key, "left")
+    return _told(references.join(first, key, "left"), references.columns)
+
+
+def _told(joined: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """columns with the tier that was met, its status and confidence, and the target if it is the only one."""
     status = F.when(F.col("n_targets") == 1, "resolved-static").when(F.col("n_targets") > 1, "ambiguous").otherwise("unresolved-dynamic")
     confidence = F.when(F.col("tier") == 0, "high").when(F.col("tier") == 1, "medium").otherwise("low")
     return joined.select(
-        *references.columns, "tier", status.alias("resolution_status"), confidence.alias("confidence"), F.when(F.col("n_targets") == 1, F.col("target_id")).alias("target_id")
+        *columns, "tier", status.alias("resolution_status"), confidence.alias("confidence"), F.when(F.col("n_targets") == 1, F.col("target_id")).alias("target_id")
     )
 
 
+def resolve_in_key_tiers(references: DataFrame, candidates: Sequence[tuple[DataFrame, Sequence[str]]], key: str, target: str) -> DataFrame:
+    """resolve_in_tiers for tiers that are equal keys: candidates are (rows with target and the keys, keys), references hold all keys and are unique by key. Targets are
+    counted for each value of the keys before they meet the references, so no reference is paired with all of its candidates."""
+    joined, columns = references, references.columns
+    for tier, (rows, keys) in enumerate(candidates):
+        names = [f"rt_{tier}_{k}" for k in keys]
+        known = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.struct(F.lit(tier).alias("tier"), F.count_distinct(target).alias("n_targets"), F.min(target).alias("target_id")).alias(f"rt_{tier}"))
+        on = F.col(key).isNotNull()
+        for k, n in zip(keys, names, strict=True):
+            on = on & (F.col(k) == F.col(n))
+        joined = joined.join(known, on, "left").drop(*names)
+    first = F.coalesce(*[F.col(f"rt_{i}") for i in range(len(candidates))])
+    return _told(joined.select(*columns, first.alias("rt")).select(*columns, "rt.*"), columns)
+
+
 def first_match(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """left with columns of the first row of right (in order) with an equal normalised key."""
     firsts = right.withColumn("fm_key", right_key).groupBy("fm_key").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("fm"))

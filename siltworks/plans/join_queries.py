@@ -88,13 +88,13 @@ SELECT p_partkey AS ref, tier, CASE WHEN k = 1 THEN 'resolved-static' WHEN k > 1
   CASE tier WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN k = 1 THEN target END AS target_id FROM part LEFT JOIN n ON p_partkey = n.ref""")
 def type_resolution_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    a = p.select(F.col("p_partkey").alias("ref"), "p_type", "p_brand")
+    refs = p.select(F.col("p_partkey").alias("ref"), "p_type", "p_brand")
 
-    def tier(size: int, *keys: str, extra: str = "true") -> DataFrame:
-        return a.join(p.where(f"p_size = {size} AND {extra}").select(F.col("p_partkey").alias("target"), *keys), list(keys))
+    def tier(size: int, *keys: str, extra: str = "true") -> tuple[DataFrame, list[str]]:
+        return p.where(f"p_size = {size} AND {extra}").select(F.col("p_partkey").alias("target"), *keys), list(keys)
 
     tiers = [tier(1, "p_type", "p_brand"), tier(2, "p_type"), tier(3, "p_brand", extra="p_partkey % 7 = 0")]
-    return J.resolve_in_tiers(a.select("ref"), tiers, "ref", "target")
+    return J.resolve_in_key_tiers(refs, tiers, "ref", "target").drop("p_type", "p_brand")
 
 
 @query("""
