@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltworks.functions.text import absolute_import, is_test_path, package_prefixes
 from siltworks.operators import cycles, findings
-from siltworks.operators.code import scan_sources
+from siltworks.operators.code import REVIEW_FACTS, scan_sources
 from siltworks.operators.joining import resolve_in_tiers
 from siltworks.session import scratch
 
@@ -219,7 +219,7 @@ def symbol_metrics(facts: DataFrame, edges: DataFrame, groups: DataFrame) -> Dat
 def analyse(files: DataFrame, policy: findings.Policy = findings.Policy(), repository_id: str = "repository") -> DataFrame:
     """Findings of all rules for a table of files (relative_path, content): scan, resolve, measure, judge, and one record for each finding_id, with what it
     says, what it rests on and the nodes it is about. subject joins the keys by commas; value and threshold are those of the first of merged places."""
-    facts = scratch(scan_sources(files), "facts")
+    facts = scratch(scan_sources(files, REVIEW_FACTS), "facts")
     edges = scratch(relationships(facts), "edges")
     nodes = scratch(graph_nodes(modules_of(facts), symbols_of(facts)).select("node_id", "qualified_name"), "nodes")
     rings = {kind: scratch(cycle_members(edges, kind), "rings") for kind in ("imports", "inherits")}

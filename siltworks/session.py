@@ -46,6 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt to several tasks for each core by hash of columns, for steps that take much longer than their few rows take to read: a table of a few MB is one or
+    two splits of its scan, and adaptive execution joins small partitions unless their number is given."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *columns)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. Where that is unset a local session uses a temporary folder, and any other one raises: its
     executors share no local folder."""
