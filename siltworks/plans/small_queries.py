@@ -123,9 +123,6 @@ def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 SELECT page_id, md5(regexp_replace(html, '<strong> ([^<]*</strong>)', '<strong>\1', 'g')) AS digest FROM pages""")
 def strong_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def spaced(html: pd.Series) -> pd.Series:
-        return html.map(lambda h: None if h is None else H.strong_spacing(h))
-
     ship_package(spark)
+    spaced = H.each_page(H.strong_spacing)
     return table(spark, sf_dir, "pages").select("page_id", F.md5(spaced("html")).alias("digest"))
