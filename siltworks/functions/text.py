@@ -32,11 +32,9 @@ def lower_ascii(text: Column) -> Column:
 
 def key_values(text: Column) -> Column:
     """Map of key=value and key="quoted value" tokens; keys in lower case, the last of equal keys wins."""
-    found = F.regexp_extract_all(text, F.lit(r'([A-Za-z0-9_]+=(?:"[^"]+"|\S+))'), F.lit(1))
-    bare = lambda v: F.substring(v, F.lit(2), F.length(v) - 2)
-    quoted = lambda v: (F.length(v) > 2) & v.startswith('"') & v.endswith('"') & ~F.contains(bare(v), F.lit('"'))
-    split = F.transform(found, lambda t: F.struct(F.lower(F.substring_index(t, "=", 1)).alias("key"), F.substring(t, F.length(F.substring_index(t, "=", 1)) + 2, F.length(t)).alias("v")))
-    pairs = F.transform(split, lambda p: F.struct(p["key"].alias("key"), F.when(quoted(p["v"]), bare(p["v"])).otherwise(p["v"]).alias("value")))
+    # A match ends at a quote or before white space, so the next one starts where a word does; a word without = after it is given up at once. One pattern takes the key off the value, and the quotes if nothing but the value is between them.
+    found = F.regexp_extract_all(text, F.lit(r'(?<!\w)(\w++=(?:"[^"]+"|\S+))'), F.lit(1))
+    pairs = F.transform(found, lambda t: F.struct(F.lower(F.substring_index(t, "=", 1)).alias("key"), F.regexp_replace(t, r'^\w+=(?:"([^"]+)"\z)?', "$1").alias("value")))
     # A lambda's argument is worked out once, however often its body names it.
     once = F.transform(F.array(pairs), lambda ps: F.map_from_entries(F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda o: o["key"] == p["key"]))))
     return F.when(text.isNotNull(), F.element_at(once, 1))

@@ -77,7 +77,7 @@ def parse_logs(logs: DataFrame, raw: str = "raw", adapter: str = "adapter") -> D
     known = logs.join(F.broadcast(adapters(logs.sparkSession)), adapter, "left")
     rows = known.withColumn("lg", log_lines(F.coalesce(F.col(raw), F.lit(""))))
     lines = F.col("lg")
-    meta = _of(lines, "META")
+    rows, meta = rows.withColumn("lg_meta", _of(lines, "META")), F.col("lg_meta")  # read for each of its keys
     at = F.expr("size(lg) - coalesce(array_position(transform(reverse(lg), x -> x.token), 'TESTS'), 0) + 1")
     rows = rows.withColumn("lg_tests_at", F.when(F.exists(lines, lambda x: x["token"] == "TESTS"), at).otherwise(0))
     later = F.filter(lines, lambda x, i: (x["token"] == "TESTCASE") & (i + 1 > F.col("lg_tests_at")))
