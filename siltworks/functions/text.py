@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,16 +13,25 @@ from pyspark.sql.types import StringType
 
 # The redaction pattern applied when none is configured.
 DEFAULT_REDACTIONS = (r"(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*[^\s\n]+",)
+#: What any match of a pattern holds, in a form that Java finds faster than the pattern: texts without it need not be searched for the pattern.
+HELD_BY_MATCHES = {DEFAULT_REDACTIONS[0]: r"[ytndYTND]\s*[:=]"}
 # Characters that Markdown output escapes.
 MARKDOWN_SPECIAL = r"([\\`*_{}\[\]<>#|])"
 WORD = r"[\p{L}\p{N}_]+"
 
 
-def redact(text: Column, patterns: Sequence[str] = DEFAULT_REDACTIONS) -> Column:
-    """Each pattern in turn: a match keeps its first two characters, the rest becomes [REDACTED]."""
+def redact(text: Column, patterns: Sequence[str] = DEFAULT_REDACTIONS, held: Mapping[str, str] = HELD_BY_MATCHES) -> Column:
+    """Each pattern in turn: a match keeps its first two characters, the rest becomes [REDACTED]. Patterns may not refer to groups by number.
+
+    Most texts match none of the patterns and stay as they are, and to find that out takes a fraction of the time that replacing takes; held may name
+    for a pattern a simpler one that is found wherever the pattern is.
+    """
+    found, out = F.lit(False), text
     for pattern in patterns:
-        text = F.regexp_replace(text, rf"(?s)(?=(.{{1,2}}))(?-s:{pattern})", "$1[REDACTED]")
-    return text
+        hit = text.rlike(pattern)
+        found = found | (text.rlike(held[pattern]) & hit if pattern in held else hit)
+        out = F.regexp_replace(out, rf"(?s)(?=(.{{1,2}}))(?-s:{pattern})", "$1[REDACTED]")
+    return F.when(found, out).otherwise(text)
 
 
 def lower_ascii(text: Column) -> Column:
