@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltworks.functions import text as T
 from siltworks.functions import values as V
 from siltworks.plans.registry import query
-from siltworks.session import table
+from siltworks.session import scratch, table
 
 _SECRET = r"(?i)(ap|se|to|pa)(i[_-]?key|cret|ken|ssword)\s*[:=]\s*\S+"
 #: Configured patterns beside the default: addresses, dotted quads, long hexadecimal strings.
@@ -241,7 +241,7 @@ def dictionary_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltworks.operators import keywords
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select(F.regexp_extract_all(F.lower("text"), F.lit(keywords.WORD), F.lit(0)).alias("t"))
+    words = docs.select(F.regexp_extract_all(F.regexp_extract(F.lower("text"), keywords.FIRST_NINE, 0), F.lit(keywords.WORD), F.lit(0)).alias("t"))
     run = lambda first, last: F.when(F.size("t") >= last, F.array_join(F.slice("t", first, last - first + 1), " "))
-    made = words.select(F.explode(F.array(run(3, 3), run(5, 6), run(7, 9))).alias("phrase")).where("phrase IS NOT NULL").distinct()
+    made = scratch(words.select(F.explode(F.array(run(3, 3), run(5, 6), run(7, 9))).alias("phrase")).where("phrase IS NOT NULL").distinct(), "made")  # read three times to be ranked
     return keywords.found_phrases(docs, "doc_id", "text", ranked(made, ["phrase"], "rank"))
