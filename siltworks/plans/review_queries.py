@@ -20,7 +20,7 @@ def review_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scratch(code.scan_sources(review_sources(spark, sf_dir), code.REVIEW_FACTS), "facts")
+    return scratch(code.scan_sources(review_sources(spark, sf_dir), code.EDGE_FACTS), "facts")
 
 
 _X = f"{_IMPORTS}, x AS (SELECT src, dst FROM e UNION ALL SELECT 'tests.test_brand' || b || '_' || r, 'pkg.brand' || b || '_' || r FROM b WHERE b % 2 = 0)"
