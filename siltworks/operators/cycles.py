@@ -260,6 +260,7 @@ def longest_depth(edges: DataFrame, child: str = "child", parent: str = "parent"
     settles any more: as many rounds as a way changes blocks.
     """
     links = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child IS NOT NULL AND parent IS NOT NULL").distinct()
+    links = scratch(links, "links")  # counted, sampled and cut
     blocks = _blocks(links, "child")
     homes = blocks.select(F.col("child").alias("parent"), F.col("block").alias("home")).distinct()
     placed = scratch(blocks.join(homes, "parent", "left"), "placed")

@@ -62,7 +62,8 @@ def resolve_in_tiers(references: DataFrame, candidates: Sequence[DataFrame], key
     for tier, rows in enumerate(candidates):
         one = rows.select(key, target, F.lit(tier).alias("tier"))
         tagged = one if tagged is None else tagged.unionByName(one)
-    best = tagged.groupBy(key, "tier").agg(F.count_distinct(target).alias("n_targets"), F.min(target).alias("target_id"))
+    # Dealt by key once: all that follows is within a key.
+    best = tagged.repartition(key).groupBy(key, "tier").agg(F.count_distinct(target).alias("n_targets"), F.min(target).alias("target_id"))
     first = best.groupBy(key).agg(F.min_by(F.struct("tier", "n_targets", "target_id"), "tier").alias("b")).select(key, "b.*")
     return _told(references.join(first, key, "left"), references.columns)
 

@@ -25,13 +25,18 @@ def modules_of(facts: DataFrame) -> DataFrame:
     )
 
 
+def _named(facts: DataFrame) -> DataFrame:
+    """Symbols with their ids."""
+    return facts.where(F.col("kind").isin("class", "function", "method")).withColumn("symbol_id", _symbol_id("relative_path", "qualified_name", "line"))
+
+
 def symbols_of(facts: DataFrame) -> DataFrame:
     """Symbols with their ids; parent_id is null at the top level."""
-    rows = facts.where(F.col("kind").isin("class", "function", "method"))
+    rows = _named(facts)
     parents = rows.select(F.col("relative_path").alias("p_path"), F.col("qualified_name").alias("p_name"), F.col("line").alias("p_line"))
     parents = parents.groupBy("p_path", "p_name").agg(F.min("p_line").alias("p_line"))
     joined = rows.join(parents, (F.col("relative_path") == F.col("p_path")) & (F.col("parent") == F.col("p_name")), "left")
-    return joined.withColumn("symbol_id", _symbol_id("relative_path", "qualified_name", "line")).withColumn("parent_id", _symbol_id("p_path", "p_name", "p_line")).drop("p_path", "p_name", "p_line")
+    return joined.withColumn("parent_id", _symbol_id("p_path", "p_name", "p_line")).drop("p_path", "p_name", "p_line")
 
 
 def _is_package(path: Column) -> Column:
@@ -104,11 +109,22 @@ def import_aliases(imports: DataFrame, modules: DataFrame, symbols: DataFrame) -
     return plain.join(names, "qualified", "left_semi").select("relative_path", "bound", "target_type", "qualified").unionByName(inner).unionByName(symbol).distinct()
 
 
-def inheritance(symbols: DataFrame, modules: DataFrame, aliases: DataFrame) -> DataFrame:
-    """One edge per base of a class: to a class of the same module, by its full name in it, by an import, or (probable) by an export of the package."""
+def _bases(symbols: DataFrame) -> DataFrame:
+    """One row per base of a class: ref names it, text is the base without what is in brackets, head its first name and tail the rest."""
     refs = symbols.where("kind = 'class'").select("symbol_id", "relative_path", "module_name", "line", F.posexplode("bases").alias("place", "written"))
     refs = refs.withColumn("text", F.regexp_replace("written", r"\[.*$", "")).withColumn("ref", F.concat("symbol_id", F.lit("#"), F.col("place").cast("string")))
-    refs = refs.withColumn("head", F.substring_index("text", ".", 1)).withColumn("tail", F.when(F.contains("text", F.lit(".")), F.regexp_replace("text", r"^[^.]*", "")).otherwise(""))
+    return refs.withColumn("head", F.substring_index("text", ".", 1)).withColumn("tail", F.when(F.contains("text", F.lit(".")), F.regexp_replace("text", r"^[^.]*", "")).otherwise(""))
+
+
+def _base_imports(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The imports that bind a name which a base in their file begins with; no other import can tell what a base is."""
+    heads = _bases(symbols).select(F.col("relative_path").alias("h_path"), "head").distinct()
+    return imports.join(heads, (F.col("relative_path") == F.col("h_path")) & (F.col("bound") == F.col("head")), "left_semi")
+
+
+def inheritance(symbols: DataFrame, modules: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One edge per base of a class: to a class of the same module, by its full name in it, by an import, or (probable) by an export of the package."""
+    refs = _bases(symbols)
     classes = symbols.where("kind = 'class'").select(F.col("symbol_id").alias("target"), F.col("qualified_name").alias("c_name"), F.col("module_name").alias("c_module"), F.col("display_name").alias("c_display"))
     local = refs.join(classes, F.concat("module_name", F.lit("."), "text") == F.col("c_name")).select("ref", "target")
     full = refs.where(F.col("text").startswith(F.concat("module_name", F.lit(".")))).join(classes, (F.col("text") == F.col("c_name")) & (F.col("module_name") == F.col("c_module"))).select("ref", "target")
@@ -135,7 +151,15 @@ def relationships(facts: DataFrame) -> DataFrame:
     modules, symbols = scratch(modules_of(facts), "modules"), scratch(symbols_of(facts), "symbols")
     imports = scratch(_imports(facts, modules), "imports")
     edges = containment(modules, symbols).unionByName(import_relationships(imports, modules))
-    return edges.unionByName(inheritance(symbols, modules, import_aliases(imports, modules, symbols)))
+    return edges.unionByName(inheritance(symbols, modules, import_aliases(scratch(_base_imports(imports, symbols), "imports"), modules, symbols)))
+
+
+def inheritance_of(facts: DataFrame) -> DataFrame:
+    """The edges of relationships() that are between classes; of the imports only those are resolved that a base needs. Facts need not be of
+    files without code.tells_of_bases(): a symbol that a base is reached by encloses its class, so it is in the class's file."""
+    modules, symbols = modules_of(facts), _named(facts)
+    imports = scratch(_imports(_base_imports(facts.where("kind = 'import'"), symbols), modules), "imports")
+    return inheritance(symbols, modules, import_aliases(imports, modules, symbols))
 
 
 def _resolved(edges: DataFrame, kind: str) -> DataFrame:
@@ -170,6 +194,24 @@ def tested_modules(modules: DataFrame, edges: DataFrame) -> DataFrame:
     return _resolved(edges, "imports").join(tests, "source_id", "left_semi").select(F.col("target_id").alias("k")).distinct()
 
 
+def class_metrics(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """What symbol_metrics() tells of the inheritance of each class; of edges only those between classes are read. The classes on and above a cycle have no depth,
+    so cycles are looked for among those only."""
+    inherits = scratch(_resolved(edges, "inherits").select("relationship_type", "source_id", "target_id", "resolution_status"), "inherits")
+    depths = scratch(cycles.longest_depth(inherits.select(F.col("source_id").alias("child"), F.col("target_id").alias("parent"))), "depths")
+    ringed = inherits
+    for end in ("source_id", "target_id"):
+        ringed = ringed.join(depths.where("depth IS NULL").select(F.col("node").alias(end)), end, "left_semi")
+    members = cycle_members(ringed, "inherits").select(F.explode("members").alias("node"))
+    kinds = {"direct_parent_count": inherits.select("source_id"), "direct_child_count": inherits.select("target_id"), "inheritance_cycle_membership": members}
+    tall = depths.select(F.col("node").alias("k"), F.lit(None).cast("string").alias("m"), "depth")
+    for name, rows in kinds.items():
+        tall = tall.unionByName(rows.select(F.col(rows.columns[0]).alias("k"), F.lit(name).alias("m"), F.lit(None).cast("int").alias("depth")))
+    known = tall.groupBy("k").agg(*[F.count_if(F.col("m") == name).alias(name) for name in kinds], F.max("depth").alias("resolved_inheritance_depth"))
+    rows = _named(facts.where("kind = 'class'")).select("symbol_id", "qualified_name", "relative_path", "line").join(known, F.col("symbol_id") == F.col("k"), "left").drop("k")
+    return rows.withColumns({name: F.coalesce(name, F.lit(0)).cast("long") for name in kinds})
+
+
 def module_metrics(facts: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
     """The nine metrics of each module, one column each; groups are the import cycles."""
     modules, symbols = modules_of(facts), symbols_of(facts)
