@@ -55,7 +55,7 @@ def source_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_IMPORTS} SELECT src, dst FROM e")
 def source_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.import_edges(C.scan_sources(part_sources(spark, sf_dir), C.IMPORT_FACTS))
+    return C.import_edges(C.scan_imports(part_sources(spark, sf_dir)))
 
 
 @query("""
@@ -150,7 +150,7 @@ WITH RECURSIVE {_IMPORTS},
 r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src), c AS (SELECT a.src AS node, min(least(a.src, a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
 SELECT 'dependency-cycle' AS rule_id, string_agg(node, ',' ORDER BY node) AS subject, count(*)::DOUBLE AS value FROM c GROUP BY component""")
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = C.import_edges(C.scan_sources(part_sources(spark, sf_dir), C.IMPORT_FACTS))
+    edges = C.import_edges(C.scan_imports(part_sources(spark, sf_dir)))
     return R.cycle_findings(cycles.cycle_groups(edges), "imports").select("rule_id", "subject", "value")
 
 
